@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.functions.matching import ContextRule, skills_from_rows
+from postmill.plans.classify import classify_roles, clean_overrides, prepare_overrides
+from postmill.plans.master import build_master
+from postmill.plans.skills import extract_skills
+from postmill.plans.staging import stage_paged, stage_snapshot
 from postmill.plans.views import KEY
 
 KNOWN = ("brand_1", "brand_2", "brand_3", "brand_4")
@@ -56,3 +61,163 @@ def basket_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def basket(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (basket_jobs(spark, sf_dir), basket_skills(spark, sf_dir),
             basket_sets(spark, sf_dir))
+
+
+# --- text: a document is a posting, its first line the title ------------------
+# A dictionary of words that occur in the documents, with
+# overlapping aliases, punctuation and non-ASCII letters.
+TEXT_SKILL_ROWS = (
+    ("open_license", "Open license", "Legal", "MIT License|Apache License|General Public License|GNU General Public License"),
+    ("license_word", "License", "Legal", "license|licensed|License, Version"),
+    ("that_word", "That", "English", "that|that the"),
+    ("with_word", "With", "English", "with|with the|with and"),
+    ("this_word", "This", "English", "this|this is|this work"),
+    ("from_word", "From", "English", "from|from the"),
+    ("then_word", "Then", "Invented", "then|thea|thanea"),
+    ("attion_word", "attion", "Invented", "attion|The and attion|thanedble"),
+    ("mail", "Mail address", "Contact", "mail5.example.com|example.com"),
+    ("para_word", "Para", "Spanish", "para|para los"),
+    ("nicht_word", "Nicht", "German", "Nicht|sch|für"),
+    ("dans_word", "Dans", "French", "dans|de la|été"),
+)
+TEXT_SKILLS = skills_from_rows(TEXT_SKILL_ROWS)
+# 'license' near an Apache or GNU notice does not count unless something is released.
+TEXT_RULE = ContextRule("license_word", ("apache license", "gnu general"), ("released under",))
+# Ordered title rules in the words of the documents.
+TEXT_RULES = (
+    ("Data Analyst", r"\bthe\s+and\b|\bthat\b.*\bthe\b"),
+    ("Data Engineer", r"\b(?:in|of)\s+the\b"),
+    ("BI Analyst", r"\bwith\b|\bfrom\b"),
+    ("Business Analyst", r"\bthis\b|\bis\b"),
+    ("Other Analytics", r"\bthe?\b"),
+)
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("::"), F.col("doc_id").cast("string")).alias(KEY),
+        "source", F.col("doc_id").cast("string").alias("source_job_id"),
+        F.get(F.split(text, "\n", 2), 0).alias("job_title_raw"), F.col("lang").alias("tags"),
+        text.alias("description_text"), F.col("source").alias("company_name"),
+        F.col("lang").alias("role_family"), F.col("lang").alias("location_raw"),
+        F.timestamp_seconds(1704067200 + F.col("doc_id") * 60).alias("publication_date"),
+        F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("job_url"),
+        F.concat(F.lit("query "), "lang").alias("search_queries"))
+
+
+def text_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_skills(postings(spark, sf_dir), TEXT_SKILLS, (TEXT_RULE,))
+
+
+def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as a filled-in review table, with the slips reviewers make."""
+    quality, toxic, doc = F.col("quality"), F.col("toxic"), F.col("doc_id")
+    decision = (F.when(doc % 9 == 0, "Expired link").when(doc % 9 == 1, "Unverified")
+                .when((quality == 1) & (toxic == 0), " Correct ")
+                .when(quality == 0, "False Positive").otherwise("Incorrect Role Family"))
+    family = (F.when(quality == 0, "Non-target Role").when(toxic == 1, "Analytics engineer")
+              .when(doc % 2 == 0, "Data Analyst ").otherwise("Data Engineer"))
+    return table(spark, sf_dir, "labels").select(
+        doc.cast("string").alias("source_job_id"),
+        F.concat(F.lit("Document "), doc.cast("string")).alias("job_title_raw"),
+        decision.alias("manual_decision"), family.alias("correct_role_family"),
+        F.when(toxic == 1, "see notes").alias("review_notes"))
+
+
+def text_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified reviews with the source of their document."""
+    verified = prepare_overrides(text_reviews(spark, sf_dir))
+    sources = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("source_job_id"), "source")
+    return clean_overrides(verified.join(sources, "source_job_id"), "src0")
+
+
+def text_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_roles(postings(spark, sf_dir).drop("role_family"),
+                          text_overrides(spark, sf_dir), TEXT_RULES)
+
+
+def text_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic-labelled documents: their 'that' matches are rejected by hand."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return (table(spark, sf_dir, "labels").filter("toxic = 1").join(sources, "doc_id")
+            .select(F.concat("source", F.lit("::"), F.col("doc_id").cast("string")).alias(KEY),
+                    F.lit("that_word").alias("skill_key"), F.lit("exclude").alias("override_action"),
+                    F.lit("by label").alias("reason")))
+
+
+# --- raw records: events arrive in pages, orders in one snapshot --------------
+# Titles given to the rows in turn.
+TITLES = ("Senior Data Analyst", "Lead  Data Engineer", "Senior Data Scientist",
+          "Analytics Engineer", "Power BI Developer", "Business Intelligence Analyst",
+          "Business Analyst", "Analytics Director", "Backend Software Engineer",
+          "ML Engineer", "Clin Bus Intellig Analyst-Sr", "Decision Scientist",
+          "Reporting Analyst", "Product Analyst", "Marketing Analyst II", "Operation Analyst",
+          "Insight Analyst", "Director, Growth Analytics", "Web Analytics Lead",
+          "Insights Manager", "Engineer, Business Intelligence", "Tableau Expert",
+          "Data Platform Engineer", "Head of\nAnalytics")
+
+
+def title_of(number: Column) -> Column:
+    titles = F.array(*[F.lit(t) for t in TITLES])
+    return F.element_at(titles, (number % len(TITLES) + 1).cast("int"))
+
+
+def paged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as landed records: type = query, day = page, user = posting."""
+    user, event, value = F.col("user_id"), F.col("event_id"), F.col("value")
+    day = F.dayofmonth("ts")
+    digit = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit(" job-"), user.cast("string")).alias("guid"),
+        title_of(user).alias("title"),
+        F.concat(F.lit("Company  "), (user % 40).cast("string")).alias("companyName"),
+        F.concat(F.lit("<p>Value <b>"), F.round(value, 2).cast("string"),
+                 F.lit("</b> &amp; more</p><!-- x --><script>drop()</script>")).alias("description"),
+        F.when(event % 2 == 0, F.unix_timestamp("ts").cast("string"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("pubDate"),
+        F.when(event % 5 == 0, "not a date").alias("expiryDate"),
+        F.concat(F.lit("https://jobs.example.com/"), user.cast("string")).alias("applicationLink"),
+        F.when(digit % 3 > 0, (digit * 1000).cast("string")).alias("minSalary"),
+        F.when(digit % 3 > 1, (digit * 1500 + 0.5).cast("string")).alias("maxSalary"),
+        F.when(digit % 4 > 0, "usd").alias("currency"),
+        F.when(digit % 5 > 0, "Annual").alias("salaryPeriod"),
+        F.when(user % 3 == 0, F.array().cast("array<string>"))
+        .when(user % 3 == 1, F.array(F.lit("Spain "), F.lit('{"name": "Canada"}'), F.lit("Spain")))
+        .alias("locationRestrictions"),
+        F.array(F.lit("sql"), F.lit("Beta"), F.lit("alpha "), F.lit(""),
+                F.col("event_type")).alias("categories"),
+        F.replace("event_type", F.lit("_"), F.lit(" ")).alias("_source_query"),
+        F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("_collected_at"),
+        day.alias("_source_page"), F.date_format("ts", "yyyyMMdd").alias("_source_file"),
+        event.alias("_position"))
+
+
+def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as one snapshot: customer = posting, later orders replace earlier."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        customer.alias("id"), F.concat(F.lit("https://example.org/"), customer.cast("string"))
+        .alias("url"),
+        title_of(customer).alias("title"),
+        F.concat(F.lit("Company "), (customer % 40).cast("string")).alias("company_name"),
+        F.lit("https://example.org/logo").alias("company_logo"),
+        F.col("o_orderpriority").alias("category"),
+        F.array(F.lit("b"), F.lit("B"), F.lit(" a "), F.col("o_orderstatus")).alias("tags"),
+        F.lit("Full_Time").alias("job_type"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("publication_date"),
+        F.when(customer % 2 == 0, "Canada|Spain").otherwise("Worldwide")
+        .alias("candidate_required_location"),
+        F.when(F.col("o_orderstatus") == "F", "").otherwise("40k - 50k").alias("salary"),
+        F.concat(F.lit("<div>Order&nbsp;"), key.cast("string"), F.lit("</div>"))
+        .alias("description"),
+        F.lit("2024-02-01T00:00:00Z").alias("_collected_at"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("_source_file"), key.alias("_position"))
+
+
+def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both staged sources in one master table, newest-first order left to the sink."""
+    return build_master({
+        "Paged": stage_paged(paged_records(spark, sf_dir), "Paged"),
+        "Snapshot": stage_snapshot(snapshot_records(spark, sf_dir), "Snapshot")}, verify=False)

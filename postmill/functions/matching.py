@@ -85,7 +85,7 @@ def match_context(text: Column, pattern: Column, chars: int) -> Column:
     time. Null when nothing matches.
     """
     sides = F.split(text, pattern, 2)
-    before, after = F.length(sides[0]), F.length(sides[1])
+    before, after = F.length(F.get(sides, 0)), F.length(F.get(sides, 1))
     start = F.greatest(before - chars, F.lit(0))
     end = F.least(F.length(text), F.length(text) - after + chars)
     return F.when(F.size(sides) == 2, F.substring(text, start + 1, end - start))
@@ -111,7 +111,7 @@ def excerpt(text: Column, aliases: Column, before: int = EXCERPT_BEFORE,
     """Text around the first of `aliases` (in their order) that occurs anywhere
     in the cleaned text, ignoring case and word boundaries; else null."""
     folded = fold(text)
-    first = F.filter(aliases, lambda a: (a != "") & F.contains(folded, fold(a)))[0]
+    first = F.get(F.filter(aliases, lambda a: (a != "") & F.contains(folded, fold(a))), 0)
     at = F.instr(folded, fold(first))
     start = F.greatest(at - 1 - before, F.lit(0))
     end = F.least(F.length(text), at - 1 + F.length(first) + after)

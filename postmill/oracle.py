@@ -6,6 +6,11 @@ counts, self joins and cross joins stand where the Spark side avoids them.
 
 from __future__ import annotations
 
+import re
+
+from postmill.bindings import TEXT_RULES, TEXT_SKILL_ROWS, TITLES
+from postmill.fixed import HTML_ENTITIES, RELEVANT_TITLE, ROLE_RULES
+
 BASKET = """
 jobs AS (
   SELECT o_orderkey AS source_record_key, 'status ' || o_orderstatus AS source,
@@ -264,5 +269,533 @@ SELECT 'skill', skill_name, job_count FROM (
     }
 
 
+# --- text --------------------------------------------------------------------
+
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def squashed(expr: str) -> str:
+    return rf"trim(regexp_replace({expr}, '\s+', ' ', 'g'))"
+
+
+def url_free(expr: str) -> str:
+    return squashed(rf"regexp_replace({expr}, '(?i)https?://\S+|www\.\S+', ' ', 'g')")
+
+
+def plain(expr: str) -> str:
+    """Letters outside ASCII become 'x', so that ASCII word boundaries fall as
+    Unicode ones would."""
+    return rf"regexp_replace({expr}, '[^\x00-\x7f]', 'x', 'g')"
+
+
+def family(title: str, rules) -> str:
+    text = f"lower({plain(squashed(title))})"
+    cases = " ".join(f"WHEN regexp_matches({text}, {quoted(p)}) THEN {quoted(f)}" for f, p in rules)
+    return f"CASE {cases} ELSE 'Non-target Role' END"
+
+
+POSTS = """
+posts AS (
+  SELECT source || '::' || doc_id AS source_record_key, source,
+         CAST(doc_id AS VARCHAR) AS source_job_id, split_part(text, chr(10), 1) AS job_title_raw,
+         lang AS tags, text AS description_text, source AS company_name, lang AS role_family,
+         lang AS location_raw, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS publication_date,
+         'https://example.com/' || doc_id AS job_url, 'query ' || lang AS search_queries
+  FROM documents)
+"""
+
+REVIEWS = """,
+reviews AS (
+  SELECT CAST(doc_id AS VARCHAR) AS source_job_id, 'Document ' || doc_id AS job_title_raw,
+         CASE WHEN doc_id % 9 IN (0, 1) THEN 'Unverified'
+              WHEN quality = 1 AND toxic = 0 THEN 'Correct'
+              WHEN quality = 0 THEN 'False Positive'
+              ELSE 'Incorrect Role Family' END AS manual_decision,
+         CASE WHEN quality = 0 THEN 'Non-target Role' WHEN toxic = 1 THEN 'Analytics Engineer'
+              WHEN doc_id % 2 = 0 THEN 'Data Analyst' ELSE 'Data Engineer' END
+           AS correct_role_family,
+         CASE WHEN toxic = 1 THEN 'see notes' ELSE '' END AS review_notes
+  FROM labels),
+overrides AS (
+  SELECT d.source, r.source_job_id, r.correct_role_family, r.manual_decision
+  FROM reviews r JOIN documents d ON r.source_job_id = CAST(d.doc_id AS VARCHAR)
+  WHERE r.manual_decision <> 'Unverified')
+"""
+
+CLASSIFIED = POSTS + REVIEWS + f""",
+ruled AS (SELECT *, {family("job_title_raw", TEXT_RULES)} AS automated_role_family
+          FROM (SELECT * EXCLUDE (role_family) FROM posts)),
+classified AS (
+  SELECT r.*, coalesce(o.correct_role_family, r.automated_role_family) AS role_family,
+         CASE WHEN o.source IS NULL THEN 'Automated Rule' ELSE 'Manual Override' END
+           AS classification_method,
+         o.source IS NOT NULL AS role_override_applied,
+         coalesce(o.manual_decision, '') AS override_decision,
+         coalesce(o.correct_role_family, r.automated_role_family) <> 'Non-target Role'
+           AS is_target_data_role
+  FROM ruled r LEFT JOIN overrides o USING (source, source_job_id)),
+evaluated AS (
+  SELECT o.*, r.job_title_raw, r.company_name, r.automated_role_family,
+         r.automated_role_family <> 'Non-target Role' AS predicted_is_target,
+         o.correct_role_family <> 'Non-target Role' AS actual_is_target
+  FROM overrides o JOIN ruled r USING (source, source_job_id))
+"""
+
+
+def _alias_rows() -> str:
+    rows = []
+    for key, name, category, aliases in TEXT_SKILL_ROWS:
+        for alias in aliases.split("|"):
+            body = r"\s+".join(re.escape(w) for w in alias.split())
+            rows.append(f"({quoted(key)}, {quoted(name)}, {quoted(alias)}, {quoted(body)})")
+    return "VALUES " + ", ".join(rows)
+
+
+MATCHES = POSTS + rf""",
+dict(skill_key, skill_name, alias, body) AS ({_alias_rows()}),
+fields AS (
+  SELECT source_record_key, f.name AS field, {url_free("f.txt")} AS txt
+  FROM posts, LATERAL (VALUES ('job_title_raw', job_title_raw), ('tags', tags),
+                              ('description_text', description_text)) f(name, txt)),
+hits AS (
+  SELECT source_record_key, field, skill_key, skill_name, alias,
+         CASE WHEN skill_key = 'license_word' THEN
+           lower(regexp_extract(txt, '(?is).{{0,119}}?(^|[^A-Za-z0-9_])' || body
+                                     || '($|[^A-Za-z0-9_].{{0,119}})', 0)) END AS around
+  FROM fields, dict
+  WHERE regexp_matches(txt, '(?i)(^|[^A-Za-z0-9_])' || body || '([^A-Za-z0-9_]|$)')),
+kept AS (
+  SELECT * FROM hits
+  WHERE NOT (skill_key = 'license_word'
+             AND (contains(around, 'apache license') OR contains(around, 'gnu general'))
+             AND NOT contains(around, 'released under'))),
+evidence AS (
+  SELECT source_record_key, skill_key, string_agg(field, '|' ORDER BY field) AS evidence_source,
+         CAST(count(*) AS INTEGER) AS evidence_field_count
+  FROM (SELECT DISTINCT source_record_key, skill_key, field FROM kept) GROUP BY 1, 2),
+bridge AS (
+  SELECT e.*, a.matched_aliases
+  FROM evidence e JOIN (
+    SELECT source_record_key, skill_key,
+           string_agg(alias, '|' ORDER BY lower(alias), alias) AS matched_aliases
+    FROM (SELECT DISTINCT source_record_key, skill_key, alias FROM kept) GROUP BY 1, 2) a
+    USING (source_record_key, skill_key)),
+rejected AS (SELECT d.source || '::' || d.doc_id AS source_record_key, 'that_word' AS skill_key
+             FROM labels JOIN documents d USING (doc_id) WHERE toxic = 1),
+names AS (SELECT DISTINCT skill_key, skill_name FROM dict),
+audit AS (
+  SELECT p.*, coalesce(s.n, 0)::INTEGER AS detected_skill_count,
+         coalesce(s.list, '') AS detected_skills
+  FROM posts p LEFT JOIN (
+    SELECT source_record_key, count(*) AS n,
+           string_agg(skill_name, '|' ORDER BY lower(skill_name), skill_name) AS list
+    FROM bridge JOIN names USING (skill_key) GROUP BY 1) s USING (source_record_key))
+"""
+
+FINGERPRINTS = POSTS + f""",
+marked AS (SELECT *, left(sha256(lower({squashed("tags")}) || '|'
+                     || lower({squashed("description_text")}) || '|'
+                     || lower({squashed("location_raw")})), 20) AS job_fingerprint FROM posts)
+"""
+
+
+def duplicates(table: str, columns: str) -> str:
+    return f"""
+SELECT CASE WHEN source_count > 1 THEN 'Cross-source' ELSE 'Within-source' END AS duplicate_scope,
+       job_fingerprint, record_count, source_count, {columns}
+FROM {table} JOIN (
+  SELECT job_fingerprint, count(*) AS record_count, count(DISTINCT source) AS source_count
+  FROM {table} GROUP BY 1 HAVING count(*) > 1) USING (job_fingerprint)"""
+
+
+def _html() -> str:
+    text = "html"
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>",
+                    r"(?is)<style\b.*?</style\s*>", r"<[^>]*>"):
+        text = f"regexp_replace({text}, {quoted(pattern)}, ' ', 'g')"
+    for name, char in HTML_ENTITIES:
+        text = f"replace({text}, '&{name};', {quoted(char)})"
+    return squashed(text)
+
+
+def text_queries() -> dict[str, str]:
+    title = f"list_extract([{', '.join(quoted(t) for t in TITLES)}], o_orderkey % {len(TITLES)} + 1)"
+    return {
+        "classify_titles": f"""
+WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS source_job_id, {title} AS job_title_raw FROM orders),
+r AS (SELECT *, {family("job_title_raw", ROLE_RULES)} AS automated_role_family FROM t)
+SELECT 'orders' AS source, source_job_id, job_title_raw, automated_role_family,
+       automated_role_family AS role_family, 'Automated Rule' AS classification_method,
+       false AS role_override_applied, '' AS override_decision,
+       automated_role_family <> 'Non-target Role' AS is_target_data_role
+FROM r""",
+        "classify_with_overrides": f"""
+WITH {CLASSIFIED}
+SELECT source, source_job_id, automated_role_family, role_family, classification_method,
+       role_override_applied, override_decision, is_target_data_role FROM classified""",
+        "changed_predictions": f"""
+WITH {CLASSIFIED}
+SELECT count(*) FILTER (automated_role_family <> role_family) AS changed_predictions
+FROM classified""",
+        "review_queue": f"""
+WITH {CLASSIFIED},
+flagged AS (
+  SELECT *, role_family IN ('Other Analytics', 'Business Analyst', 'Power BI',
+                            'Analytics Manager') AS vague,
+         role_family = 'Non-target Role' AS off,
+         regexp_matches({plain("job_title_raw")}, {quoted(RELEVANT_TITLE)}) AS relevant
+  FROM classified),
+reasons AS (
+  SELECT *, concat_ws(' | ', CASE WHEN vague THEN 'Ambiguous standardized role' END,
+                      CASE WHEN off AND relevant THEN 'Possible false negative' END,
+                      CASE WHEN NOT off AND NOT relevant THEN 'Possible false positive' END)
+           AS review_reason
+  FROM flagged)
+SELECT CASE WHEN off = relevant THEN 'High' ELSE 'Medium' END AS review_priority, review_reason,
+       source_job_id, job_title_raw, role_family, is_target_data_role, company_name,
+       search_queries, '' AS manual_decision, '' AS correct_role_family, '' AS review_notes, job_url
+FROM reasons WHERE review_reason <> ''""",
+        "prepare_overrides": f"""
+WITH {POSTS} {REVIEWS}
+SELECT source_job_id, job_title_raw, manual_decision, correct_role_family,
+       correct_role_family <> 'Non-target Role' AS is_target_data_role_override, review_notes
+FROM reviews WHERE manual_decision <> 'Unverified'""",
+        "classifier_metrics": f"""
+WITH {CLASSIFIED},
+c AS (SELECT count(*) AS n, count(*) FILTER (automated_role_family = correct_role_family) AS hit,
+             count(*) FILTER (predicted_is_target AND actual_is_target) AS tp,
+             count(*) FILTER (predicted_is_target AND NOT actual_is_target) AS fp,
+             count(*) FILTER (NOT predicted_is_target AND actual_is_target) AS fn,
+             count(*) FILTER (NOT predicted_is_target AND NOT actual_is_target) AS tn
+      FROM evaluated)
+SELECT n AS reviewed_records, hit AS exact_role_family_matches,
+       n - hit AS exact_role_family_mismatches, hit::DOUBLE / n AS role_family_accuracy,
+       tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative,
+       tp::DOUBLE / (tp + fp) AS target_precision, tp::DOUBLE / (tp + fn) AS target_recall,
+       2 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn))
+         / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)) AS target_f1_score
+FROM c""",
+        "classifier_mismatches": f"""
+WITH {CLASSIFIED}
+SELECT source_job_id, job_title_raw, company_name, automated_role_family, correct_role_family,
+       manual_decision, predicted_is_target, actual_is_target
+FROM evaluated WHERE automated_role_family <> correct_role_family""",
+        "extract_skills": f"WITH {MATCHES} SELECT * FROM bridge",
+        "context_suppression": f"""
+WITH {MATCHES},
+lists AS (
+  SELECT source_record_key, kind, string_agg(alias, '|' ORDER BY lower(alias), alias) AS list
+  FROM (SELECT DISTINCT source_record_key, alias, 'all' AS kind FROM hits
+        WHERE skill_key = 'license_word'
+        UNION ALL
+        SELECT DISTINCT source_record_key, alias, 'kept' FROM kept
+        WHERE skill_key = 'license_word') GROUP BY 1, 2)
+SELECT a.source_record_key, a.list AS without_rule, k.list AS with_rule
+FROM lists a LEFT JOIN lists k ON k.source_record_key = a.source_record_key AND k.kind = 'kept'
+WHERE a.kind = 'all'""",
+        "skill_exclusions": f"""
+WITH {MATCHES}
+SELECT source_record_key, skill_key FROM bridge
+ANTI JOIN rejected USING (source_record_key, skill_key)""",
+        "excluded_count": f"""
+WITH {MATCHES}
+SELECT count(*) AS removed_relations FROM bridge
+SEMI JOIN rejected USING (source_record_key, skill_key)""",
+        "skill_audit": f"""
+WITH {MATCHES}
+SELECT source_record_key, source, source_job_id, job_title_raw, company_name, role_family,
+       publication_date, detected_skill_count, detected_skills FROM audit""",
+        "extraction_summary": f"""
+WITH {MATCHES}
+SELECT (SELECT count(*) FROM posts) AS jobs, count(*) AS relations,
+       count(DISTINCT source_record_key) AS jobs_with_skills,
+       round(100.0::DOUBLE * count(DISTINCT source_record_key) / (SELECT count(*) FROM posts), 2)
+         AS coverage_pct,
+       round(count(*)::DOUBLE / (SELECT count(*) FROM posts), 2) AS mean_skills_per_job
+FROM bridge""",
+        "skill_audit_parts": f"""
+WITH {MATCHES},
+parts AS (
+  (SELECT 'High Detected Skill Count' AS audit_type, * FROM audit
+   ORDER BY detected_skill_count DESC, source_record_key LIMIT 10)
+  UNION ALL
+  SELECT 'No Skills Detected', * FROM audit WHERE detected_skill_count = 0)
+SELECT audit_type, source_record_key, CAST(detected_skill_count AS VARCHAR) AS detected_skill_count,
+       detected_skills, left({squashed("description_text")}, 300) AS evidence_excerpt, job_url
+FROM parts""",
+        "fingerprint_duplicates": "WITH " + FINGERPRINTS + duplicates(
+            "marked", "source, source_job_id, company_name, location_raw, publication_date, job_url"),
+        "duplicate_groups": f"""
+WITH {FINGERPRINTS}
+SELECT CASE WHEN s > 1 THEN 'Cross-source' ELSE 'Within-source' END AS duplicate_scope,
+       count(*) AS duplicate_groups, CAST(sum(n) AS BIGINT) AS duplicate_records
+FROM (SELECT job_fingerprint, count(*) AS n, count(DISTINCT source) AS s FROM marked
+      GROUP BY 1 HAVING count(*) > 1) GROUP BY 1""",
+        "html_to_text": f"SELECT page_id, {_html()} AS body FROM pages",
+    }
+
+
+# --- raw records -------------------------------------------------------------
+
+def titled(number: str) -> str:
+    return f"list_extract([{', '.join(quoted(t) for t in TITLES)}], {number} % {len(TITLES)} + 1)"
+
+
+LANDED = """
+landed AS (
+  SELECT 'job-' || user_id AS source_job_id, event_type AS _source_query,
+         CAST(day(ts) AS INTEGER) AS _source_page, strftime(ts, '%Y%m%d') AS _source_file,
+         event_id AS _position, user_id, ts, value,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM events)
+"""
+
+
+def marked(title: str, company: str, location: str) -> str:
+    return (f"left(sha256(lower({company}) || '|' || lower({squashed(title)}) || '|' "
+            f"|| lower({location})), 20)")
+
+
+STAGED = LANDED + f""",
+seen AS (SELECT source_job_id, string_agg(q, '|' ORDER BY q) AS search_queries
+         FROM (SELECT DISTINCT source_job_id, _source_query AS q FROM landed) GROUP BY 1),
+firsts AS (
+  SELECT *, {titled("user_id")} AS title, 'Company ' || user_id % 40 AS company,
+         CASE user_id % 3 WHEN 0 THEN 'Worldwide' WHEN 1 THEN 'Canada|Spain' ELSE '' END AS place,
+         CASE WHEN k % 3 > 0 THEN k * 1000.0::DOUBLE END AS low,
+         CASE WHEN k % 3 > 1 THEN k * 1500 + 0.5::DOUBLE END AS high,
+         CASE WHEN k % 4 > 0 THEN 'USD' ELSE '' END AS cur,
+         CASE WHEN k % 5 > 0 THEN 'annual' ELSE '' END AS per
+  FROM landed
+  QUALIFY row_number() OVER (PARTITION BY source_job_id ORDER BY _source_file, _position) = 1),
+paged AS (
+  SELECT 'Paged' AS source, source_job_id, {marked("title", "company", "place")} AS job_fingerprint,
+         {squashed("title")} AS job_title_raw, {family("title", ROLE_RULES)} AS role_family,
+         company AS company_name, '' AS company_logo_url, '' AS category,
+         replace(array_to_string(list_sort(['sql', 'beta', 'alpha', _source_query]), '|'),
+                 'beta', 'Beta') AS tags,
+         '' AS job_type, '' AS seniority_raw, date_trunc('second', ts) AS publication_date,
+         CAST(NULL AS TIMESTAMP) AS expiry_date, place AS location_raw, '' AS timezone_raw,
+         user_id % 3 = 0 AS is_worldwide, low AS salary_min, high AS salary_max,
+         cur AS salary_currency, per AS salary_period,
+         CASE WHEN low IS NULL AND high IS NULL THEN '' ELSE concat_ws(' ',
+           CASE WHEN high IS NULL THEN 'From ' || format('{{:,}}', low::BIGINT)
+                WHEN low IS NULL THEN 'Up to ' || format('{{:,.2f}}', high)
+                ELSE format('{{:,}}', low::BIGINT) || '–' || format('{{:,.2f}}', high) END,
+           nullif(cur, ''), 'per ' || nullif(per, '')) END AS salary_raw,
+         'Value ' || CAST(round(value, 2) AS VARCHAR) || ' & more' AS description_text,
+         'https://jobs.example.com/' || user_id AS job_url, search_queries,
+         strftime(ts, '%Y-%m-%dT00:00:00Z') AS collected_at
+  FROM firsts JOIN seen USING (source_job_id)),
+lasts AS (
+  SELECT *, {titled("o_custkey")} AS title, 'Company ' || o_custkey % 40 AS company,
+         CASE WHEN o_custkey % 2 = 0 THEN 'Canada|Spain' ELSE 'Worldwide' END AS place
+  FROM orders
+  QUALIFY row_number() OVER (PARTITION BY o_custkey
+            ORDER BY strftime(o_orderdate, '%Y%m%d') DESC, o_orderkey DESC) = 1),
+snapshot AS (
+  SELECT 'Snapshot' AS source, CAST(o_custkey AS VARCHAR) AS source_job_id,
+         {marked("title", "company", "place")} AS job_fingerprint,
+         {squashed("title")} AS job_title_raw, {family("title", ROLE_RULES)} AS role_family,
+         company AS company_name, 'https://example.org/logo' AS company_logo_url,
+         o_orderpriority AS category,
+         array_to_string(list_sort(list_distinct(['b', 'B', 'a', o_orderstatus])), '|') AS tags,
+         'full_time' AS job_type, o_orderdate AS publication_date, place AS location_raw,
+         CASE WHEN o_orderstatus = 'F' THEN '' ELSE '40k - 50k' END AS salary_raw,
+         'Order ' || o_orderkey AS description_text,
+         'https://example.org/' || o_custkey AS job_url, '2024-02-01T00:00:00Z' AS collected_at
+  FROM lasts),
+master AS (
+  SELECT lower(source) || '::' || source_job_id AS source_record_key,
+         * REPLACE (CAST(replace(collected_at, 'Z', '') AS TIMESTAMP) AS collected_at)
+  FROM (SELECT * FROM paged UNION ALL BY NAME SELECT * FROM snapshot))
+"""
+
+JUDGED = """role_family AS automated_role_family, role_family <> 'Non-target Role'
+  AS is_target_data_role, 'Automated Rule' AS classification_method,
+  false AS role_override_applied, '' AS override_decision"""
+
+CRAWL = LANDED + """,
+page_sizes AS (SELECT _source_query, _source_page, count(*) AS page_records FROM landed GROUP BY 1, 2),
+first_seen AS (SELECT _source_query, source_job_id, min(_source_page) AS _source_page
+               FROM landed GROUP BY 1, 2),
+stops AS (
+  SELECT q._source_query, coalesce(min(p.n), 32) AS stop
+  FROM (SELECT DISTINCT _source_query FROM landed) q
+  LEFT JOIN range(1, 32) AS p(n) ON NOT EXISTS (
+    SELECT 1 FROM first_seen f
+    WHERE f._source_query = q._source_query AND f._source_page = p.n)
+  GROUP BY 1),
+crawl AS (
+  SELECT s._source_query, s._source_page, s.page_records,
+         (SELECT count(*) FROM first_seen f WHERE f._source_query = s._source_query
+            AND f._source_page = s._source_page) AS new_ids,
+         s._source_page < t.stop AS counted
+  FROM page_sizes s JOIN stops t ON t._source_query = s._source_query)
+"""
+
+
+def record_queries() -> dict[str, str]:
+    ids = "source_job_id, _source_query, _source_page, _source_file, _position"
+    ordered = "PARTITION BY source_job_id ORDER BY _source_file {0}, _position {0}"
+    return {
+        "latest_batch": f"""
+WITH {LANDED}
+SELECT ' ' || source_job_id AS guid, _source_query, _position FROM landed
+WHERE _source_file = (SELECT max(_source_file) FROM landed)""",
+        "dedup_first": f"""
+WITH {LANDED} SELECT {ids} FROM landed
+QUALIFY row_number() OVER ({ordered.format('')}) = 1""",
+        "dedup_last": f"""
+WITH {LANDED} SELECT {ids} FROM landed
+QUALIFY row_number() OVER ({ordered.format('DESC')}) = 1""",
+        "repeat_count": f"""
+WITH {LANDED} SELECT count(*) - count(DISTINCT source_job_id) AS repeated_rows FROM landed""",
+        "duplicate_members": f"""
+WITH {LANDED} SELECT {ids}, count(*) OVER (PARTITION BY source_job_id, _source_page) AS group_rows
+FROM landed QUALIFY group_rows > 1""",
+        "query_overlap": f"""
+WITH {STAGED} SELECT job_title_raw, company_name, search_queries FROM paged
+WHERE contains(search_queries, '|')""",
+        "crawl_pages": f"WITH {CRAWL} SELECT * FROM crawl",
+        "crawl_novelty": f"""
+WITH {CRAWL}
+SELECT _source_query, count(*) AS pages_saved, CAST(sum(page_records) AS BIGINT) AS records_received,
+       CAST(sum(new_ids) AS BIGINT) AS unique_ids,
+       CAST(sum(page_records) - sum(new_ids) AS BIGINT) AS repeated_records
+FROM crawl WHERE counted GROUP BY 1""",
+        "crawl_totals": f"""
+WITH {CRAWL},
+ids AS (SELECT count(DISTINCT l.source_job_id) AS n FROM landed l
+        JOIN crawl c USING (_source_query, _source_page) WHERE c.counted)
+SELECT count(*) AS pages_saved, CAST(sum(page_records) AS BIGINT) AS records_received,
+       (SELECT n FROM ids) AS unique_ids,
+       CAST(sum(page_records) - (SELECT n FROM ids) AS BIGINT) AS repeated_records
+FROM crawl WHERE counted""",
+        "json_fields": """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
+        "stage_paged": f"WITH {STAGED} SELECT *, {JUDGED} FROM paged",
+        "stage_snapshot": f"WITH {STAGED} SELECT *, {JUDGED} FROM snapshot",
+        "staging_report": f"""
+WITH {STAGED}
+SELECT (SELECT count(*) FROM landed) AS records_received, count(*) AS unique_jobs,
+       (SELECT count(*) FROM landed) - count(*) AS repeated_records,
+       count(*) FILTER (role_family <> 'Non-target Role') AS target_jobs,
+       CAST(0 AS BIGINT) AS overrides_applied, CAST(0 AS BIGINT) AS changed_predictions,
+       count(*) - count(DISTINCT job_fingerprint) AS duplicate_fingerprints,
+       count(*) FILTER (salary_raw = '') AS missing_salary,
+       count(*) FILTER (job_title_raw = '') AS missing_titles,
+       count(*) FILTER (company_name = '') AS missing_companies,
+       count(*) FILTER (publication_date IS NULL) AS missing_publication_dates
+FROM paged""",
+        "conform_union": f"WITH {STAGED} SELECT *, {JUDGED} FROM master",
+        "target_rows": f"""
+WITH {STAGED} SELECT source_record_key, role_family, job_fingerprint FROM master
+WHERE role_family <> 'Non-target Role'""",
+        "source_reconciliation": f"""
+WITH {STAGED}
+SELECT source, count(*) AS total_records,
+       count(*) FILTER (role_family <> 'Non-target Role') AS target_roles,
+       count(*) FILTER (role_family = 'Non-target Role') AS non_target_roles,
+       CAST(0 AS BIGINT) AS overrides_applied,
+       count(*) FILTER (salary_raw <> '') AS salary_disclosed,
+       count(*) FILTER (salary_raw = '') AS missing_salary,
+       count(*) FILTER (publication_date IS NULL) AS missing_publication_dates
+FROM master GROUP BY 1""",
+        "master_duplicates": "WITH " + STAGED + duplicates(
+            "master", "source, source_job_id, company_name, job_title_raw, location_raw, "
+            "publication_date, job_url"),
+        "bool_parse": """
+SELECT o_orderkey, CASE o_orderkey % 7 WHEN 6 THEN NULL ELSE o_orderkey % 7 IN (0, 2, 4) END AS flag
+FROM orders""",
+        "date_parse": """
+SELECT event_id AS _position, date_trunc('second', ts) AS published,
+       CASE WHEN event_id % 2 = 0 THEN make_timestamp(CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000)
+            ELSE date_trunc('second', ts) END AS published_ms,
+       CAST(NULL AS TIMESTAMP) AS expires
+FROM events""",
+        "salary_text": """
+WITH p AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS low,
+         CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice * 4 END AS high,
+         CASE WHEN o_orderkey % 5 <> 0 THEN 'usd' END AS cur,
+         CASE WHEN o_orderkey % 7 <> 0 THEN 'per annual' END AS per
+  FROM orders),
+t AS (SELECT *, format('{:,}', low) AS a,
+             CASE WHEN high = floor(high) THEN format('{:,}', CAST(high AS BIGINT))
+                  ELSE format('{:,.2f}', high) END AS b FROM p)
+SELECT o_orderkey, CASE WHEN low IS NULL AND high IS NULL THEN ''
+  WHEN high IS NULL THEN concat_ws(' ', 'From ' || a, cur, per)
+  WHEN low IS NULL THEN concat_ws(' ', 'Up to ' || b, cur, per)
+  ELSE concat_ws(' ', a || '–' || b, cur, per) END AS salary
+FROM t""",
+    }
+
+
+def quality_queries() -> dict[str, str]:
+    long_form = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (coalesce(trim(CAST({c} AS VARCHAR)), '') = '') "
+        f"AS missing_rows, count(*) AS total_rows FROM master"
+        for c in ("job_title_raw", "company_name", "salary_raw", "expiry_date", "search_queries",
+                  "salary_min"))
+    return {
+        "dq_unique": """
+SELECT l_orderkey, l_linenumber, count(*) AS key_rows FROM lineitem
+GROUP BY 1, 2 HAVING count(*) > 1""",
+        "dq_unique_nocase": """
+SELECT lower(p_name) AS p_name, count(*) AS key_rows FROM part GROUP BY 1 HAVING count(*) > 1""",
+        "dq_foreign_key": """
+SELECT o_custkey, count(*) AS child_rows FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""",
+        "dq_domain": """
+SELECT o_orderpriority, count(*) AS value_rows FROM orders
+WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1""",
+        "dq_range": """
+SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem WHERE l_tax > l_discount""",
+        "dq_completeness": f"WITH {STAGED} {long_form}",
+        "dq_reconcile": """
+SELECT 'lines' AS table_name, (SELECT count(*) FROM lineitem) AS table_rows,
+       (SELECT count(*) FROM orders) AS expected_rows
+WHERE (SELECT count(*) FROM lineitem) <> (SELECT count(*) FROM orders)""",
+        "dq_rules": """
+SELECT 'quantity_below_50' AS rule, count(*) FILTER (l_quantity >= 50) AS failing_rows FROM lineitem
+UNION ALL
+SELECT 'known_flag', count(*) FILTER (l_returnflag NOT IN ('A', 'N', 'R')) FROM lineitem
+UNION ALL
+SELECT 'discount_range', count(*) FILTER (l_discount < 0.01 OR l_discount > 0.09) FROM lineitem""",
+        "dq_blank": f"""
+WITH {STAGED} SELECT source_record_key FROM master WHERE salary_raw = '' OR location_raw = ''""",
+        "dq_key_format": "SELECT source, CAST(doc_id AS VARCHAR) AS source_job_id FROM documents "
+                         "WHERE source = 'src3'",
+        "dq_flag": f"""
+WITH {CLASSIFIED} SELECT source_job_id FROM classified
+WHERE is_target_data_role <> (automated_role_family <> 'Non-target Role')""",
+        "dq_source": """
+SELECT source, count(*) AS source_rows FROM documents WHERE source <> 'src1' GROUP BY 1""",
+        "dq_target_only": f"""
+WITH {STAGED} SELECT source_record_key FROM master WHERE role_family = 'Non-target Role'""",
+        "dq_set_difference": f"""
+WITH {STAGED} SELECT source_record_key, 'left' AS side FROM master
+WHERE role_family = 'Non-target Role'""",
+        "dq_dimension": """
+WITH dim AS (SELECT c_custkey AS value FROM customer WHERE c_acctbal > 0),
+fact AS (SELECT DISTINCT o_custkey AS value FROM orders)
+SELECT coalesce(d.value, f.value) AS value,
+       CASE WHEN f.value IS NULL THEN 'left' ELSE 'right' END AS side
+FROM dim d FULL JOIN fact f ON d.value = f.value WHERE d.value IS NULL OR f.value IS NULL""",
+        "dq_unmatched": f"""
+WITH {POSTS} {REVIEWS}
+SELECT o.source, o.source_job_id FROM overrides o
+JOIN documents d ON o.source_job_id = CAST(d.doc_id AS VARCHAR) WHERE d.lang <> 'en'""",
+        "dq_bridge_keys": f"""
+WITH {MATCHES}
+SELECT evidence_source AS source_record_key, skill_key, count(*) AS key_rows FROM bridge
+GROUP BY 1, 2 HAVING count(*) > 1""",
+        "value_counts": f"""
+WITH {STAGED} SELECT role_family, count(*) AS value_rows FROM master GROUP BY 1""",
+    }
+
+
 def all_queries() -> dict[str, str]:
-    return {**basket_queries()}
+    return {**basket_queries(), **text_queries(), **record_queries(), **quality_queries()}

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill import bindings as b
-from postmill.plans import gap, reports, views
+from postmill.functions import text, values
+from postmill.operators import checks, dedup
+from postmill.plans import classify, gap, master, reports, skills, staging, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +21,10 @@ def basket_query(build: Callable[[DataFrame, DataFrame, DataFrame], DataFrame])
     return run
 
 
-def _load_summary(jobs: DataFrame, skills: DataFrame, bridge: DataFrame) -> DataFrame:
+def _load_summary(jobs: DataFrame, dimension: DataFrame, bridge: DataFrame) -> DataFrame:
     sources = reports.jobs_by_source(jobs).select(
         F.lit("source").alias("part"), F.col("source").alias("name"), "job_count")
-    top = reports.top_skills(skills, bridge, 10).select(
+    top = reports.top_skills(dimension, bridge, 10).select(
         F.lit("skill").alias("part"), F.col("skill_name").alias("name"), "job_count")
     return sources.unionByName(top)
 
@@ -52,5 +54,189 @@ def basket_queries() -> dict[str, Query]:
     }
 
 
+def _licensing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting where a licence word was found, and what the context rule left."""
+    posts = b.postings(spark, sf_dir)
+    word = [s for s in b.TEXT_SKILLS if s.key == b.TEXT_RULE.skill]
+    plain = skills.extract_skills(posts, word, ()).select(
+        views.KEY, F.col("matched_aliases").alias("without_rule"))
+    ruled = skills.extract_skills(posts, word, (b.TEXT_RULE,)).select(
+        views.KEY, F.col("matched_aliases").alias("with_rule"))
+    return plain.join(ruled, views.KEY, "left")
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.skill_audit(b.postings(spark, sf_dir),
+                              skills.skill_dimension(spark, b.TEXT_SKILLS),
+                              b.text_bridge(spark, sf_dir))
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.skill_audit_sample(
+        b.postings(spark, sf_dir), skills.skill_dimension(spark, b.TEXT_SKILLS),
+        b.text_bridge(spark, sf_dir), risky=("that_word", "license_word", "mail"))
+
+
+def _sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the sample that do not depend on the draw."""
+    return (_sample(spark, sf_dir).filter(F.col("audit_type") != "Potentially Ambiguous Match")
+            .select("audit_type", views.KEY, "detected_skill_count", "detected_skills",
+                    "evidence_excerpt", "job_url"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged = classify.classify_roles(b.postings(spark, sf_dir).drop("role_family"), None,
+                                     b.TEXT_RULES)
+    return classify.labelled_predictions(b.text_overrides(spark, sf_dir), staged)
+
+
+def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings whose fingerprint covers language and the whole text."""
+    posts = b.postings(spark, sf_dir)
+    return posts.withColumn("job_fingerprint", text.fingerprint(
+        F.col("tags"), F.col("description_text"), F.col("location_raw")))
+
+
+def text_queries() -> dict[str, Query]:
+    return {
+        "classify_titles": lambda s, d: classify.classify_roles(
+            b.table(s, d, "orders").select(
+                F.lit("orders").alias("source"), F.col("o_orderkey").cast("string")
+                .alias("source_job_id"), b.title_of(F.col("o_orderkey")).alias("job_title_raw"))),
+        "classify_with_overrides": lambda s, d: b.text_classified(s, d).select(
+            "source", "source_job_id", "automated_role_family", "role_family",
+            "classification_method", "role_override_applied", "override_decision",
+            "is_target_data_role"),
+        "changed_predictions": lambda s, d: classify.changed_predictions(b.text_classified(s, d)),
+        "review_queue": lambda s, d: classify.review_queue(b.text_classified(s, d)),
+        "prepare_overrides": lambda s, d: classify.prepare_overrides(b.text_reviews(s, d)),
+        "classifier_metrics": lambda s, d: classify.classifier_metrics(_evaluated(s, d)),
+        "classifier_mismatches": lambda s, d: classify.classifier_mismatches(_evaluated(s, d)),
+        "extract_skills": b.text_bridge,
+        "context_suppression": _licensing,
+        "skill_exclusions": lambda s, d: skills.apply_exclusions(
+            b.text_bridge(s, d), b.text_exclusions(s, d)).select(views.KEY, "skill_key"),
+        "excluded_count": lambda s, d: skills.excluded_count(
+            b.text_bridge(s, d), b.text_exclusions(s, d)),
+        "skill_audit": _audited,
+        "extraction_summary": lambda s, d: skills.extraction_summary(
+            b.postings(s, d), b.text_bridge(s, d)),
+        "skill_audit_sample": _sample,
+        "skill_audit_parts": _sample_parts,
+        "fingerprint_duplicates": lambda s, d: master.duplicate_candidates(
+            _fingerprinted(s, d)).drop("job_title_raw"),
+        "duplicate_groups": lambda s, d: master.duplicate_groups(_fingerprinted(s, d)),
+        "html_to_text": lambda s, d: b.table(s, d, "pages").select(
+            "page_id", text.html_to_text(F.col("html")).alias("body")),
+    }
+
+
+def _latest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = b.paged_records(spark, sf_dir)
+    newest = records.agg(F.max("_source_file").alias("n")).scalar()
+    return records.filter(F.col("_source_file") == newest).select("guid", "_source_query",
+                                                                  "_position")
+
+
+def record_queries() -> dict[str, Query]:
+    def ids(s, d):
+        return b.paged_records(s, d).select(text.strip(F.col("guid")).alias("source_job_id"),
+                                            "_source_query", "_source_page", "_source_file",
+                                            "_position")
+
+    arrival = ["_source_file", "_position"]
+    return {
+        "latest_batch": _latest_batch,
+        "dedup_first": lambda s, d: dedup.keep_first(ids(s, d), ["source_job_id"], arrival),
+        "dedup_last": lambda s, d: dedup.keep_last(ids(s, d), ["source_job_id"], arrival),
+        "repeat_count": lambda s, d: dedup.repeat_count(ids(s, d), "source_job_id"),
+        "duplicate_members": lambda s, d: dedup.duplicate_members(
+            ids(s, d), ["source_job_id", "_source_page"], ["_position"]),
+        "query_overlap": lambda s, d: staging.query_overlap(
+            staging.stage_paged(b.paged_records(s, d), "Paged")),
+        "crawl_pages": lambda s, d: staging.crawl_pages(ids(s, d)),
+        "crawl_novelty": lambda s, d: staging.crawl_summary(ids(s, d)),
+        "crawl_totals": lambda s, d: staging.crawl_totals(ids(s, d)),
+        "json_fields": lambda s, d: b.table(s, d, "events").select(
+            "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")),
+        "stage_paged": lambda s, d: staging.stage_paged(b.paged_records(s, d), "Paged"),
+        "stage_snapshot": lambda s, d: staging.stage_snapshot(b.snapshot_records(s, d),
+                                                              "Snapshot"),
+        "staging_report": lambda s, d: staging.staging_report(
+            b.paged_records(s, d), staging.stage_paged(b.paged_records(s, d), "Paged")),
+        "conform_union": b.conformed,
+        "target_rows": lambda s, d: master.target_rows(b.conformed(s, d)).select(
+            "source_record_key", "role_family", "job_fingerprint"),
+        "source_reconciliation": lambda s, d: master.source_reconciliation(b.conformed(s, d)),
+        "master_duplicates": lambda s, d: master.duplicate_candidates(b.conformed(s, d)),
+        "bool_parse": lambda s, d: b.table(s, d, "orders").select(
+            "o_orderkey", values.loose_bool(F.element_at(
+                F.array(*[F.lit(w) for w in (" TRUE", "false", "1", "0", "Yes", "no ", "maybe")]),
+                (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("flag")),
+        "date_parse": lambda s, d: b.paged_records(s, d).select(
+            "_position", values.parse_instant(F.col("pubDate")).alias("published"),
+            values.parse_instant(F.col("pubDate"), "ms").alias("published_ms"),
+            values.parse_instant(F.col("expiryDate")).alias("expires")),
+        "salary_text": lambda s, d: b.table(s, d, "orders").select("o_orderkey", values.salary_text(
+            F.when(F.col("o_orderkey") % 3 != 0, F.floor(F.col("o_totalprice")).cast("double")),
+            F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice") * 4),
+            F.when(F.col("o_orderkey") % 5 != 0, F.lit(" usd ")).otherwise(""),
+            F.when(F.col("o_orderkey") % 7 != 0, F.lit("Annual"))).alias("salary")),
+    }
+
+
+def quality_queries() -> dict[str, Query]:
+    t = b.table
+    key, skill = views.KEY, "skill_key"
+    return {
+        "dq_unique": lambda s, d: checks.duplicate_keys(
+            t(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
+        "dq_unique_nocase": lambda s, d: checks.duplicate_keys(
+            t(s, d, "part"), ["p_name"], ignore_case=True),
+        "dq_foreign_key": lambda s, d: checks.orphans(
+            t(s, d, "orders"),
+            t(s, d, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey"),
+        "dq_domain": lambda s, d: checks.outside_domain(
+            t(s, d, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]),
+        "dq_range": lambda s, d: checks.inverted_range(
+            t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount"),
+            "l_tax", "l_discount"),
+        "dq_completeness": lambda s, d: checks.completeness(
+            b.conformed(s, d), ["job_title_raw", "company_name", "salary_raw", "expiry_date",
+                                "search_queries", "salary_min"]),
+        "dq_reconcile": lambda s, d: checks.count_mismatch(
+            checks.table_counts({"orders": t(s, d, "orders"), "lines": t(s, d, "lineitem")}),
+            checks.table_counts({"orders": b.basket_jobs(s, d), "lines": t(s, d, "orders")})),
+        "dq_rules": lambda s, d: checks.rule_failures(t(s, d, "lineitem"), {
+            "quantity_below_50": F.col("l_quantity") < 50,
+            "known_flag": F.col("l_returnflag").isin("A", "N", "R"),
+            "discount_range": F.col("l_discount").between(0.01, 0.09)}),
+        "dq_blank": lambda s, d: checks.blank_values(
+            b.conformed(s, d), ["salary_raw", "location_raw"]).select("source_record_key"),
+        "dq_key_format": lambda s, d: checks.malformed_keys(b.postings(s, d).withColumn(
+            "source_record_key", F.when(F.col("source") == "src3", "x::1")
+            .otherwise(F.col("source_record_key")))).select("source", "source_job_id"),
+        "dq_flag": lambda s, d: checks.flag_mismatch(
+            b.text_classified(s, d), "is_target_data_role",
+            F.col("automated_role_family") != "Non-target Role").select("source_job_id"),
+        "dq_source": lambda s, d: checks.wrong_source(b.postings(s, d), "src1"),
+        "dq_target_only": lambda s, d: checks.not_true(
+            b.conformed(s, d), "is_target_data_role").select("source_record_key"),
+        "dq_set_difference": lambda s, d: checks.set_difference(
+            b.conformed(s, d).select("source_record_key"),
+            master.target_rows(b.conformed(s, d)).select("source_record_key")),
+        "dq_dimension": lambda s, d: checks.dimension_mismatch(
+            t(s, d, "customer").filter("c_acctbal > 0"), "c_custkey", t(s, d, "orders"), "o_custkey"),
+        "dq_unmatched": lambda s, d: checks.unmatched(
+            b.text_overrides(s, d), t(s, d, "documents").filter("lang = 'en'").select(
+                "source", F.col("doc_id").cast("string").alias("source_job_id")),
+            ["source", "source_job_id"]).select("source", "source_job_id"),
+        "dq_bridge_keys": lambda s, d: checks.duplicate_keys(b.text_bridge(s, d), [key, skill])
+        .unionByName(checks.duplicate_keys(b.text_bridge(s, d), [skill, "evidence_source"])
+                     .select(F.col("evidence_source").alias(key), skill, "key_rows")),
+        "value_counts": lambda s, d: reports.value_counts(b.conformed(s, d), "role_family"),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**basket_queries()}
+    return {**basket_queries(), **text_queries(), **record_queries(), **quality_queries()}
