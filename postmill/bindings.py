@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from postmill.functions.matching import ContextRule, skills_from_rows
 from postmill.plans.classify import classify_roles, clean_overrides, prepare_overrides
 from postmill.plans.master import build_master
-from postmill.plans.skills import extract_skills
+from postmill.plans.skills import extract_skills, extract_skills_joined
 from postmill.plans.staging import stage_paged, stage_snapshot
 from postmill.plans.views import KEY
+from postmill.session import inline_table
 
 KNOWN = ("brand_1", "brand_2", "brand_3", "brand_4")
 ROLE = "1-URGENT"
@@ -110,6 +111,12 @@ def text_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_skills(postings(spark, sf_dir), TEXT_SKILLS, (TEXT_RULE,))
 
 
+def text_bridge_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dictionary = inline_table(spark, ("skill_key", "skill_name", "skill_category", "aliases"),
+                              TEXT_SKILL_ROWS)
+    return extract_skills_joined(postings(spark, sf_dir), dictionary, (TEXT_RULE,))
+
+
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as a filled-in review table, with the slips reviewers make."""
     quality, toxic, doc = F.col("quality"), F.col("toxic"), F.col("doc_id")

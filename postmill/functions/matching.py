@@ -12,12 +12,12 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.fixed import (APPLIED_TERMS, CONTEXT_CHARS, EDUCATION_TERMS, EXCERPT_AFTER,
                             EXCERPT_BEFORE, STUDY_FIELD_SKILL)
-from postmill.functions.text import fold
+from postmill.functions.text import fold, squash, strip
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,31 @@ def dictionary_column(skills: Sequence[Skill]) -> Column:
     return F.expr(f"array({entries})")
 
 
+def term_dictionary(table: DataFrame) -> DataFrame:
+    """Dictionary rows as (anchor, entry): one row per alias of a table with
+    skill_key and pipe-joined aliases.
+
+    `entry` has the shape of `dictionary_column`; `anchor` is the longest ASCII
+    word of the alias, which any text that matches it must contain as a word
+    ('' when the alias has none, and then every text is a candidate).
+    """
+    alias = F.col("alias")
+    body = F.concat(F.lit(r"\Q"), F.regexp_replace(alias, r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])"), body, F.lit(r"(?![A-Za-z0-9_])"))
+    rows = (table.select("skill_key", F.explode(F.split("aliases", r"\|")).alias("alias"))
+            .withColumn("alias", strip(alias)).filter(alias != "").distinct())
+    needle = fold(squash(alias))
+    longest = F.array_max(F.transform(ascii_words(needle),
+                                      lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    return rows.select(F.coalesce(longest["w"], F.lit("")).alias("anchor"),
+                       F.struct("skill_key", "alias", needle.alias("needle"),
+                                pattern.alias("pattern")).alias("entry"))
+
+
+def ascii_words(folded: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit("[a-z0-9_]+"), 0))
+
+
 def _has_any(text: Column, terms: Sequence[str]) -> Column:
     found = F.lit(False)
     for term in terms:

@@ -482,6 +482,7 @@ SELECT source_job_id, job_title_raw, company_name, automated_role_family, correc
        manual_decision, predicted_is_target, actual_is_target
 FROM evaluated WHERE automated_role_family <> correct_role_family""",
         "extract_skills": f"WITH {MATCHES} SELECT * FROM bridge",
+        "extract_skills_joined": f"WITH {MATCHES} SELECT * FROM bridge",
         "context_suppression": f"""
 WITH {MATCHES},
 lists AS (

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.fixed import (EXCERPT_FALLBACK, OVERRIDE_ACTIONS, RISKY_SKILLS, SAMPLE_SEED,
                             SAMPLES_PER_SKILL, SKILL_COLUMNS, SKILLS, TOP_COUNT_JOBS)
 from postmill.functions.matching import (STUDY_FIELD_RULE, ContextRule, Skill, alias_hits,
-                                         dictionary_column, excerpt, skills_from_rows)
+                                         ascii_words, dictionary_column, excerpt,
+                                         skills_from_rows, term_dictionary)
 from postmill.functions.text import casefold_sort, drop_urls, fold, squash, strip
 from postmill.operators import checks
 from postmill.operators.dedup import top_rows
@@ -35,9 +36,34 @@ def extract_skills(jobs: DataFrame, skills: Sequence[Skill] = DEFAULT_SKILLS,
     Cleaning, folding and matching are separate steps so that each text is
     cleaned once, not once per alias.
     """
-    dictionary = dictionary_column(skills)
+    folded = _folded(jobs, fields)
+    return _group_hits(folded, dictionary_column(skills), rules, fields)
+
+
+def extract_skills_joined(jobs: DataFrame, dictionary: DataFrame,
+                          rules: Sequence[ContextRule] = (STUDY_FIELD_RULE,),
+                          fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:
+    """extract_skills for a dictionary table of any size.
+
+    The distinct words of each posting meet the anchor words of the aliases in
+    an equi-join; the entries that remain per posting go through the same
+    matching as the constant dictionary. Texts do not take part in the join.
+    """
+    folded = _folded(jobs, fields)
+    words = ascii_words(F.concat_ws(" ", *[f"_{f}" for f in fields]))
+    spoken = folded.select(KEY, F.explode(F.concat(words, F.array(F.lit("")))).alias("anchor"))
+    candidates = (spoken.join(term_dictionary(dictionary), "anchor").groupBy(KEY)
+                  .agg(F.collect_list("entry").alias("_entries")))
+    return _group_hits(folded.join(candidates, KEY), F.col("_entries"), rules, fields)
+
+
+def _folded(jobs: DataFrame, fields: Sequence[str]) -> DataFrame:
     clean = jobs.select(KEY, *[drop_urls(F.col(f)).alias(f) for f in fields])
-    folded = clean.select("*", *[fold(F.col(f)).alias(f"_{f}") for f in fields])
+    return clean.select("*", *[fold(F.col(f)).alias(f"_{f}") for f in fields])
+
+
+def _group_hits(folded: DataFrame, dictionary: Column, rules: Sequence[ContextRule],
+                fields: Sequence[str]) -> DataFrame:
     hits = folded.select(KEY, *[
         F.transform(alias_hits(F.col(f), F.col(f"_{f}"), dictionary, rules),
                     lambda h: F.struct(h["skill_key"].alias("skill_key"), h["alias"].alias("alias")))

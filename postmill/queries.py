@@ -113,6 +113,7 @@ def text_queries() -> dict[str, Query]:
         "classifier_metrics": lambda s, d: classify.classifier_metrics(_evaluated(s, d)),
         "classifier_mismatches": lambda s, d: classify.classifier_mismatches(_evaluated(s, d)),
         "extract_skills": b.text_bridge,
+        "extract_skills_joined": b.text_bridge_joined,
         "context_suppression": _licensing,
         "skill_exclusions": lambda s, d: skills.apply_exclusions(
             b.text_bridge(s, d), b.text_exclusions(s, d)).select(views.KEY, "skill_key"),
