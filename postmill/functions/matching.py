@@ -1,9 +1,13 @@
 """Whole-term alias matching of a dictionary against text, inside one row.
 
-The dictionary travels as one constant array column. Each text is tested with
-a cheap substring search first and the boundary-aware regular expression runs
-only where the substring occurs, so cost follows the hits and the plan stays
-the same size however many aliases there are. Nothing here shuffles.
+The dictionary travels as one constant array column. Each text is cut into
+words once; an alias is a candidate only if its anchor, its longest ASCII word,
+is among them. An alias that is its own anchor has then been found; others pass
+a substring search and a boundary-aware regular expression. Cost follows the
+hits, not the size of the dictionary, and nothing here shuffles.
+
+Matching ignores case by working on folded text (see `functions.text.fold`),
+in which white space is single blanks and offsets are those of the input.
 """
 
 from __future__ import annotations
@@ -48,12 +52,6 @@ def skills_from_rows(rows: Iterable[Sequence[str]]) -> tuple[Skill, ...]:
                  for key, name, category, aliases in rows)
 
 
-def alias_pattern(alias: str) -> str:
-    """Case-insensitive whole-term pattern; blanks match any white space."""
-    body = r"\s+".join(re.escape(word) for word in alias.split())
-    return rf"(?iu)(?<![A-Za-z0-9_]){body}(?![A-Za-z0-9_])"
-
-
 def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -62,38 +60,65 @@ def _needle(alias: str) -> str:
     return " ".join(alias.split()).translate(str.maketrans("İıſK", "iisk")).lower()
 
 
+def _anchor(needle: str) -> str:
+    return max(re.findall("[a-z0-9_]+", needle), key=lambda w: (len(w), w), default="")
+
+
 def dictionary_column(skills: Sequence[Skill]) -> Column:
-    """The dictionary as a constant array<struct<skill_key, alias, needle, pattern>>."""
+    """The dictionary as a constant array of structs <skill_key, alias, needle, anchor>."""
     entries = ", ".join(
         f"named_struct('skill_key', {_quote(s.key)}, 'alias', {_quote(a)}, "
-        f"'needle', {_quote(_needle(a))}, 'pattern', {_quote(alias_pattern(a))})"
+        f"'needle', {_quote(_needle(a))}, 'anchor', {_quote(_anchor(_needle(a)))})"
         for s in skills for a in s.aliases)
     return F.expr(f"array({entries})")
 
 
+def whole_term(needle: Column) -> Column:
+    """Pattern for a folded term that no ASCII letter, digit or '_' touches."""
+    return F.concat(F.lit(r"(?<![a-z0-9_])\Q"), needle, F.lit(r"\E(?![a-z0-9_])"))
+
+
+def anchors_in(folded: Column, skills: Sequence[Skill]) -> Column:
+    """The anchors of the dictionary that occur in one text as words.
+
+    An alias without ASCII words has the anchor '', which every text contains.
+    """
+    anchors = sorted({_anchor(_needle(a)) for s in skills for a in s.aliases})
+    return F.array_intersect(F.lit(anchors), _words_and_blank(folded))
+
+
+def entry_anchors_in(folded: Column, entries: Column) -> Column:
+    """As anchors_in for entries that are a column themselves."""
+    return F.array_intersect(F.transform(entries, lambda e: e["anchor"]),
+                             _words_and_blank(folded))
+
+
+def candidates(dictionary: Column, anchors: Column) -> Column:
+    return F.filter(dictionary, lambda e: F.array_contains(anchors, e["anchor"]))
+
+
 def term_dictionary(table: DataFrame) -> DataFrame:
     """Dictionary rows as (anchor, entry): one row per alias of a table with
-    skill_key and pipe-joined aliases.
-
-    `entry` has the shape of `dictionary_column`; `anchor` is the longest ASCII
-    word of the alias, which any text that matches it must contain as a word
-    ('' when the alias has none, and then every text is a candidate).
+    skill_key and pipe-joined aliases. `entry` is shaped as in `dictionary_column`.
     """
     alias = F.col("alias")
-    body = F.concat(F.lit(r"\Q"), F.regexp_replace(alias, r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9_])"), body, F.lit(r"(?![A-Za-z0-9_])"))
     rows = (table.select("skill_key", F.explode(F.split("aliases", r"\|")).alias("alias"))
             .withColumn("alias", strip(alias)).filter(alias != "").distinct())
     needle = fold(squash(alias))
-    longest = F.array_max(F.transform(ascii_words(needle),
+    longest = F.array_max(F.transform(_words_and_blank(needle),
                                       lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return rows.select(F.coalesce(longest["w"], F.lit("")).alias("anchor"),
+    return rows.select(longest["w"].alias("anchor"),
                        F.struct("skill_key", "alias", needle.alias("needle"),
-                                pattern.alias("pattern")).alias("entry"))
+                                longest["w"].alias("anchor")).alias("entry"))
+
+
+def spoken_words(folded: Column) -> Column:
+    """Distinct ASCII words of a text, and the blank."""
+    return F.array_distinct(_words_and_blank(folded))
 
 
-def ascii_words(folded: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit("[a-z0-9_]+"), 0))
+def _words_and_blank(folded: Column) -> Column:
+    return F.concat(F.regexp_extract_all(folded, F.lit("[a-z0-9_]+"), 0), F.array(F.lit("")))
 
 
 def _has_any(text: Column, terms: Sequence[str]) -> Column:
@@ -116,19 +141,20 @@ def match_context(text: Column, pattern: Column, chars: int) -> Column:
     return F.when(F.size(sides) == 2, F.substring(text, start + 1, end - start))
 
 
-def alias_hits(text: Column, folded: Column, dictionary: Column,
-               rules: Sequence[ContextRule]) -> Column:
-    """Dictionary entries found in one cleaned text."""
+def alias_hits(folded: Column, entries: Column, rules: Sequence[ContextRule]) -> Column:
+    """Those of the candidate entries that are found in one folded text."""
     def found(entry: Column) -> Column:
-        hit = F.contains(folded, entry["needle"]) & F.rlike(text, entry["pattern"])
+        needle = entry["needle"]
+        hit = (needle == entry["anchor"]) | (F.contains(folded, needle)
+                                             & F.rlike(folded, whole_term(needle)))
         for rule in rules:
-            around = F.lower(match_context(text, entry["pattern"], rule.chars))
+            around = match_context(folded, whole_term(needle), rule.chars)
             hit = hit & ~((entry["skill_key"] == rule.skill)
                           & _has_any(around, rule.when_terms)
                           & ~_has_any(around, rule.unless_terms))
         return hit
 
-    return F.when(folded == "", F.slice(dictionary, 1, 0)).otherwise(F.filter(dictionary, found))
+    return F.filter(entries, found)
 
 
 def excerpt(text: Column, aliases: Column, before: int = EXCERPT_BEFORE,

@@ -30,8 +30,13 @@ def is_blank(c: Column) -> Column:
 
 
 def drop_urls(c: Column) -> Column:
-    """Blank out web addresses, then squash."""
-    return squash(F.regexp_replace(c, r"(?iU)https?://\S+|www\.\S+", " "))
+    """Blank out web addresses, then squash.
+
+    The expression runs only on texts that hold what every address holds.
+    """
+    low = F.lower(c)
+    return squash(F.when(low.contains("://") | low.contains("www."),
+                         F.regexp_replace(c, r"(?iU)https?://\S+|www\.\S+", " ")).otherwise(c))
 
 
 def fold(c: Column) -> Column:
@@ -40,7 +45,9 @@ def fold(c: Column) -> Column:
     The four letters listed are the ones a case-insensitive ASCII match also
     accepts; mapping them first keeps offsets equal to those of the input.
     """
-    return F.lower(F.translate(c, "İıſK", "iisk"))
+    for char, plain in zip("İıſK", "iisk"):
+        c = F.replace(c, F.lit(char), F.lit(plain))
+    return F.lower(c)
 
 
 def casefold_sort(values: Column) -> Column:

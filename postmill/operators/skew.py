@@ -7,36 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A group is hot when it holds more than one part in HOT_PARTS of all rows, so
-# fewer than HOT_PARTS groups can ever be hot: that bounds the broadcast list.
-HOT_PARTS = 100_000
-MIN_HOT_ROWS = 50_000
+# Only the HOT_GROUPS largest groups can be hot, which bounds the broadcast list;
+# any other group is smaller than one part in HOT_GROUPS of the rows.
+HOT_GROUPS = 10_000
+SLICE_ROWS = 1_000_000
 
 
 def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str,
-                     spread_by: Sequence[str], min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                     spread_by: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Inner join of `rows` with `facts`, which has one row per key.
 
     `size` is the column of `facts` that counts the rows of the group. Rows of
-    a hot group are dealt over slices by a hash of `spread_by`, and the single
-    fact row is repeated once per slice, so no task receives a whole hot group.
+    a large group are dealt over slices by a hash of `spread_by`, and its fact
+    row is repeated once per slice, so no task receives a whole large group.
+    The list of large groups is a top-k by size and the only thing broadcast.
     Null keys match each other, as they do when the facts are grouped.
-    The list of hot keys is bounded by construction (see HOT_PARTS) and is the
-    only thing broadcast.
     """
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    total = facts.agg(F.sum(size).alias("n")).scalar()
-    slice_rows = F.greatest(F.ceil(total / F.lit(HOT_PARTS)), F.lit(min_hot_rows))
-    slices = F.ceil(F.col(size) / slice_rows).cast("int")
-    cut = facts.withColumnsRenamed(names).withColumn("_slices", slices)
-    hot = F.broadcast(cut.filter("_slices > 1").select(*names.values(), "_slices"))
+    hot = F.broadcast(
+        facts.filter(F.col(size) > slice_rows).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
+        .select(*[F.col(k).alias(n) for k, n in names.items()],
+                F.ceil(F.col(size) / slice_rows).cast("int").alias("_slices")))
+
+    def with_slices(df: DataFrame) -> DataFrame:
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+        return (df.join(hot, same, "left").drop(*names.values())
+                .withColumn("_slices", F.coalesce("_slices", F.lit(1))))
+
+    dealt = with_slices(rows).withColumn(
+        "_slice", F.pmod(F.xxhash64(*spread_by), F.col("_slices")).cast("int")).drop("_slices")
+    spread = (with_slices(facts)
+              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+              .drop("_slices").withColumnsRenamed(names))
     same_key = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-
-    dealt = rows.join(hot, same_key, "left").withColumn(
-        "_slice", F.when(F.col("_slices").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64(*spread_by), F.col("_slices")).cast("int"))
-    ).drop("_slices", *names.values())
-    spread = (cut.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-              .drop("_slices"))
     return (dealt.join(spread, [*same_key, F.col("_slice") == F.col("_part")], "inner")
             .drop("_slice", "_part", *names.values()))

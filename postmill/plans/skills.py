@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from postmill.fixed import (EXCERPT_FALLBACK, OVERRIDE_ACTIONS, RISKY_SKILLS, SAMPLE_SEED,
                             SAMPLES_PER_SKILL, SKILL_COLUMNS, SKILLS, TOP_COUNT_JOBS)
 from postmill.functions.matching import (STUDY_FIELD_RULE, ContextRule, Skill, alias_hits,
-                                         ascii_words, dictionary_column, excerpt,
-                                         skills_from_rows, term_dictionary)
+                                         anchors_in, candidates, dictionary_column,
+                                         entry_anchors_in, excerpt, skills_from_rows,
+                                         spoken_words, term_dictionary)
 from postmill.functions.text import casefold_sort, drop_urls, fold, squash, strip
 from postmill.operators import checks
 from postmill.operators.dedup import top_rows
@@ -36,8 +37,11 @@ def extract_skills(jobs: DataFrame, skills: Sequence[Skill] = DEFAULT_SKILLS,
     Cleaning, folding and matching are separate steps so that each text is
     cleaned once, not once per alias.
     """
-    folded = _folded(jobs, fields)
-    return _group_hits(folded, dictionary_column(skills), rules, fields)
+    dictionary = dictionary_column(skills)
+    heard = _folded(jobs, fields).select(
+        "*", *[anchors_in(F.col(f"_{f}"), skills).alias(f"_in_{f}") for f in fields])
+    return _group_hits(heard, {f: candidates(dictionary, F.col(f"_in_{f}")) for f in fields},
+                       rules, fields)
 
 
 def extract_skills_joined(jobs: DataFrame, dictionary: DataFrame,
@@ -50,24 +54,39 @@ def extract_skills_joined(jobs: DataFrame, dictionary: DataFrame,
     matching as the constant dictionary. Texts do not take part in the join.
     """
     folded = _folded(jobs, fields)
-    words = ascii_words(F.concat_ws(" ", *[f"_{f}" for f in fields]))
-    spoken = folded.select(KEY, F.explode(F.concat(words, F.array(F.lit("")))).alias("anchor"))
-    candidates = (spoken.join(term_dictionary(dictionary), "anchor").groupBy(KEY)
-                  .agg(F.collect_list("entry").alias("_entries")))
-    return _group_hits(folded.join(candidates, KEY), F.col("_entries"), rules, fields)
+    words = spoken_words(F.concat_ws(" ", *[f"_{f}" for f in fields]))
+    found = (folded.select(KEY, F.explode(words).alias("anchor"))
+             .join(term_dictionary(dictionary), "anchor").groupBy(KEY)
+             .agg(F.collect_list("entry").alias("_entries")))
+    entries = F.col("_entries")
+    heard = folded.join(found, KEY).select(
+        "*", *[entry_anchors_in(F.col(f"_{f}"), entries).alias(f"_in_{f}") for f in fields])
+    return _group_hits(heard, {f: candidates(entries, F.col(f"_in_{f}")) for f in fields},
+                       rules, fields)
 
 
 def _folded(jobs: DataFrame, fields: Sequence[str]) -> DataFrame:
-    clean = jobs.select(KEY, *[drop_urls(F.col(f)).alias(f) for f in fields])
-    return clean.select("*", *[fold(F.col(f)).alias(f"_{f}") for f in fields])
+    return jobs.select(KEY, *[fold(drop_urls(F.col(f))).alias(f"_{f}") for f in fields])
 
 
-def _group_hits(folded: DataFrame, dictionary: Column, rules: Sequence[ContextRule],
+def _group_hits(heard: DataFrame, entries: dict[str, Column], rules: Sequence[ContextRule],
                 fields: Sequence[str]) -> DataFrame:
-    hits = folded.select(KEY, *[
-        F.transform(alias_hits(F.col(f), F.col(f"_{f}"), dictionary, rules),
-                    lambda h: F.struct(h["skill_key"].alias("skill_key"), h["alias"].alias("alias")))
-        .alias(f) for f in fields])
+    """Bridge rows from folded texts and candidate entries.
+
+    The outer tests look redundant but matter: a column used twice keeps its
+    own projection, while one used once would be pulled into the lambda and
+    computed again for every dictionary entry.
+    """
+    def hits_in(field: str) -> Column:
+        folded, heard_in = F.col(f"_{field}"), F.col(f"_in_{field}")
+        found = F.transform(
+            alias_hits(folded, entries[field], rules),
+            lambda h: F.struct(h["skill_key"].alias("skill_key"), h["alias"].alias("alias")))
+        nothing = (folded == "") | (F.size(heard_in) == 0)
+        return F.when(~nothing, found).otherwise(F.array().cast(
+            "array<struct<skill_key: string, alias: string>>"))
+
+    hits = heard.select(KEY, *[hits_in(f).alias(f) for f in fields])
     every = F.concat(*fields)
     found = hits.select(KEY, *fields, F.explode(
         F.array_distinct(F.transform(every, lambda h: h["skill_key"]))).alias("skill_key"))

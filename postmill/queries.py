@@ -11,6 +11,7 @@ from postmill import bindings as b
 from postmill.functions import text, values
 from postmill.operators import checks, dedup
 from postmill.plans import classify, gap, master, reports, skills, staging, views
+from postmill.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +75,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.skill_audit_sample(
         b.postings(spark, sf_dir), skills.skill_dimension(spark, b.TEXT_SKILLS),
-        b.text_bridge(spark, sf_dir), risky=("that_word", "license_word", "mail"))
+        settle(b.text_bridge(spark, sf_dir)), risky=("that_word", "license_word", "mail"))
 
 
 def _sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +93,9 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings whose fingerprint covers language and the whole text."""
-    posts = b.postings(spark, sf_dir)
-    return posts.withColumn("job_fingerprint", text.fingerprint(
+    posts = b.postings(spark, sf_dir).withColumn("job_fingerprint", text.fingerprint(
         F.col("tags"), F.col("description_text"), F.col("location_raw")))
+    return settle(posts.drop("description_text", "tags"))
 
 
 def text_queries() -> dict[str, Query]:
@@ -186,9 +187,16 @@ def record_queries() -> dict[str, Query]:
     }
 
 
+def _bridge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated keys of the bridge (none), and of a pair of columns that is no key."""
+    bridge = settle(b.text_bridge(spark, sf_dir).select(views.KEY, "skill_key", "evidence_source"))
+    other = checks.duplicate_keys(bridge, ["skill_key", "evidence_source"])
+    return checks.duplicate_keys(bridge, [views.KEY, "skill_key"]).unionByName(
+        other.select(F.col("evidence_source").alias(views.KEY), "skill_key", "key_rows"))
+
+
 def quality_queries() -> dict[str, Query]:
     t = b.table
-    key, skill = views.KEY, "skill_key"
     return {
         "dq_unique": lambda s, d: checks.duplicate_keys(
             t(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]),
@@ -232,9 +240,7 @@ def quality_queries() -> dict[str, Query]:
             b.text_overrides(s, d), t(s, d, "documents").filter("lang = 'en'").select(
                 "source", F.col("doc_id").cast("string").alias("source_job_id")),
             ["source", "source_job_id"]).select("source", "source_job_id"),
-        "dq_bridge_keys": lambda s, d: checks.duplicate_keys(b.text_bridge(s, d), [key, skill])
-        .unionByName(checks.duplicate_keys(b.text_bridge(s, d), [skill, "evidence_source"])
-                     .select(F.col("evidence_source").alias(key), skill, "key_rows")),
+        "dq_bridge_keys": _bridge_keys,
         "value_counts": lambda s, d: reports.value_counts(b.conformed(s, d), "role_family"),
     }
 
