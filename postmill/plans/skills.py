@@ -205,7 +205,7 @@ def with_excerpt(rows: DataFrame) -> DataFrame:
     """Add the text around the first matched alias, title before tags before
     description; without a hit, the start of the description."""
     text = rows.withColumns({f"_{f}": squash(F.col(f)) for f in SEARCH_FIELDS})
-    aliases = F.transform(F.split(squash(F.col("matched_aliases")), r"\|"), F.trim)
+    aliases = F.transform(F.split(squash(F.col("matched_aliases")), r"\|"), lambda a: F.trim(a))
     around = [excerpt(F.col(f"_{f}"), aliases) for f in SEARCH_FIELDS]
     start = F.substring("_description_text", 1, EXCERPT_FALLBACK)
     return (text.withColumn("evidence_excerpt", F.coalesce(*around, start))
