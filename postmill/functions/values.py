@@ -82,3 +82,12 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(F.lit(100.0) * part, whole.cast("double")), digits)
+
+
+def exact_mean(c: Column, digits: int = 2) -> Column:
+    """Rounded average that does not depend on the order of addition.
+
+    Money adds up in decimals, so a mean that ends in exactly half a cent
+    rounds the same way however the rows are partitioned.
+    """
+    return F.round(F.avg(c.cast("decimal(28,8)")), digits).cast("double")

@@ -140,6 +140,15 @@ gains AS (
            rd.role_skill_share_pct, rb.base, rb.n)
 """
 
+# Averages and scores that may end in exactly half a unit of the last digit are
+# computed in whole numbers, so that no order of addition decides them.
+
+def exact_mean(expr: str) -> str:
+    units = f"CAST(sum(CAST({expr} AS DECIMAL(28, 8))) * 100000000 AS HUGEINT)"
+    return (f"((2 * {units} + count({expr}) * 1000000) "
+            f"// (2 * nullif(count({expr}), 0) * 1000000)) / 100.0::DOUBLE")
+
+
 PRIORITY = ROLE_PAIRS + PROFILE + """,
 links AS (
   SELECT d.skill_key, d.skill_name, d.skill_category, d.skill_job_count, d.role_job_count,
@@ -154,13 +163,16 @@ links AS (
   WHERE d.role_family = '1-URGENT' AND d.skill_key NOT IN (SELECT skill_key FROM known)),
 scored AS (
   SELECT skill_key, skill_name, skill_category, skill_job_count, role_job_count,
-         role_skill_share_pct AS role_demand_pct, avg(pct) AS a,
+         role_skill_share_pct AS role_demand_pct,
+         CAST(sum(CAST(round(pct * 100) AS BIGINT)) AS BIGINT) AS pct_cents, count(*) AS k,
          count(*) FILTER (n > 0) AS known_skill_connections,
-         CAST(sum(n) AS BIGINT) AS summed_pair_support,
-         0.80::DOUBLE * role_skill_share_pct + 0.20::DOUBLE * avg(pct) AS score
+         CAST(sum(n) AS BIGINT) AS summed_pair_support
   FROM links
   GROUP BY skill_key, skill_name, skill_category, skill_job_count, role_job_count,
-           role_skill_share_pct)
+           role_skill_share_pct),
+weighed AS (
+  SELECT *, 8 * k * CAST(round(role_demand_pct * 100) AS BIGINT) + 2 * pct_cents AS weight
+  FROM scored)
 """
 
 
@@ -186,23 +198,25 @@ FROM jobs GROUP BY 1"""),
         "role_skill_demand": basket("SELECT * FROM role_demand"),
         "skill_cooccurrence": basket("SELECT * FROM cooccurrence", PAIRS),
         "role_skill_cooccurrence": basket("SELECT * FROM role_cooccurrence", ROLE_PAIRS),
-        "salary_by_role": basket("""
+        "salary_by_role": basket(f"""
 SELECT role_family, salary_currency, salary_period, count(*) AS salary_job_count,
-       round(avg(salary_min), 2) AS avg_salary_min, round(avg(salary_max), 2) AS avg_salary_max,
-       round(avg(CASE WHEN salary_min IS NULL THEN salary_max
-                      WHEN salary_max IS NULL THEN salary_min
-                      ELSE (salary_min + salary_max) / 2.0 END), 2) AS avg_salary_midpoint
+       {exact_mean("salary_min")} AS avg_salary_min, {exact_mean("salary_max")} AS avg_salary_max,
+       {exact_mean("CASE WHEN salary_min IS NULL THEN salary_max WHEN salary_max IS NULL "
+                   "THEN salary_min ELSE (salary_min + salary_max) / 2.0::DOUBLE END")}
+         AS avg_salary_midpoint
 FROM jobs
 WHERE coalesce(salary_min, salary_max) IS NOT NULL
   AND salary_currency IS NOT NULL AND salary_period IS NOT NULL
 GROUP BY 1, 2, 3"""),
         "skill_priority": basket("""
 SELECT skill_key, skill_name, skill_category, skill_job_count, role_job_count, role_demand_pct,
-       round(a, 2) AS avg_complementarity_pct, known_skill_connections, summed_pair_support,
-       round(score, 2) AS priority_score,
-       CASE WHEN score >= 45 THEN 'High Priority' WHEN score >= 25 THEN 'Medium Priority'
+       ((2 * pct_cents + k) // (2 * k)) / 100.0::DOUBLE AS avg_complementarity_pct,
+       known_skill_connections, summed_pair_support,
+       ((2 * weight + 10 * k) // (20 * k)) / 100.0::DOUBLE AS priority_score,
+       CASE WHEN weight >= 45000 * k THEN 'High Priority'
+            WHEN weight >= 25000 * k THEN 'Medium Priority'
             ELSE 'Lower Priority' END AS priority_tier
-FROM scored""", PRIORITY),
+FROM weighed""", PRIORITY),
         "profile_coverage": basket("""
 , covered AS (SELECT *, CASE WHEN d > 0 THEN 100.0::DOUBLE * m / d END AS pct
               FROM baseline WHERE role_family = '1-URGENT')
@@ -251,10 +265,10 @@ SELECT * FROM cooccurrence ORDER BY cooccurrence_jobs DESC, skill_1_key, skill_2
         "assoc_min_support": basket("""
 SELECT * FROM cooccurrence WHERE cooccurrence_jobs >= 20
 ORDER BY lift DESC, cooccurrence_jobs DESC, skill_1_key, skill_2_key LIMIT 10""", PAIRS),
-        "comparable_salaries": basket("""
+        "comparable_salaries": basket(f"""
 SELECT role_family, salary_currency, salary_period, count(*) AS salary_job_count,
-       round(avg(salary_min), 2) AS avg_salary_min, round(avg(salary_max), 2) AS avg_salary_max,
-       round(avg(coalesce((salary_min + salary_max) / 2.0, salary_min, salary_max)), 2)
+       {exact_mean("salary_min")} AS avg_salary_min, {exact_mean("salary_max")} AS avg_salary_max,
+       {exact_mean("coalesce((salary_min + salary_max) / 2.0::DOUBLE, salary_min, salary_max)")}
          AS avg_salary_midpoint
 FROM jobs
 WHERE (salary_min IS NOT NULL OR salary_max IS NOT NULL)

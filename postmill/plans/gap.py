@@ -9,6 +9,7 @@ the bridge and no posting is ever paired with a skill it does not mention.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from postmill.fixed import (COMPLEMENT_WEIGHT, COVERAGE_LEVEL, DEMAND_WEIGHT, HIGH_TIER,
                             MATCH_LEVEL, MEDIUM_TIER)
 from postmill.functions.values import percent
-from postmill.plans.views import KEY, skill_baskets, with_role
+from postmill.plans.views import KEY, job_baskets, skill_baskets, with_role
 
 
 def _known(skill: Column, known: Sequence[str]) -> Column:
@@ -33,13 +34,15 @@ def profiled_jobs(jobs: DataFrame, bridge: DataFrame, known: Sequence[str],
 
     Jobs without any skill stay, with zero counts.
     """
-    roles = jobs.select(KEY, "role_family")
-    if role is not None:
-        roles = roles.filter(F.col("role_family") == role)
-    skills = F.coalesce("skills", F.array().cast("array<string>"))
-    return (roles.join(skill_baskets(bridge), KEY, "left")
-            .select(KEY, "role_family", F.size(skills).alias("detected"),
-                    F.filter(skills, lambda s: ~_known(s, known)).alias("missing"))
+    baskets = bridge if {"role_family", "skills"} <= set(bridge.columns) else None
+    if baskets is None:
+        wanted = jobs if role is None else jobs.filter(F.col("role_family") == role)
+        baskets = job_baskets(wanted, bridge)
+    elif role is not None:
+        baskets = baskets.filter(F.col("role_family") == role)
+    return (baskets
+            .select(KEY, "role_family", F.size("skills").alias("detected"),
+                    F.filter("skills", lambda s: ~_known(s, known)).alias("missing"))
             .withColumn("matched", F.col("detected") - F.size("missing")))
 
 
@@ -119,6 +122,7 @@ def skill_priority(jobs: DataFrame, skills: DataFrame, bridge: DataFrame, known:
 
     Per job only (missing, known) combinations are formed; the null in each
     list stands for 'any', which makes the plain counts part of the same pass.
+    Without known skills there is nothing to go together with, and no row.
     """
     target = jobs.filter(F.col("role_family") == role)
     nobody = F.array(F.lit(None).cast("string"))
@@ -136,20 +140,24 @@ def skill_priority(jobs: DataFrame, skills: DataFrame, bridge: DataFrame, known:
     per_skill = (counts.withColumn("known_jobs", known_jobs).filter("skill_key is not null")
                  .groupBy("skill_key")
                  .agg(F.max(F.when(~linked, F.col("n"))).alias("skill_job_count"),
-                      F.sum(F.when(linked, pct)).alias("pct_sum"),
+                      F.sum(F.when(linked, pct).cast("decimal(9,2)")).alias("pct_sum"),
                       F.count_if(linked).alias("links"),
                       F.coalesce(F.sum(F.when(linked, F.col("n"))), F.lit(0)).alias("support")))
     share = percent(F.col("skill_job_count"), F.col("role_job_count"))
-    together = F.coalesce("pct_sum", F.lit(0.0)) / F.lit(float(len(set(known))))
-    score = F.lit(DEMAND_WEIGHT) * share + F.lit(COMPLEMENT_WEIGHT) * together
-    return (per_skill.join(skills, "skill_key")
+    # Decimal from here on: the inputs have two digits, so scores that fall on a
+    # rounding or tier boundary are decided exactly.
+    together = (F.coalesce("pct_sum", F.lit(0)).cast("decimal(16,2)")
+                / F.lit(max(len(set(known)), 1)).cast("decimal(9,0)"))
+    score = (F.lit(Decimal(str(DEMAND_WEIGHT))) * share.cast("decimal(9,2)")
+             + F.lit(Decimal(str(COMPLEMENT_WEIGHT))) * together)
+    return (per_skill.filter(F.lit(bool(known))).join(skills, "skill_key")
             .withColumn("role_job_count", role_jobs)
             .select("skill_key", "skill_name", "skill_category", "skill_job_count",
                     "role_job_count", share.alias("role_demand_pct"),
-                    F.round(together, 2).alias("avg_complementarity_pct"),
+                    F.round(together, 2).cast("double").alias("avg_complementarity_pct"),
                     F.col("links").alias("known_skill_connections"),
                     F.col("support").alias("summed_pair_support"),
-                    F.round(score, 2).alias("priority_score"),
+                    F.round(score, 2).cast("double").alias("priority_score"),
                     F.when(score >= HIGH_TIER, "High Priority")
                     .when(score >= MEDIUM_TIER, "Medium Priority")
                     .otherwise("Lower Priority").alias("priority_tier"))

@@ -21,7 +21,8 @@ def sample_confidence(postings: Column) -> Column:
 
 def market_kpis(jobs: DataFrame, skills: DataFrame, bridge: DataFrame) -> DataFrame:
     """Headline figures in one row."""
-    covered = skill_baskets(bridge).select(F.size("skills").cast("long").alias("n"))
+    covered = (skill_baskets(bridge).select(F.size("skills").cast("long").alias("n"))
+               .filter("n > 0"))
     links = covered.agg(F.sum("n").alias("links"), F.count("*").alias("covered"))
     return (links.select(
                 row_total(jobs).alias("postings"),

@@ -3,7 +3,7 @@
 Inputs: `jobs` (one row per source_record_key), `skills` (one row per
 skill_key) and `bridge` (unique on source_record_key, skill_key; see
 `checks.duplicate_keys`), or the same as baskets: one row per job with the
-array `skills`. Uniqueness is why plain counts stand in for distinct
+array `skills`, with or without its role (`job_baskets`). Uniqueness is why plain counts stand in for distinct
 counts, which would shuffle the whole bridge.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.fixed import VIEW_NAMES
-from postmill.functions.values import percent, ratio
+from postmill.functions.values import exact_mean, percent, ratio
 
 KEY = "source_record_key"
 
@@ -40,14 +40,27 @@ def as_bridge(baskets: DataFrame) -> DataFrame:
     """One row per job and skill; a table that already is a bridge passes through."""
     if "skill_key" in baskets.columns:
         return baskets
-    return baskets.select(KEY, F.explode("skills").alias("skill_key"))
+    kept = [c for c in baskets.columns if c != "skills"]
+    return baskets.select(*kept, F.explode("skills").alias("skill_key"))
 
 
-def with_role(baskets: DataFrame, jobs: DataFrame, role: str | None = None) -> DataFrame:
-    roles = jobs.select(KEY, "role_family")
-    if role is not None:
-        roles = roles.filter(F.col("role_family") == role)
-    return baskets.join(roles, KEY)
+def with_role(skilled: DataFrame, jobs: DataFrame, role: str | None = None) -> DataFrame:
+    """Baskets or bridge with the role of each job; nothing to join if it is there already."""
+    if "role_family" not in skilled.columns:
+        skilled = skilled.join(jobs.select(KEY, "role_family"), KEY)
+    return skilled if role is None else skilled.filter(F.col("role_family") == role)
+
+
+def job_baskets(jobs: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Every job with its role and its skills, an empty array where it has none.
+
+    The one join of jobs and bridge that all views and gap queries share. Kept
+    as a table it can be passed wherever a bridge is expected, and what follows
+    shuffles only dictionary-sized results.
+    """
+    skills = F.coalesce("skills", F.array().cast("array<string>")).alias("skills")
+    return (jobs.select(KEY, "role_family").join(skill_baskets(bridge), KEY, "left")
+            .select(KEY, "role_family", skills))
 
 
 def skill_demand(jobs: DataFrame, skills: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -74,7 +87,7 @@ def role_counts(jobs: DataFrame) -> DataFrame:
 
 def role_skill_demand(jobs: DataFrame, skills: DataFrame, bridge: DataFrame) -> DataFrame:
     """Jobs per role and skill and their share of the jobs of the role."""
-    counts = (as_bridge(bridge).join(jobs.select(KEY, "role_family"), KEY)
+    counts = (with_role(as_bridge(bridge), jobs)
               .groupBy("role_family", "skill_key").agg(F.count("*").alias("skill_job_count")))
     return (counts.join(role_counts(jobs), "role_family").join(skills, "skill_key")
             .select("role_family", "skill_key", "skill_name", "skill_category",
@@ -162,9 +175,9 @@ def salary_by_role(jobs: DataFrame) -> DataFrame:
                         & F.col("salary_period").isNotNull())
             .groupBy("role_family", "salary_currency", "salary_period")
             .agg(F.count("*").alias("salary_job_count"),
-                 F.round(F.avg(low), 2).alias("avg_salary_min"),
-                 F.round(F.avg(high), 2).alias("avg_salary_max"),
-                 F.round(F.avg(middle), 2).alias("avg_salary_midpoint")))
+                 exact_mean(low).alias("avg_salary_min"),
+                 exact_mean(high).alias("avg_salary_max"),
+                 exact_mean(middle).alias("avg_salary_midpoint")))
 
 
 def register_views(spark: SparkSession, jobs: DataFrame, skills: DataFrame,

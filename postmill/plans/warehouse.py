@@ -3,6 +3,10 @@
 Tables are written under `<root>/builds/<run id>`. A build exists for readers
 only once its row stands in `<root>/pipeline_runs`, which is appended last;
 a lost job leaves files nobody reads. Nothing published is overwritten.
+
+Beside the four tables a build holds `job_baskets`, jobs joined with their
+skills and laid out by role: the views and the gap queries read it, so a
+question about one role reads that role's files and shuffles almost nothing.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ from postmill.fixed import (BRIDGE_COLUMNS, MASTER_COLUMNS, MASTER_LAYOUT, RUN_C
 from postmill.functions.text import blank_to_null
 from postmill.functions.values import iso_z, strict_bool
 from postmill.operators import checks
-from postmill.plans.views import KEY, register_views
+from postmill.plans.views import KEY, job_baskets, register_views
 
 TABLES = ("sources", "jobs", "skills", "job_skills")
+# Stated, because partition values such as '2024' would otherwise be guessed.
+BASKET_SCHEMA = f"{KEY} string, skills array<string>, role_family string"
 
 
 def source_dimension(jobs: DataFrame) -> DataFrame:
@@ -111,9 +117,11 @@ def publish(spark: SparkSession, root: str, jobs: DataFrame, skills: DataFrame,
     check_tables(tables)
     checks.assert_empty(checks.dimension_mismatch(tables["sources"], "source", tables["jobs"],
                                                   "source"), "sources do not match jobs")
+    job_baskets(tables["jobs"], tables["job_skills"]).write.partitionBy("role_family").parquet(
+        f"{folder}/job_baskets")
     run = run_row(tables, run_id)
     run.write.mode("append").parquet(f"{root}/pipeline_runs")
-    register(spark, tables)
+    register(spark, tables, read_baskets(spark, root, run_id))
     missing = checks.missing_views(spark, VIEW_NAMES)
     if missing:
         raise checks.CheckFailed(f"views not published: {missing}")
@@ -142,15 +150,25 @@ def read_build(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFra
     return {t: spark.read.parquet(f"{root}/builds/{run_id}/{t}") for t in TABLES}
 
 
+def read_baskets(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    return spark.read.schema(BASKET_SCHEMA).parquet(f"{root}/builds/{run_id}/job_baskets")
+
+
+def latest_id(spark: SparkSession, root: str) -> str:
+    return latest_run(spark, root).first()["run_id"]
+
+
 def read_latest(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return read_build(spark, root, latest_run(spark, root).first()["run_id"])
+    return read_build(spark, root, latest_id(spark, root))
 
 
-def register(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
+def register(spark: SparkSession, tables: Mapping[str, DataFrame],
+             baskets: DataFrame | None = None) -> None:
     """Tables and the six views for use from SQL."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    register_views(spark, tables["jobs"], tables["skills"], tables["job_skills"])
+    register_views(spark, tables["jobs"], tables["skills"],
+                   tables["job_skills"] if baskets is None else baskets)
 
 
 def run_mismatch(spark: SparkSession, root: str) -> DataFrame:

@@ -11,7 +11,7 @@ from postmill import jobs as runs
 from postmill.functions.matching import Skill
 from postmill.fixed import MASTER_COLUMNS, PAGED_COLUMNS, SNAPSHOT_COLUMNS
 from postmill.operators.checks import CheckFailed
-from postmill.plans import master, staging, warehouse
+from postmill.plans import gap, master, staging, warehouse
 from postmill.sources import landing, tables
 
 
@@ -216,6 +216,10 @@ def test_run_all_and_publish(spark, staged, tmp_path):
     assert [tuple(r) for r in got] == [("etl", 1, 33.33), ("sql", 2, 66.67)]
     assert spark.sql("select count(*) from vw_role_skill_demand").first()[0] == 3
 
+    baskets = warehouse.read_baskets(spark, root, run_id)
+    best = gap.next_skills(built["jobs"], built["skills"], baskets, ["sql"], "Data Engineer").collect()
+    assert [(r.skill_key, r.marginal_coverage_gain_pct_points) for r in best] == [("etl", 100.0)]
+
     bad = built["job_skills"].withColumn("skill_key", F.lit("ghost"))
     with pytest.raises(CheckFailed, match="unknown skill keys"):
         warehouse.publish(spark, root, built["jobs"], built["skills"], bad)

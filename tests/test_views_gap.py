@@ -6,6 +6,7 @@ import pytest
 
 from postmill.plans import gap, reports, views
 
+KNOWN = ["s0", "s1", "unknown"]
 JOBS = "source_record_key string, role_family string, company_name string, salary_min double, " \
        "salary_max double, salary_currency string, salary_period string, source string"
 
@@ -57,11 +58,24 @@ def test_cooccurrence_by_brute_force(world):
 
 
 def test_baskets_and_bridge_are_interchangeable(world):
-    sets_ = views.skill_baskets(world["b"])
+    forms = [views.skill_baskets(world["b"]), views.job_baskets(world["j"], world["b"])]
     for view in (views.skill_demand, views.role_skill_demand, views.skill_cooccurrence,
-                 views.role_skill_cooccurrence, reports.market_kpis):
+                 views.role_skill_cooccurrence, reports.market_kpis,
+                 lambda j, s, b: gap.skill_priority(j, s, b, KNOWN, "DA"),
+                 lambda j, s, b: gap.profile_coverage(j, b, KNOWN, "DA"),
+                 lambda j, s, b: gap.marginal_gain(j, s, b, KNOWN)):
         one = sorted(map(tuple, view(world["j"], world["s"], world["b"]).collect()))
-        assert one == sorted(map(tuple, view(world["j"], world["s"], sets_).collect()))
+        for form in forms:
+            assert one == sorted(map(tuple, view(world["j"], world["s"], form).collect()))
+
+
+def test_gain_over_stored_baskets_shuffles_only_results(spark, world, tmp_path):
+    views.job_baskets(world["j"], world["b"]).write.partitionBy("role_family").parquet(f"{tmp_path}/b")
+    stored = spark.read.parquet(f"{tmp_path}/b")
+    plan = (gap.marginal_gain(world["j"], world["s"], stored, KNOWN, "DA")
+            ._jdf.queryExecution().executedPlan().toString())
+    assert "Exchange" not in plan[plan.index("Generate explode"):plan.index("FileScan")]
+    assert "PartitionFilters: [isnotnull(role_family" in plan
 
 
 def test_repeated_bridge_rows_do_not_inflate_pairs(world):
@@ -79,9 +93,6 @@ def test_salary(world):
         assert r.avg_salary_midpoint == pytest.approx(sum(mids) / len(mids), abs=.006)
 
 
-KNOWN = ["s0", "s1", "unknown"]
-
-
 def what_if(world, role, known):
     out = {}
     baskets = sets(world, role)
@@ -149,6 +160,7 @@ def test_priority(world):
         assert r.priority_tier == ("High Priority" if score >= 45 else
                                    "Medium Priority" if score >= 25 else "Lower Priority")
     assert set(got) == set(count) - set(KNOWN)
+    assert gap.skill_priority(world["j"], world["s"], world["b"], [], "DA").isEmpty()
 
 
 def test_reports(world):
