@@ -15,7 +15,7 @@ from postmill.plans.master import build_master
 from postmill.plans.skills import extract_skills, extract_skills_joined
 from postmill.plans.staging import stage_paged, stage_snapshot
 from postmill.plans.views import KEY
-from postmill.session import inline_table
+from postmill.session import fill_cores, inline_table
 
 KNOWN = ("brand_1", "brand_2", "brand_3", "brand_4")
 ROLE = "1-URGENT"
@@ -108,13 +108,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_skills(postings(spark, sf_dir), TEXT_SKILLS, (TEXT_RULE,))
+    return extract_skills(fill_cores(postings(spark, sf_dir)), TEXT_SKILLS, (TEXT_RULE,))
 
 
 def text_bridge_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = inline_table(spark, ("skill_key", "skill_name", "skill_category", "aliases"),
                               TEXT_SKILL_ROWS)
-    return extract_skills_joined(postings(spark, sf_dir), dictionary, (TEXT_RULE,))
+    return extract_skills_joined(fill_cores(postings(spark, sf_dir)), dictionary, (TEXT_RULE,))
 
 
 def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

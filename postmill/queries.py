@@ -11,7 +11,7 @@ from postmill import bindings as b
 from postmill.functions import text, values
 from postmill.operators import checks, dedup
 from postmill.plans import classify, gap, master, reports, skills, staging, views
-from postmill.session import settle
+from postmill.session import fill_cores, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,7 @@ def basket_queries() -> dict[str, Query]:
 
 def _licensing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every posting where a licence word was found, and what the context rule left."""
-    posts = b.postings(spark, sf_dir)
+    posts = fill_cores(b.postings(spark, sf_dir))
     word = [s for s in b.TEXT_SKILLS if s.key == b.TEXT_RULE.skill]
     plain = skills.extract_skills(posts, word, ()).select(
         views.KEY, F.col("matched_aliases").alias("without_rule"))
@@ -93,7 +93,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings whose fingerprint covers language and the whole text."""
-    posts = b.postings(spark, sf_dir).withColumn("job_fingerprint", text.fingerprint(
+    posts = fill_cores(b.postings(spark, sf_dir)).withColumn("job_fingerprint", text.fingerprint(
         F.col("tags"), F.col("description_text"), F.col("location_raw")))
     return settle(posts.drop("description_text", "tags"))
 
@@ -128,7 +128,7 @@ def text_queries() -> dict[str, Query]:
         "fingerprint_duplicates": lambda s, d: master.duplicate_candidates(
             _fingerprinted(s, d)).drop("job_title_raw"),
         "duplicate_groups": lambda s, d: master.duplicate_groups(_fingerprinted(s, d)),
-        "html_to_text": lambda s, d: b.table(s, d, "pages").select(
+        "html_to_text": lambda s, d: fill_cores(b.table(s, d, "pages")).select(
             "page_id", text.html_to_text(F.col("html")).alias("body")),
     }
 

@@ -51,6 +51,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Deal out a table that is scanned in fewer pieces than there are cores.
+
+    Meant for heavy work per row on tables with few row groups. A scan piece
+    holds at most spark.sql.files.maxPartitionBytes, so what gets shuffled is
+    less than one wave of tasks; any larger table passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def inline_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
     """Table of strings known when the query is written.
 
