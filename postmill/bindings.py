@@ -166,6 +166,15 @@ TITLES = ("Senior Data Analyst", "Lead  Data Engineer", "Senior Data Scientist",
           "Data Platform Engineer", "Head of\nAnalytics")
 
 
+# What titles, tags and descriptions of those records are searched for.
+TITLE_SKILL_ROWS = (
+    ("data", "Data", "Field", "data"), ("analyst", "Analyst", "Role", "analyst|data analyst"),
+    ("engineer", "Engineer", "Role", "engineer|ML Engineer"),
+    ("alpha", "Alpha", "Tag", "alpha"), ("order", "Order", "Record", "order|value"),
+)
+TITLE_SKILLS = skills_from_rows(TITLE_SKILL_ROWS)
+
+
 def title_of(number: Column) -> Column:
     titles = F.array(*[F.lit(t) for t in TITLES])
     return F.element_at(titles, (number % len(TITLES) + 1).cast("int"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from postmill.bindings import TEXT_RULES, TEXT_SKILL_ROWS, TITLES
+from postmill.bindings import TEXT_RULES, TEXT_SKILL_ROWS, TITLE_SKILL_ROWS, TITLES
 from postmill.fixed import HTML_ENTITIES, RELEVANT_TITLE, ROLE_RULES
 
 BASKET = """
@@ -748,6 +748,58 @@ FROM t""",
     }
 
 
+LOADED = STAGED + f""",
+target AS (SELECT * FROM master WHERE role_family <> 'Non-target Role'),
+terms(skill_key, alias) AS (VALUES {", ".join(
+    f"({quoted(key)}, {quoted(alias)})" for key, _, _, aliases in TITLE_SKILL_ROWS
+    for alias in aliases.split("|"))}),
+words AS (
+  SELECT source_record_key, f.name AS field, ' ' || regexp_replace(lower(f.txt), '[^a-z0-9_]+', ' ', 'g')
+         || ' ' AS txt
+  FROM target, LATERAL (VALUES ('job_title_raw', job_title_raw), ('tags', tags),
+                               ('description_text', description_text)) f(name, txt)),
+found AS (SELECT DISTINCT source_record_key, skill_key, field, alias FROM words, terms
+          WHERE contains(txt, ' ' || lower(alias) || ' ')),
+loaded_bridge AS (
+  SELECT source_record_key, skill_key,
+         (SELECT string_agg(field, '|' ORDER BY field) FROM (
+            SELECT DISTINCT field FROM found g WHERE g.source_record_key = f.source_record_key
+              AND g.skill_key = f.skill_key)) AS evidence_source,
+         (SELECT string_agg(alias, '|' ORDER BY lower(alias)) FROM (
+            SELECT DISTINCT alias FROM found g WHERE g.source_record_key = f.source_record_key
+              AND g.skill_key = f.skill_key)) AS matched_aliases,
+         CAST(count(DISTINCT field) AS INTEGER) AS evidence_field_count
+  FROM found f GROUP BY 1, 2)
+"""
+
+
+def warehouse_queries() -> dict[str, str]:
+    always = ("source_record_key", "source", "source_job_id", "job_title_raw", "role_family",
+              "is_target_data_role")
+    present = " UNION ALL ".join(f"SELECT '{c} present' AS rule, CAST(0 AS BIGINT) AS failing_rows"
+                                 for c in always)
+    return {
+        "warehouse_counts": f"""
+WITH {LOADED}
+SELECT 'sources' AS table_name, count(DISTINCT source) AS table_rows FROM target
+UNION ALL SELECT 'jobs', count(*) FROM target
+UNION ALL SELECT 'skills', count(DISTINCT skill_key) FROM terms
+UNION ALL SELECT 'job_skills', count(*) FROM loaded_bridge""",
+        "warehouse_jobs": f"""
+WITH {LOADED}
+SELECT source_record_key, nullif(salary_raw, '') AS salary_raw,
+       nullif(location_raw, '') AS location_raw, nullif(salary_currency, '') AS salary_currency,
+       nullif(tags, '') AS tags, is_worldwide, true AS is_target_data_role, salary_min,
+       publication_date
+FROM target""",
+        "warehouse_bridge": f"WITH {LOADED} SELECT * FROM loaded_bridge",
+        "warehouse_rules": f"""
+WITH {STAGED} {present}
+UNION ALL SELECT 'only target rows', count(*) FROM master WHERE role_family = 'Non-target Role'
+UNION ALL SELECT 'salary range', count(*) FROM master WHERE salary_min > salary_max""",
+    }
+
+
 def quality_queries() -> dict[str, str]:
     long_form = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER (coalesce(trim(CAST({c} AS VARCHAR)), '') = '') "
@@ -813,4 +865,5 @@ WITH {STAGED} SELECT role_family, count(*) AS value_rows FROM master GROUP BY 1"
 
 
 def all_queries() -> dict[str, str]:
-    return {**basket_queries(), **text_queries(), **record_queries(), **quality_queries()}
+    return {**basket_queries(), **text_queries(), **record_queries(),
+            **warehouse_queries(), **quality_queries()}

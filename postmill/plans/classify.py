@@ -145,6 +145,20 @@ def labelled_predictions(overrides: DataFrame, staged: DataFrame) -> DataFrame:
         "actual_is_target": F.col("correct_role_family") != NON_TARGET})
 
 
+def evaluate(overrides: DataFrame, staged: DataFrame, strict: bool = True) -> DataFrame:
+    """labelled_predictions after the checks of an evaluation run.
+
+    With `strict`, a reviewed posting that is no longer staged is an error;
+    otherwise it is left out.
+    """
+    check_overrides(overrides)
+    checks.one_row_per_key(staged, JOB_ID, "staged postings")
+    if strict:
+        checks.assert_empty(checks.unmatched(overrides, staged, JOB_ID),
+                            "reviewed postings missing from staging")
+    return labelled_predictions(overrides, staged)
+
+
 def classifier_metrics(evaluated: DataFrame) -> DataFrame:
     """Family accuracy and target precision, recall and F1, in one row."""
     said, true = F.col("predicted_is_target"), F.col("actual_is_target")

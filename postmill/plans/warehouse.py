@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.fixed import (BRIDGE_COLUMNS, MASTER_COLUMNS, MASTER_LAYOUT, RUN_COLUMNS,
@@ -108,12 +108,17 @@ def publish(spark: SparkSession, root: str, jobs: DataFrame, skills: DataFrame,
         checks.require_layout(df, layout, name)
     run_id = str(uuid.uuid4())
     folder = f"{root}/builds/{run_id}"
-    warehouse_jobs(jobs).write.parquet(f"{folder}/jobs")
-    warehouse_skills(skills).write.parquet(f"{folder}/skills")
-    warehouse_bridge(bridge).write.parquet(f"{folder}/job_skills")
-    source_dimension(spark.read.parquet(f"{folder}/jobs")).write.parquet(f"{folder}/sources")
+    received = {
+        "jobs": _load(warehouse_jobs(jobs), f"{folder}/jobs"),
+        "skills": _load(warehouse_skills(skills), f"{folder}/skills"),
+        "job_skills": _load(warehouse_bridge(bridge), f"{folder}/job_skills")}
+    received["sources"] = _load(source_dimension(spark.read.parquet(f"{folder}/jobs")),
+                                f"{folder}/sources")
 
     tables = read_build(spark, root, run_id)
+    expected = spark.createDataFrame(list(received.items()), "table_name string, table_rows long")
+    checks.assert_empty(checks.count_mismatch(checks.table_counts(tables), expected),
+                        "written and received row counts differ")
     check_tables(tables)
     checks.assert_empty(checks.dimension_mismatch(tables["sources"], "source", tables["jobs"],
                                                   "source"), "sources do not match jobs")
@@ -128,6 +133,13 @@ def publish(spark: SparkSession, root: str, jobs: DataFrame, skills: DataFrame,
     return run_id
 
 
+def _load(df: DataFrame, path: str) -> int:
+    """Write a table and return how many rows went in, counted while writing."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return seen.get["rows"]
+
+
 def run_row(tables: Mapping[str, DataFrame], run_id: str) -> DataFrame:
     """The audit row of a build: its id, load time and row counts."""
     counts = checks.table_counts({t: tables[t] for t in TABLES})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill import bindings as b
 from postmill.functions import text, values
 from postmill.operators import checks, dedup
-from postmill.plans import classify, gap, master, reports, skills, staging, views
+from postmill.plans import classify, gap, master, reports, skills, staging, views, warehouse
 from postmill.session import fill_cores, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,33 @@ def _bridge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         other.select(F.col("evidence_source").alias(views.KEY), "skill_key", "key_rows"))
 
 
+def _warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The conformed target postings and their title words, converted for loading."""
+    jobs = master.target_rows(b.conformed(spark, sf_dir))
+    bridge = skills.extract_skills(jobs, b.TITLE_SKILLS)
+    return {"sources": warehouse.source_dimension(jobs),
+            "jobs": warehouse.warehouse_jobs(jobs),
+            "skills": warehouse.warehouse_skills(skills.skill_dimension(spark, b.TITLE_SKILLS)),
+            "job_skills": warehouse.warehouse_bridge(bridge)}
+
+
+def _warehouse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row rules of the jobs table on all postings, targets or not."""
+    jobs = warehouse.warehouse_jobs(b.conformed(spark, sf_dir))
+    return checks.rule_failures(jobs, warehouse.table_rules()["jobs"])
+
+
+def warehouse_queries() -> dict[str, Query]:
+    return {
+        "warehouse_counts": lambda s, d: checks.table_counts(_warehouse_tables(s, d)),
+        "warehouse_jobs": lambda s, d: _warehouse_tables(s, d)["jobs"].select(
+            "source_record_key", "salary_raw", "location_raw", "salary_currency", "tags",
+            "is_worldwide", "is_target_data_role", "salary_min", "publication_date"),
+        "warehouse_bridge": lambda s, d: _warehouse_tables(s, d)["job_skills"],
+        "warehouse_rules": _warehouse_rules,
+    }
+
+
 def quality_queries() -> dict[str, Query]:
     t = b.table
     return {
@@ -246,4 +273,5 @@ def quality_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return {**basket_queries(), **text_queries(), **record_queries(), **quality_queries()}
+    return {**basket_queries(), **text_queries(), **record_queries(),
+            **warehouse_queries(), **quality_queries()}

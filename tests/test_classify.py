@@ -130,6 +130,14 @@ def test_metrics_of_recorded_review(spark):
     assert c.classifier_mismatches(evaluated(spark, rows)).count() == 11
 
 
+def test_evaluation_needs_every_label(spark):
+    staged = c.classify_roles(jobs(spark, ["Data Analyst"])).withColumn("company_name", F.lit("C"))
+    human = overrides(spark, [("0", "Data Analyst", "Correct"), ("7", "BI Analyst", "Correct")])
+    with pytest.raises(CheckFailed, match="missing from staging"):
+        c.evaluate(human, staged)
+    assert c.classifier_metrics(c.evaluate(human, staged, strict=False)).first()[0] == 1
+
+
 def test_metrics_without_targets_are_zero(spark):
     m = c.classifier_metrics(evaluated(spark, [("Non-target Role", "Non-target Role")])).first()
     assert (m.target_precision, m.target_recall, m.target_f1_score, m.true_negative) == (0, 0, 0, 1)
