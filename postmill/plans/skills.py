@@ -54,9 +54,14 @@ def extract_skills_joined(jobs: DataFrame, dictionary: DataFrame,
     matching as the constant dictionary. Texts do not take part in the join.
     """
     folded = _folded(jobs, fields)
+    terms = term_dictionary(dictionary)
+    wordless = terms.agg((F.count_if(F.col("anchor") == "") > 0).alias("x")).scalar()
     words = spoken_words(F.concat_ws(" ", *[f"_{f}" for f in fields]))
-    found = (folded.select(KEY, F.explode(words).alias("anchor"))
-             .join(term_dictionary(dictionary), "anchor").groupBy(KEY)
+    # The blank joins only if some alias has no word; else it would be one key
+    # that every posting holds.
+    asked = F.when(wordless, words).otherwise(F.array_remove(words, ""))
+    found = (folded.select(KEY, F.explode(asked).alias("anchor"))
+             .join(terms, "anchor").groupBy(KEY)
              .agg(F.collect_list("entry").alias("_entries")))
     entries = F.col("_entries")
     heard = folded.join(found, KEY).select(

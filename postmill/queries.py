@@ -11,7 +11,7 @@ from postmill import bindings as b
 from postmill.functions import text, values
 from postmill.operators import checks, dedup
 from postmill.plans import classify, gap, master, reports, skills, staging, views, warehouse
-from postmill.session import fill_cores, settle
+from postmill.session import REQUIRED_CONF, fill_cores, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -272,6 +272,16 @@ def quality_queries() -> dict[str, Query]:
     }
 
 
+def _in_utc(query: Query) -> Query:
+    """Dates are read and written in UTC, whatever the session started with."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for key, value in REQUIRED_CONF.items():
+            spark.conf.set(key, value)
+        return query(spark, sf_dir)
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return {**basket_queries(), **text_queries(), **record_queries(),
-            **warehouse_queries(), **quality_queries()}
+    found = {**basket_queries(), **text_queries(), **record_queries(), **warehouse_queries(),
+             **quality_queries()}
+    return {name: _in_utc(query) for name, query in found.items()}
