@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, mixing
+from postmill.llm import exact_dedup, language, mixing, quality, simhash, url_filter
+from postmill.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                              fold("doc_id", 5) != 0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, fold("doc_id", 3) != 1)
+    found = language.identify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block, allow, listed = (url_filter.rule_table(spark, x)
+                            for x in (url_filter.BLOCK, url_filter.ALLOW, url_filter.LISTED))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), block, allow, listed)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken",
@@ -26,10 +50,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_simhash": op2_simhash,
+        "op4_language": op4_language,
+        "op7_url_filter": op7_url_filter,
         "op9_mixing": op9_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
