@@ -49,3 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % folds
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of the first key, the same ones on
+    every run. Rows that cannot be among them stay where they are: a cut at about the
+    right hash comes before the order, so tasks do not each send ``rows`` rows."""
+    place = F.pmod(F.xxhash64(keys[0]), F.lit(1 << 31))
+    n = df.count()
+    if n > rows:
+        df = df.filter(place < int(min(1.0, 1.25 * rows / n + 100 / n) * (1 << 31)))
+    return df.orderBy(place, *keys).limit(rows)

@@ -132,7 +132,7 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate
             doubt = 1 / (len(s) + 1)
             return float((1 - doubt) * miss[np.arange(len(s)), truth].mean() + doubt * miss.mean())
 
-        model.temperature = min((2.0 ** k for k in np.arange(-5, 5.25, 0.25)), key=loss)
+        model.temperature = min((2.0 ** k for k in np.arange(-5, 12.25, 0.25)), key=loss)
         scores = np.sort([model_scores(z[i] / model.temperature) for i in range(len(z))])
         model.reject_below = float(min(scores[len(scores) // 100], 0.5))
     return model

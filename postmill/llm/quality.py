@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import id_text, written
+from postmill.llm.common import hash_sample, id_text, written
 
 #: Rows of training at most; the ones with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -174,7 +174,7 @@ def train(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     """Fit on at most ``sample_rows`` labelled rows, the same ones on every run."""
     named = stats.join(labels.select("doc_id", F.col("quality").cast("double").alias("label"))
                        .filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id")
-    sample = (named.orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(sample_rows)
+    sample = (hash_sample(named, sample_rows, "doc_id", *STATISTICS)
               .select("label", *STATISTICS).toPandas().to_numpy(dtype=np.float64))
     sample = sample.reshape(-1, len(STATISTICS) + 1)
     return fit_rules(sample[:, 1:], sample[:, 0])

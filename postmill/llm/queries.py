@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, language, mixing, quality, simhash, url_filter
+from postmill.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+)
 from postmill.llm.common import fold
 
 
@@ -25,6 +36,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(docs))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, fold("doc_id", 3) != 1)
@@ -32,12 +48,31 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _removed() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     block, allow, listed = (url_filter.rule_table(spark, x)
                             for x in (url_filter.BLOCK, url_filter.ALLOW, url_filter.LISTED))
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), block, allow, listed)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", _removed().alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken",
@@ -52,8 +87,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
+        "op3_pii": op3_pii,
         "op4_language": op4_language,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mixing": op9_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import id_text, written
+from postmill.llm.common import hash_sample, id_text, written
 from postmill.llm.components import components
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, b
     """
     prints = written(fingerprints(docs, words), "prints")
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    sample = np.array([r[0] for r in nodes.select("print").orderBy(F.xxhash64("print"), "print")
-                       .limit(sample_rows).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in hash_sample(nodes.select("print"), sample_rows, "print").collect()],
+                      dtype=np.int64).view(np.uint64)
     probes = plan_probes(sample, nodes.count(), radius)
     roots = components(links(nodes, probes, radius, block))
     rooted = nodes.join(roots, nodes.print == roots.node, "left").select(
