@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import id_text
+from postmill.llm.common import hash_sample, id_text
 
 BUCKETS = 1 << 13
 GRAMS = 3
@@ -148,7 +148,7 @@ def train(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Lan
     known = docs.filter(learn).filter("lang is not null").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     # Ids first, then the texts of those ids: the sort carries no texts.
-    chosen = (known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    chosen = hash_sample(known.select("doc_id").distinct(), sample_rows, "doc_id")
     sample = grams_of(known.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", "lang")
     rows = sorted((r for r in sample.collect() if r.buckets),
                   key=lambda r: (str(r.doc_id), r.lang, r.buckets, r.counts))

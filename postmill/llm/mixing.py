@@ -27,7 +27,7 @@ MAX_REPEATS = 3
 #: heavy sources come early, light ones late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 #: Documents in a bucket, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:

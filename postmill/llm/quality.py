@@ -143,7 +143,7 @@ def _lasso(z: np.ndarray, y: np.ndarray, strength: float, steps: int) -> tuple[n
     return w[:k], float(w[k])
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, leaf: int = 5, rate: float = 0.3,
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, leaf: int = 10, rate: float = 0.3,
               strength: float = 3e-4, steps: int = 400, seed: int = 7) -> RuleEnsemble:
     """Trees on random halves of the rows, their paths, lasso weights. With one label only,
     or no rows, the ensemble has no rules and returns the label's smoothed share."""

@@ -39,6 +39,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from postmill.llm.common import hash_sample
 
@@ -420,7 +421,7 @@ def splitters_of(texts: list[str], rule: Rule, ranges: int) -> list[bytes]:
 
 
 def without_repeats(docs: DataFrame, rule: Rule, kept: Callable[[Group, int, np.ndarray], tuple],
-                    kept_schema: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+                    kept_schema: pa.Schema, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id and what ``kept(group, document, removed tokens)`` gives, by ``kept_schema``.
 
     ``doc_id`` must be a whole number; null ids come after all others and are no earlier
@@ -446,17 +447,16 @@ def without_repeats(docs: DataFrame, rule: Rule, kept: Callable[[Group, int, np.
         lambda left, right: contexts(left, right, rule, splitters), sent("range", "part"))
     factored = context.groupBy("range").applyInArrow(lambda t: factors(t, rule), sent("part", "range"))
 
-    names = [f.split()[0] for f in kept_schema.split(", ")]
-
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, rule)
         removed = covered(group, right.column("payload").to_pylist())
         out = [kept(group, d, removed[s:s + n]) for d, (s, n) in enumerate(zip(group.starts, group.lengths))]
-        columns = list(zip(*out)) if out else [()] * len(names)
+        columns = list(zip(*out)) if out else [()] * len(kept_schema)
         ids = pa.array([None if i == NO_ID else i for i in group.ids.tolist()], pa.int64())
-        return pa.table([ids, *map(pa.array, columns)], names=["doc_id", *names])
+        return pa.table([ids, *(pa.array(c, kept_schema.field(i).type) for i, c in enumerate(columns))],
+                        names=["doc_id", *kept_schema.names])
 
-    return grouped.cogroup(factored.groupBy("part")).applyInArrow(apply, f"doc_id bigint, {kept_schema}")
+    return grouped.cogroup(factored.groupBy("part")).applyInArrow(apply, from_arrow_schema(pa.schema([pa.field("doc_id", pa.int64()), *kept_schema])))
 
 
 def true_runs(flags: np.ndarray) -> list[list[int]]:

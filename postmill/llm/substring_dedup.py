@@ -14,12 +14,15 @@ are the duplicate spans.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from postmill.llm.repeats import GROUP_BYTES, Group, Rule, true_runs, without_repeats
 
 WORDS, GRAM = 20, 8
 
+SCHEMA = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+
 
 def _kept(group: Group, doc: int, removed: np.ndarray) -> tuple:
     start = int(group.starts[doc])
@@ -38,5 +41,4 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = GRAM, group_
     are one document in this order, an earlier place in one being earlier for the other,
     and at one place neither is. An empty table gives an empty result; other columns take
     no part."""
-    return without_repeats(docs, Rule(words, gram, words=True, within=True), _kept,
-                           "n_words bigint, spans array<array<bigint>>, kept binary", group_bytes)
+    return without_repeats(docs, Rule(words, gram, words=True, within=True), _kept, SCHEMA, group_bytes)

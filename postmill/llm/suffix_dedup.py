@@ -9,12 +9,15 @@ anchors, of repeated anchors only, are about its size.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from postmill.llm.repeats import GROUP_BYTES, Group, Rule, true_runs, without_repeats
 
 LENGTH, GRAM = 50, 24
 
+SCHEMA = pa.schema([("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+
 
 def _kept(group: Group, doc: int, removed: np.ndarray) -> tuple:
     start = int(group.starts[doc])
@@ -30,5 +33,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     document; null texts count as empty. Null ids come last and are not smaller than one
     another, nor are equal ids. An empty table gives an empty result; other columns take
     no part."""
-    return without_repeats(docs, Rule(length, gram, words=False, within=False), _kept,
-                           "n_bytes bigint, spans array<array<bigint>>, kept binary", group_bytes)
+    return without_repeats(docs, Rule(length, gram, words=False, within=False), _kept, SCHEMA, group_bytes)
