@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.fixed import HTML_ENTITIES
-
 # Unicode white space plus the four ASCII separators that Java leaves out.
 WS = r"[\s\x1c-\x1f]"
 
@@ -80,21 +80,63 @@ def fingerprint(company: Column, title: Column, location: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 20)
 
 
-def _numeric_entities(c: Column) -> Column:
-    """Decode &#NNN; and &#xHHH; by cutting the text at '&#'."""
+# A tag starts with a letter, '/' and a letter, '!' or '?'; any other '<' is text.
+# Quoted values may hold '>'; where quotes do not close, the next '>' ends the tag.
+TAG = (r"""<(?:[A-Za-z]|/[A-Za-z]|[!?])(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""")
+DROPPED = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", TAG)
+
+# The named character references of HTML, from the table in Python's library. Those
+# without a semicolon are the old ones that HTML also takes bare.
+NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+BARE = {name: chars for name, chars in html5.items() if not name.endswith(";")}
+BARE_PATTERN = "^(" + "|".join(sorted(BARE, key=lambda n: (-len(n), n))) + ")"
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """The value of a constant map; null for any other key."""
+    parts = [F.lit(list(table)), F.lit(list(table.values()))]
+    return F.try_element_at(F.map_from_arrays(*parts), key)
+
+
+def _windows_1252() -> dict[str, str]:
+    """What the numbers 128 to 159 stand for in HTML, where they stand for anything."""
+    found = {str(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+    return {number: char for number, char in found.items() if char}
+
+
+def _numbered(digits: Column) -> Column:
+    """The character of a decimal number or x and a hexadecimal one; U+FFFD if there is none."""
+    hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
+    plain = F.regexp_replace(digits, "^[xX]?0*", "")
+    code = F.when(F.length(plain) > 7, F.lit(0)).otherwise(
+        F.when(hexadecimal, F.conv(plain, 16, 10)).otherwise(plain).try_cast("long"))
+    valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (F.when(~F.coalesce(valid, F.lit(False)), "\ufffd")
+            .otherwise(F.coalesce(_lookup(_windows_1252(), code.cast("string")), char)))
+
+
+def decode_references(c: Column) -> Column:
+    """Decode character references once: &name; &#12; &#xC; and the old bare names.
+
+    The text is cut at each '&', and each piece is looked at on its own, so what a
+    reference stands for is never read as a part of another one.
+    """
     def piece(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"^([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
-        code = F.when(F.lower(F.substring(digits, 1, 1)) == "x",
-                      F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("long")
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return (F.when((digits != "") & valid,
-                       F.concat(char, F.regexp_replace(part, r"^[^;]*;", "")))
-                .otherwise(F.concat(F.lit("&#"), part)))
-
-    parts = F.split(c, "&#")
+        digits = F.regexp_extract(part, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", 1)
+        name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(part, BARE_PATTERN, 1)
+        named = _lookup(NAMED, name)
+        return (F.when(digits != "", F.concat(_numbered(digits), F.regexp_replace(
+                    part, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", "")))
+                .when((name != "") & named.isNotNull(),
+                      F.concat(named, F.substr(part, F.length(name) + 2)))
+                .when(bare != "", F.concat(_lookup(BARE, bare), F.substr(part, F.length(bare) + 1)))
+                .otherwise(F.concat(F.lit("&"), part)))
+
+    parts = F.split(c, "&")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
-    return F.when(F.contains(c, F.lit("&#")),
+    return F.when(F.contains(c, F.lit("&")),
                   F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
 
 
@@ -105,10 +147,6 @@ def html_to_text(c: Column) -> Column:
     character references are decoded once, white space is collapsed.
     """
     text = F.coalesce(c, F.lit(""))
-    for dropped in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>",
-                    r"(?is)<style\b.*?</style\s*>", r"<[^>]*>"):
+    for dropped in DROPPED:
         text = F.regexp_replace(text, dropped, " ")
-    for name, char in HTML_ENTITIES[:-1]:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = _numeric_entities(text)
-    return squash(F.replace(text, F.lit("&amp;"), F.lit("&")))
+    return squash(decode_references(text))

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.fixed import FALSE_WORDS, STRICT_FALSE_WORDS, STRICT_TRUE_WORDS, TRUE_WORDS
+from postmill.fixed import (DATE_PATTERNS, FALSE_WORDS, STRICT_FALSE_WORDS, STRICT_TRUE_WORDS,
+                            TRUE_WORDS, WEEKDAY)
 from postmill.functions.text import squash, strip
 
 ISO_Z = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 STAMP = "yyyyMMdd_HHmmss"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?\s*$"
+EPOCH_UNITS = {"s": 1.0, "ms": 1000.0}
+# First second of year 1 and of year 10000.
+FIRST_SECOND, END_SECOND = -62_135_596_800, 253_402_300_800
 
 
 def to_number(c: Column) -> Column:
-    """Double, or null where the text is not a number."""
-    return c.cast("string").try_cast("double")
+    """Double, or null where the text is not a number in decimal digits.
+
+    A cast alone would also take '1d', '5f', 'NaN' and 'Infinity'.
+    """
+    written = c.cast("string")
+    return F.when(written.rlike(NUMBER), written.try_cast("double"))
 
 
 def loose_bool(c: Column) -> Column:
@@ -34,24 +43,35 @@ def strict_bool(c: Column) -> Column:
 
 
 def parse_instant(c: Column, epoch_unit: str = "s") -> Column:
-    """Timestamp from an epoch number or ISO text; anything else is null."""
+    """Timestamp from an epoch number or date text; anything else is null, also
+    a number outside the years 1 to 9999."""
     number = to_number(c)
-    if epoch_unit == "s":
-        from_number = F.timestamp_seconds(number)
-    elif epoch_unit == "ms":
-        from_number = F.timestamp_millis(number.cast("long"))
-    else:
+    if epoch_unit not in EPOCH_UNITS:
         raise ValueError(f"epoch_unit must be 's' or 'ms', not {epoch_unit!r}")
-    return F.when(number.isNotNull(), from_number).otherwise(F.try_to_timestamp(c.cast("string")))
+    seconds = number / EPOCH_UNITS[epoch_unit]
+    inside = F.when((seconds >= FIRST_SECOND) & (seconds < END_SECOND), seconds)
+    from_number = (F.timestamp_seconds(inside) if epoch_unit == "s" else
+                   F.timestamp_millis(F.when(inside.isNotNull(), number).cast("long")))
+    return F.when(number.isNotNull(), from_number).otherwise(parse_date_text(c))
+
+
+def parse_date_text(c: Column) -> Column:
+    """Timestamp from ISO text or one of the other usual ways to write a date."""
+    written = strip(c)
+    bare = F.regexp_replace(F.regexp_replace(written, WEEKDAY, ""), r"\s+", " ")
+    # The other patterns are tried only where ISO fails and the text has a digit.
+    others = [F.try_to_timestamp(bare, F.lit(p)) for p in DATE_PATTERNS]
+    return F.coalesce(F.try_to_timestamp(c.cast("string")),
+                      F.when(bare.rlike("[0-9]"), F.coalesce(*others)))
 
 
 def parse_iso(c: Column) -> Column:
-    return F.try_to_timestamp(c.cast("string"))
+    return parse_date_text(c)
 
 
 def parse_stamp(c: Column) -> Column:
     """Timestamp from compact file-name text such as 20260131_235959."""
-    return F.to_timestamp(c, STAMP)
+    return F.try_to_timestamp(c, F.lit(STAMP))
 
 
 def iso_z(c: Column) -> Column:

@@ -44,12 +44,17 @@ def master_stage(sources: Mapping[str, DataFrame], out: str) -> DataFrame:
     return checks.one_row_per_key(table, [KEY], "master")
 
 
-def skill_stage(jobs: DataFrame, out: str, skills: Sequence[Skill] = skilled.DEFAULT_SKILLS,
+def skill_stage(jobs: DataFrame, out: str,
+                skills: Sequence[Skill] | DataFrame = skilled.DEFAULT_SKILLS,
                 exclusions: DataFrame | None = None,
                 rules: Sequence[ContextRule] = (STUDY_FIELD_RULE,)) -> DataFrame:
-    """Write the bridge of the target jobs; finding nothing at all is an error."""
+    """Write the bridge of the target jobs; finding nothing at all is an error.
+
+    A dictionary given as a table, of any size, is joined; a sequence is a constant."""
     skilled.check_extraction_input(jobs)
-    bridge = _stage(skilled.extract_skills(jobs, skills, rules), f"{out}/first_pass")
+    extract = (skilled.extract_skills_joined if isinstance(skills, DataFrame)
+               else skilled.extract_skills)
+    bridge = _stage(extract(jobs, skills, rules), f"{out}/first_pass")
     checks.assert_some(bridge, "no skill was found in any posting")
     checks.one_row_per_key(bridge, [KEY, "skill_key"], "job skills")
     kept = bridge if exclusions is None else skilled.apply_exclusions(bridge, exclusions)
@@ -57,7 +62,7 @@ def skill_stage(jobs: DataFrame, out: str, skills: Sequence[Skill] = skilled.DEF
 
 
 def run_all(spark: SparkSession, work: str, sources: Mapping[str, DataFrame],
-            skills: Sequence[Skill] = skilled.DEFAULT_SKILLS,
+            skills: Sequence[Skill] | DataFrame = skilled.DEFAULT_SKILLS,
             exclusions: DataFrame | None = None) -> str:
     """From staged sources to a published warehouse; returns its run id."""
     target = masters.target_rows(master_stage(sources, f"{work}/master"))

@@ -160,9 +160,19 @@ def count_mismatch(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows on one side only, as bags, with the side they are on."""
-    return (left.exceptAll(right).withColumn("side", F.lit("left"))
-            .unionByName(right.exceptAll(left).withColumn("side", F.lit("right"))))
+    """Rows on one side only, as bags, with the side they are on.
+
+    Each side is read once: rows count +1 or -1, and what does not cancel out
+    is repeated as often as it is left over.
+    """
+    columns = [F.col(c) for c in left.columns]
+    both = (left.withColumn("_count", F.lit(1))
+            .unionByName(right.withColumn("_count", F.lit(-1))))
+    return (both.groupBy(*columns).agg(F.sum("_count").alias("_left"))
+            .filter("_left <> 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_left"))))
+            .withColumn("side", F.when(F.col("_left") > 0, "left").otherwise("right"))
+            .drop("_left", "_copy"))
 
 
 def dimension_mismatch(dimension: DataFrame, dimension_key: str, fact: DataFrame,

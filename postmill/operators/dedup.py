@@ -49,7 +49,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def duplicate_members(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once, with the size of its group."""
     repeated = group_sizes(df, keys).filter("group_rows > 1")
-    return join_group_facts(df, repeated, keys, "group_rows", spread_by)
+    return join_group_facts(df, repeated, keys, spread_by)
 
 
 def repeat_count(df: DataFrame, key: str, out: str = "repeated_rows") -> DataFrame:

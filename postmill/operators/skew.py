@@ -7,38 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Only the HOT_GROUPS largest groups can be hot, which bounds the broadcast list;
-# any other group is smaller than one part in HOT_GROUPS of the rows.
-HOT_GROUPS = 10_000
-SLICE_ROWS = 1_000_000
+# Slices that the rows of every group, small or large, are dealt over.
+SLICES = 64
 
 
-def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str,
-                     spread_by: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str],
+                     spread_by: Sequence[str], slices: int = SLICES) -> DataFrame:
     """Inner join of `rows` with `facts`, which has one row per key.
 
-    `size` is the column of `facts` that counts the rows of the group. Rows of
-    a large group are dealt over slices by a hash of `spread_by`, and its fact
-    row is repeated once per slice, so no task receives a whole large group.
-    The list of large groups is a top-k by size and the only thing broadcast.
-    Null keys match each other, as they do when the facts are grouped.
+    Every row gets a slice by a hash of `spread_by`. The facts first meet the
+    (key, slice) pairs that occur, at most `slices` per key and counted before
+    the shuffle, and then the rows by key and slice. So every group is spread,
+    whatever its size, with no list of large groups and nothing broadcast, and
+    the result is the same for any number of slices. Null keys match each
+    other, as they do when the facts are grouped.
     """
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    hot = F.broadcast(
-        facts.filter(F.col(size) > slice_rows).orderBy(F.desc(size), *keys).limit(HOT_GROUPS)
-        .select(*[F.col(k).alias(n) for k, n in names.items()],
-                F.ceil(F.col(size) / slice_rows).cast("int").alias("_slices")))
-
-    def with_slices(df: DataFrame) -> DataFrame:
-        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-        return (df.join(hot, same, "left").drop(*names.values())
-                .withColumn("_slices", F.coalesce("_slices", F.lit(1))))
-
-    dealt = with_slices(rows).withColumn(
-        "_slice", F.pmod(F.xxhash64(*spread_by), F.col("_slices")).cast("int")).drop("_slices")
-    spread = (with_slices(facts)
-              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-              .drop("_slices").withColumnsRenamed(names))
-    same_key = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    return (dealt.join(spread, [*same_key, F.col("_slice") == F.col("_part")], "inner")
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int"))
+    pairs = dealt.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows")).select(
+        *[F.col(k).alias(n) for k, n in names.items()], F.col("_slice").alias("_part"))
+    met = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    spread = facts.join(pairs, met, "inner").drop(*keys)
+    return (dealt.join(spread, [*met, F.col("_slice") == F.col("_part")], "inner")
             .drop("_slice", "_part", *names.values()))

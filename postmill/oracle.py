@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 
-from postmill.bindings import TEXT_RULES, TEXT_SKILL_ROWS, TITLE_SKILL_ROWS, TITLES
-from postmill.fixed import HTML_ENTITIES, RELEVANT_TITLE, ROLE_RULES
+from postmill.bindings import (DATE_CASES, HTML_CASES, NUMBER_CASES, TEXT_RULES, TEXT_SKILL_ROWS,
+                               TITLE_SKILL_ROWS, TITLES)
+from postmill.fixed import RELEVANT_TITLE, ROLE_RULES
 
 BASKET = """
 jobs AS (
@@ -423,16 +424,25 @@ FROM {table} JOIN (
   FROM {table} GROUP BY 1 HAVING count(*) > 1) USING (job_fingerprint)"""
 
 
+# The references that the pages hold; the hard cases are stated as values.
+PAGE_REFERENCES = (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&"))
+
+
 def _html() -> str:
     text = "html"
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>",
-                    r"(?is)<style\b.*?</style\s*>", r"<[^>]*>"):
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>",
+                    r"""<([A-Za-z]|/[A-Za-z]|[!?])([^>"']|"[^"]*"|'[^']*')*>"""):
         text = f"regexp_replace({text}, {quoted(pattern)}, ' ', 'g')"
-    for name, char in HTML_ENTITIES:
+    for name, char in PAGE_REFERENCES:
         text = f"replace({text}, '&{name};', {quoted(char)})"
     return squashed(text)
 
 
+def dealt(values, number: str) -> str:
+    """The value of a fixed list that a row's number falls on."""
+    return f"list_extract([{', '.join(values)}], {number} % {len(values)} + 1)"
+
+
 def text_queries() -> dict[str, str]:
     title = f"list_extract([{', '.join(quoted(t) for t in TITLES)}], o_orderkey % {len(TITLES)} + 1)"
     return {
@@ -548,6 +558,15 @@ SELECT CASE WHEN s > 1 THEN 'Cross-source' ELSE 'Within-source' END AS duplicate
 FROM (SELECT job_fingerprint, count(*) AS n, count(DISTINCT source) AS s FROM marked
       GROUP BY 1 HAVING count(*) > 1) GROUP BY 1""",
         "html_to_text": f"SELECT page_id, {_html()} AS body FROM pages",
+        "html_cases": f"""
+SELECT page_id, {squashed(f"{dealt([quoted(c[1]) for c in HTML_CASES], 'page_id')} || ' | ' || {_html()}")} AS body
+FROM pages""",
+        "number_parse": f"""
+SELECT o_orderkey, CAST({dealt(['NULL' if c[1] is None else f"{c[1]!r}::DOUBLE" for c in NUMBER_CASES], 'o_orderkey')}
+                        AS DOUBLE) AS value FROM orders""",
+        "date_cases": f"""
+SELECT o_orderkey, CAST({dealt(['NULL' if c[1] is None else f"TIMESTAMP '{c[1]}'" for c in DATE_CASES], 'o_orderkey')}
+                        AS TIMESTAMP) AS at FROM orders""",
     }
 
 
@@ -813,8 +832,8 @@ GROUP BY 1, 2 HAVING count(*) > 1""",
         "dq_unique_nocase": """
 SELECT lower(p_name) AS p_name, count(*) AS key_rows FROM part GROUP BY 1 HAVING count(*) > 1""",
         "dq_foreign_key": """
-SELECT o_custkey, count(*) AS child_rows FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""",
+SELECT l_partkey, count(*) AS child_rows FROM lineitem
+WHERE l_partkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
         "dq_domain": """
 SELECT o_orderpriority, count(*) AS value_rows FROM orders
 WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1""",
@@ -846,15 +865,13 @@ WITH {STAGED} SELECT source_record_key FROM master WHERE role_family = 'Non-targ
 WITH {STAGED} SELECT source_record_key, 'left' AS side FROM master
 WHERE role_family = 'Non-target Role'""",
         "dq_dimension": """
-WITH dim AS (SELECT c_custkey AS value FROM customer WHERE c_acctbal > 0),
+WITH dim AS (SELECT c_custkey AS value FROM customer),
 fact AS (SELECT DISTINCT o_custkey AS value FROM orders)
 SELECT coalesce(d.value, f.value) AS value,
        CASE WHEN f.value IS NULL THEN 'left' ELSE 'right' END AS side
 FROM dim d FULL JOIN fact f ON d.value = f.value WHERE d.value IS NULL OR f.value IS NULL""",
-        "dq_unmatched": f"""
-WITH {POSTS} {REVIEWS}
-SELECT o.source, o.source_job_id FROM overrides o
-JOIN documents d ON o.source_job_id = CAST(d.doc_id AS VARCHAR) WHERE d.lang <> 'en'""",
+        "dq_unmatched": """
+SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
         "dq_bridge_keys": f"""
 WITH {MATCHES}
 SELECT evidence_source AS source_record_key, skill_key, count(*) AS key_rows FROM bridge

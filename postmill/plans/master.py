@@ -84,7 +84,8 @@ def duplicate_candidates(master: DataFrame) -> DataFrame:
     """Every posting that shares its fingerprint with another one.
 
     Group facts come from an aggregation, not a window, and reach the rows by
-    a sliced join: one fingerprint may hold any share of all rows.
+    a sliced join: one fingerprint may hold any share of all rows. The master
+    is read for the facts, the slices and the rows; hand over a written one.
     """
     marked = master.filter(~is_blank(F.col("job_fingerprint")))
     groups = (marked.groupBy("job_fingerprint")
@@ -92,7 +93,7 @@ def duplicate_candidates(master: DataFrame) -> DataFrame:
                    F.count_distinct("source").alias("source_count"))
               .filter("record_count > 1"))
     scope = F.when(F.col("source_count") > 1, "Cross-source").otherwise("Within-source")
-    return (join_group_facts(marked, groups, ["job_fingerprint"], "record_count",
+    return (join_group_facts(marked, groups, ["job_fingerprint"],
                              ["source", "source_job_id"])
             .withColumn("duplicate_scope", scope).select(*DUPLICATE_COLUMNS))
 

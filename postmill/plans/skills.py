@@ -23,7 +23,10 @@ SEARCH_FIELDS = ("job_title_raw", "tags", "description_text")
 DEFAULT_SKILLS = skills_from_rows(SKILLS)
 
 
-def skill_dimension(spark: SparkSession, skills: Sequence[Skill] = DEFAULT_SKILLS) -> DataFrame:
+def skill_dimension(spark: SparkSession,
+                    skills: Sequence[Skill] | DataFrame = DEFAULT_SKILLS) -> DataFrame:
+    if isinstance(skills, DataFrame):
+        return skills.select(*SKILL_COLUMNS)
     return inline_table(spark, SKILL_COLUMNS, [(s.key, s.name, s.category) for s in skills])
 
 

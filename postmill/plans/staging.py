@@ -10,7 +10,7 @@ from postmill.functions.text import (casefold_sort, fingerprint, html_to_text, i
                                      location_list, pipe_list, squash, strip)
 from postmill.functions.values import parse_instant, parse_iso, salary_text, to_number
 from postmill.operators import checks
-from postmill.operators.dedup import keep_first_collecting, keep_last, repeat_count
+from postmill.operators.dedup import keep_first_collecting, keep_last
 from postmill.plans.classify import classify_roles
 
 PAGED_REQUIRED = ("guid", "title", "companyName", "description", "pubDate", "applicationLink",
@@ -124,10 +124,13 @@ def query_overlap(staged: DataFrame) -> DataFrame:
 def staging_report(records: DataFrame, staged: DataFrame) -> DataFrame:
     """Counts that describe one staging run, in one row."""
     received = records.agg(F.count("*").alias("n")).scalar()
-    repeated = repeat_count(staged, "job_fingerprint", "n").scalar()
+    fingerprint = F.col("job_fingerprint")
+    repeated = F.count("*") - F.count_distinct(fingerprint) - F.when(
+        F.count_if(fingerprint.isNull()) > 0, 1).otherwise(0)
     priced = F.col("salary_raw") != ""
     report = staged.agg(
         F.count("*").alias("unique_jobs"),
+        repeated.alias("duplicate_fingerprints"),
         F.count_if("is_target_data_role").alias("target_jobs"),
         F.count_if("role_override_applied").alias("overrides_applied"),
         F.count_if(F.col("automated_role_family") != F.col("role_family"))
@@ -139,7 +142,7 @@ def staging_report(records: DataFrame, staged: DataFrame) -> DataFrame:
     return report.select(
         received.alias("records_received"), "unique_jobs",
         (received - F.col("unique_jobs")).alias("repeated_records"), "target_jobs",
-        "overrides_applied", "changed_predictions", repeated.alias("duplicate_fingerprints"),
+        "overrides_applied", "changed_predictions", "duplicate_fingerprints",
         "missing_salary", "missing_titles", "missing_companies", "missing_publication_dates")
 
 

@@ -11,7 +11,7 @@ from postmill import bindings as b
 from postmill.functions import text, values
 from postmill.operators import checks, dedup
 from postmill.plans import classify, gap, master, reports, skills, staging, views, warehouse
-from postmill.session import REQUIRED_CONF, fill_cores, settle
+from postmill.session import REQUIRED_CONF
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,7 @@ def basket_queries() -> dict[str, Query]:
 
 def _licensing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every posting where a licence word was found, and what the context rule left."""
-    posts = fill_cores(b.postings(spark, sf_dir))
+    posts = b.postings(spark, sf_dir)
     word = [s for s in b.TEXT_SKILLS if s.key == b.TEXT_RULE.skill]
     plain = skills.extract_skills(posts, word, ()).select(
         views.KEY, F.col("matched_aliases").alias("without_rule"))
@@ -75,7 +75,7 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.skill_audit_sample(
         b.postings(spark, sf_dir), skills.skill_dimension(spark, b.TEXT_SKILLS),
-        settle(b.text_bridge(spark, sf_dir)), risky=("that_word", "license_word", "mail"))
+        b.text_bridge(spark, sf_dir), risky=("that_word", "license_word", "mail"))
 
 
 def _sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +93,9 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings whose fingerprint covers language and the whole text."""
-    posts = fill_cores(b.postings(spark, sf_dir)).withColumn("job_fingerprint", text.fingerprint(
+    posts = b.postings(spark, sf_dir).withColumn("job_fingerprint", text.fingerprint(
         F.col("tags"), F.col("description_text"), F.col("location_raw")))
-    return settle(posts.drop("description_text", "tags"))
+    return posts.drop("description_text", "tags")
 
 
 def text_queries() -> dict[str, Query]:
@@ -128,8 +128,15 @@ def text_queries() -> dict[str, Query]:
         "fingerprint_duplicates": lambda s, d: master.duplicate_candidates(
             _fingerprinted(s, d)).drop("job_title_raw"),
         "duplicate_groups": lambda s, d: master.duplicate_groups(_fingerprinted(s, d)),
-        "html_to_text": lambda s, d: fill_cores(b.table(s, d, "pages")).select(
+        "html_to_text": lambda s, d: b.table(s, d, "pages").select(
             "page_id", text.html_to_text(F.col("html")).alias("body")),
+        "html_cases": lambda s, d: b.table(s, d, "pages").select("page_id", text.html_to_text(
+            F.concat(b.dealt(b.HTML_CASES, "page_id"), F.lit(" | "), "html")).alias("body")),
+        "number_parse": lambda s, d: b.table(s, d, "orders").select(
+            "o_orderkey", values.to_number(b.dealt(b.NUMBER_CASES, "o_orderkey")).alias("value")),
+        "date_cases": lambda s, d: b.table(s, d, "orders").select(
+            "o_orderkey", values.parse_instant(b.dealt(b.DATE_CASES, "o_orderkey"))
+            .cast("timestamp_ntz").alias("at")),
     }
 
 
@@ -189,7 +196,7 @@ def record_queries() -> dict[str, Query]:
 
 def _bridge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated keys of the bridge (none), and of a pair of columns that is no key."""
-    bridge = settle(b.text_bridge(spark, sf_dir).select(views.KEY, "skill_key", "evidence_source"))
+    bridge = b.text_bridge(spark, sf_dir).select(views.KEY, "skill_key", "evidence_source")
     other = checks.duplicate_keys(bridge, ["skill_key", "evidence_source"])
     return checks.duplicate_keys(bridge, [views.KEY, "skill_key"]).unionByName(
         other.select(F.col("evidence_source").alias(views.KEY), "skill_key", "key_rows"))
@@ -230,8 +237,7 @@ def quality_queries() -> dict[str, Query]:
         "dq_unique_nocase": lambda s, d: checks.duplicate_keys(
             t(s, d, "part"), ["p_name"], ignore_case=True),
         "dq_foreign_key": lambda s, d: checks.orphans(
-            t(s, d, "orders"),
-            t(s, d, "customer").filter("c_acctbal > 0"), "o_custkey", "c_custkey"),
+            t(s, d, "lineitem"), t(s, d, "customer"), "l_partkey", "c_custkey"),
         "dq_domain": lambda s, d: checks.outside_domain(
             t(s, d, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]),
         "dq_range": lambda s, d: checks.inverted_range(
@@ -262,11 +268,10 @@ def quality_queries() -> dict[str, Query]:
             b.conformed(s, d).select("source_record_key"),
             master.target_rows(b.conformed(s, d)).select("source_record_key")),
         "dq_dimension": lambda s, d: checks.dimension_mismatch(
-            t(s, d, "customer").filter("c_acctbal > 0"), "c_custkey", t(s, d, "orders"), "o_custkey"),
+            t(s, d, "customer"), "c_custkey", t(s, d, "orders"), "o_custkey"),
         "dq_unmatched": lambda s, d: checks.unmatched(
-            b.text_overrides(s, d), t(s, d, "documents").filter("lang = 'en'").select(
-                "source", F.col("doc_id").cast("string").alias("source_job_id")),
-            ["source", "source_job_id"]).select("source", "source_job_id"),
+            t(s, d, "documents").select("doc_id", "source"),
+            t(s, d, "labels").select("doc_id"), ["doc_id"]),
         "dq_bridge_keys": _bridge_keys,
         "value_counts": lambda s, d: reports.value_counts(b.conformed(s, d), "role_family"),
     }

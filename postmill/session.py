@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -33,35 +32,6 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a result that several branches of a query read, and cut its lineage.
-
-    Uses the shared folder the session names in spark.checkpoint.dir. Where that
-    is unset, a local session gets a temporary folder and any other session
-    keeps the lazy frame: results are the same, only work is repeated.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="postmill-checkpoint-")
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Deal out a table that is scanned in fewer pieces than there are cores.
-
-    Meant for heavy work per row on tables with few row groups. A scan piece
-    holds at most spark.sql.files.maxPartitionBytes, so what gets shuffled is
-    less than one wave of tasks; any larger table passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def inline_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence]) -> DataFrame:
     """Table of strings known when the query is written.
 

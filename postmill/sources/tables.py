@@ -12,7 +12,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions.matching import Skill, skills_from_rows
 from postmill.functions.text import strip
 from postmill.functions.values import ISO_Z
 from postmill.operators import checks
@@ -20,8 +19,6 @@ from postmill.plans.classify import (check_overrides, clean_overrides, prepare_o
                                      review_problems)
 from postmill.plans.skills import check_exclusions, clean_exclusions
 
-# A dictionary becomes part of the query text, so it has to be of plan size.
-MAX_DICTIONARY_ROWS = 5_000
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -83,18 +80,14 @@ def dictionary_problems(rows: DataFrame) -> DataFrame:
             .unionByName(tagged(no_alias, "no alias", "skill_key")))
 
 
-def load_skills(spark: SparkSession, path: str) -> tuple[Skill, ...]:
-    """The dictionary as query constants, after its checks."""
+def load_skills(spark: SparkSession, path: str) -> DataFrame:
+    """The dictionary as a table of any size, after its checks."""
     table = read_csv(spark, path)
     columns = ["skill_key", "skill_name", "skill_category", "aliases"]
     checks.require_columns(table, columns, "skill dictionary")
     rows = table.select(*[strip(F.col(c)).alias(c) for c in columns])
     checks.assert_empty(dictionary_problems(rows), "skill dictionary")
-    found = rows.limit(MAX_DICTIONARY_ROWS + 1).collect()
-    if len(found) > MAX_DICTIONARY_ROWS:
-        raise checks.CheckFailed(f"more than {MAX_DICTIONARY_ROWS} dictionary rows; "
-                                 "use plans.skills.extract_skills_joined")
-    return skills_from_rows([tuple(r) for r in found])
+    return rows
 
 
 def load_role_overrides(spark: SparkSession, path: str, default_source: str) -> DataFrame | None:
