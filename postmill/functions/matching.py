@@ -87,36 +87,10 @@ def anchors_in(folded: Column, skills: Sequence[Skill]) -> Column:
     return F.array_intersect(F.lit(anchors), _words_and_blank(folded))
 
 
-def entry_anchors_in(folded: Column, entries: Column) -> Column:
-    """As anchors_in for entries that are a column themselves."""
-    return F.array_intersect(F.transform(entries, lambda e: e["anchor"]),
-                             _words_and_blank(folded))
-
-
 def candidates(dictionary: Column, anchors: Column) -> Column:
     return F.filter(dictionary, lambda e: F.array_contains(anchors, e["anchor"]))
 
 
-def term_dictionary(table: DataFrame) -> DataFrame:
-    """Dictionary rows as (anchor, entry): one row per alias of a table with
-    skill_key and pipe-joined aliases. `entry` is shaped as in `dictionary_column`.
-    """
-    alias = F.col("alias")
-    rows = (table.select("skill_key", F.explode(F.split("aliases", r"\|")).alias("alias"))
-            .withColumn("alias", strip(alias)).filter(alias != "").distinct())
-    needle = fold(squash(alias))
-    longest = F.array_max(F.transform(_words_and_blank(needle),
-                                      lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return rows.select(longest["w"].alias("anchor"),
-                       F.struct("skill_key", "alias", needle.alias("needle"),
-                                longest["w"].alias("anchor")).alias("entry"))
-
-
-def spoken_words(folded: Column) -> Column:
-    """Distinct ASCII words of a text, and the blank."""
-    return F.array_distinct(_words_and_blank(folded))
-
-
 def _words_and_blank(folded: Column) -> Column:
     return F.concat(F.regexp_extract_all(folded, F.lit("[a-z0-9_]+"), 0), F.array(F.lit("")))
 

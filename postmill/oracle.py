@@ -408,6 +408,23 @@ audit AS (
     FROM bridge JOIN names USING (skill_key) GROUP BY 1) s USING (source_record_key))
 """
 
+def _around(field: str) -> str:
+    """120 characters before the first alias that a field holds, and 180 after it."""
+    text = squashed(field)
+    alias = f"list_filter(string_split(matched_aliases, '|'), lambda a: contains(lower({text}), lower(a)))[1]"
+    at = f"strpos(lower({text}), lower({alias}))"
+    start = f"greatest({at} - 121, 0)"
+    return (f"CASE WHEN {alias} IS NOT NULL THEN trim(substr({text}, {start} + 1, "
+            f"least(length({text}), {at} - 1 + length({alias}) + 180) - {start})) END")
+
+
+# The aliases dealt here, and the texts, hold no letter that changes its length in lower case.
+EXCERPTS = f"""
+excerpts AS (
+  SELECT b.*, coalesce({_around("job_title_raw")}, {_around("tags")}, {_around("description_text")},
+                       left({squashed("description_text")}, 300)) AS evidence_excerpt
+  FROM bridge b JOIN posts p USING (source_record_key))"""
+
 FINGERPRINTS = POSTS + f""",
 marked AS (SELECT *, left(sha256(lower({squashed("tags")}) || '|'
                      || lower({squashed("description_text")}) || '|'
@@ -548,6 +565,31 @@ parts AS (
   SELECT 'No Skills Detected', * FROM audit WHERE detected_skill_count = 0)
 SELECT audit_type, source_record_key, CAST(detected_skill_count AS VARCHAR) AS detected_skill_count,
        detected_skills, left({squashed("description_text")}, 300) AS evidence_excerpt, job_url
+FROM parts""",
+        "skill_excerpts": f"""
+WITH {MATCHES}, {EXCERPTS}
+SELECT source_record_key, skill_key, evidence_excerpt FROM excerpts""",
+        "skill_audit_sample": f"""
+WITH {MATCHES}, {EXCERPTS},
+parts AS (
+  SELECT 'Potentially Ambiguous Match' AS audit_type, p.*, e.skill_key, n.skill_name,
+         e.evidence_source, e.matched_aliases, '' AS skills, '' AS counted, e.evidence_excerpt
+  FROM (SELECT *, row_number() OVER (PARTITION BY skill_key ORDER BY md5(source_record_key || '|42'),
+                                     source_record_key) AS draw
+        FROM excerpts WHERE skill_key IN ('that_word', 'license_word', 'mail')) e
+  JOIN posts p USING (source_record_key) JOIN names n USING (skill_key) WHERE draw <= 2
+  UNION ALL
+  SELECT 'High Detected Skill Count', * EXCLUDE (detected_skill_count, detected_skills), '', '', '', '',
+         detected_skills, CAST(detected_skill_count AS VARCHAR), left({squashed("description_text")}, 300)
+  FROM (SELECT * FROM audit ORDER BY detected_skill_count DESC, source_record_key LIMIT 10)
+  UNION ALL
+  SELECT 'No Skills Detected', * EXCLUDE (detected_skill_count, detected_skills), '', '', '', '', '', '0',
+         left({squashed("description_text")}, 300)
+  FROM audit WHERE detected_skill_count = 0)
+SELECT audit_type, source_record_key, source, source_job_id, job_title_raw, company_name, role_family,
+       skill_key, skill_name, evidence_source, matched_aliases, counted AS detected_skill_count,
+       skills AS detected_skills, evidence_excerpt, '' AS manual_decision,
+       '' AS correct_skill_or_action, '' AS review_notes, job_url
 FROM parts""",
         "fingerprint_duplicates": "WITH " + FINGERPRINTS + duplicates(
             "marked", "source, source_job_id, company_name, location_raw, publication_date, job_url"),

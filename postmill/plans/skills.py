@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from postmill.fixed import (EXCERPT_FALLBACK, OVERRIDE_ACTIONS, RISKY_SKILLS, SAMPLE_SEED,
                             SAMPLES_PER_SKILL, SKILL_COLUMNS, SKILLS, TOP_COUNT_JOBS)
 from postmill.functions.matching import (STUDY_FIELD_RULE, ContextRule, Skill, alias_hits,
-                                         anchors_in, candidates, dictionary_column,
-                                         entry_anchors_in, excerpt, skills_from_rows,
-                                         spoken_words, term_dictionary)
+                                         anchors_in, candidates, dictionary_column, excerpt,
+                                         skills_from_rows)
 from postmill.functions.text import casefold_sort, drop_urls, fold, squash, strip
 from postmill.operators import checks
 from postmill.operators.dedup import top_rows
@@ -21,6 +20,8 @@ from postmill.session import inline_table
 
 SEARCH_FIELDS = ("job_title_raw", "tags", "description_text")
 DEFAULT_SKILLS = skills_from_rows(SKILLS)
+# Skills of a dictionary table that one pass over the postings carries.
+BLOCK_SKILLS = 1_000
 
 
 def skill_dimension(spark: SparkSession,
@@ -49,28 +50,38 @@ def extract_skills(jobs: DataFrame, skills: Sequence[Skill] = DEFAULT_SKILLS,
 
 def extract_skills_joined(jobs: DataFrame, dictionary: DataFrame,
                           rules: Sequence[ContextRule] = (STUDY_FIELD_RULE,),
-                          fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:
-    """extract_skills for a dictionary table of any size.
-
-    The distinct words of each posting meet the anchor words of the aliases in
-    an equi-join; the entries that remain per posting go through the same
-    matching as the constant dictionary. Texts do not take part in the join.
+                          fields: Sequence[str] = SEARCH_FIELDS,
+                          block: int = BLOCK_SKILLS) -> DataFrame:
+    """extract_skills for a dictionary table (skill_key, aliases) of any size.
+
+    The table is read in blocks of `block` skills; each block is a constant of
+    one map stage over the postings. So no text enters a shuffle, and a word
+    that most postings hold is no join key. A skill is in one block only, so
+    the parts are put together as they are; nothing is left out of any block.
     """
-    folded = _folded(jobs, fields)
-    terms = term_dictionary(dictionary)
-    wordless = terms.agg((F.count_if(F.col("anchor") == "") > 0).alias("x")).scalar()
-    words = spoken_words(F.concat_ws(" ", *[f"_{f}" for f in fields]))
-    # The blank joins only if some alias has no word; else it would be one key
-    # that every posting holds.
-    asked = F.when(wordless, words).otherwise(F.array_remove(words, ""))
-    found = (folded.select(KEY, F.explode(asked).alias("anchor"))
-             .join(terms, "anchor").groupBy(KEY)
-             .agg(F.collect_list("entry").alias("_entries")))
-    entries = F.col("_entries")
-    heard = folded.join(found, KEY).select(
-        "*", *[entry_anchors_in(F.col(f"_{f}"), entries).alias(f"_in_{f}") for f in fields])
-    return _group_hits(heard, {f: candidates(entries, F.col(f"_in_{f}")) for f in fields},
-                       rules, fields)
+    parts = [extract_skills(jobs, skills, rules, fields)
+             for skills in _skill_blocks(dictionary, block)]
+    if not parts:
+        return extract_skills(jobs.limit(0), DEFAULT_SKILLS, rules, fields)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _skill_blocks(dictionary: DataFrame, block: int) -> Iterator[tuple[Skill, ...]]:
+    """Skills in blocks. A key's rows are brought together first, whatever their number."""
+    rows = (dictionary.select("skill_key", F.explode(F.split("aliases", r"\|")).alias("alias"))
+            .withColumn("alias", strip(F.col("alias"))).filter("alias <> ''")
+            .groupBy("skill_key").agg(F.array_sort(F.collect_set("alias")).alias("aliases")))
+    held: list[Skill] = []
+    for row in rows.toLocalIterator():
+        held.append(Skill(row.skill_key, row.skill_key, "", tuple(row.aliases)))
+        if len(held) == block:
+            yield tuple(held)
+            held = []
+    if held:
+        yield tuple(held)
 
 
 def _folded(jobs: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -204,7 +215,7 @@ def _audit_rows(rows: DataFrame, audit_type: str) -> DataFrame:
 def risky_matches(bridge: DataFrame, risky: Sequence[str] = RISKY_SKILLS,
                   per_skill: int = SAMPLES_PER_SKILL, seed: int = SAMPLE_SEED) -> DataFrame:
     """A repeatable sample of at most `per_skill` relations for each risky skill."""
-    draw = F.xxhash64(F.col(KEY).cast("string"), F.lit(seed))
+    draw = F.md5(F.concat_ws("|", F.col(KEY).cast("string"), F.lit(str(seed))).cast("binary"))
     return top_rows(bridge.filter(F.col("skill_key").isin(*risky)), ["skill_key"],
                     [draw, F.col(KEY)], per_skill)
 
@@ -234,8 +245,10 @@ def skill_audit_sample(jobs: DataFrame, skills: DataFrame, bridge: DataFrame,
     sample = F.broadcast(risky_matches(bridge, risky))
     matched = (jobs.select(*columns).join(sample, KEY)
                .join(skills.select("skill_key", "skill_name"), "skill_key"))
-    audited = _audited(jobs.select(*columns), skills, bridge).withColumn(
-        "evidence_excerpt", F.substring(squash(F.col("description_text")), 1, EXCERPT_FALLBACK))
+    # Below the joins only the start of a description is left of it.
+    short = jobs.select(*[c for c in columns if c not in ("tags", "description_text")], F.substring(
+        squash(F.col("description_text")), 1, EXCERPT_FALLBACK).alias("evidence_excerpt"))
+    audited = _audited(short, skills, bridge)
     most = audited.orderBy(F.desc("detected_skill_count"), KEY).limit(top)
     none = audited.filter("detected_skill_count = 0")
     return (_audit_rows(with_excerpt(matched), "Potentially Ambiguous Match")

@@ -85,6 +85,13 @@ def _sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "evidence_excerpt", "job_url"))
 
 
+def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of every relation of the bridge."""
+    found = b.postings(spark, sf_dir).select(views.KEY, *skills.SEARCH_FIELDS).join(
+        b.text_bridge(spark, sf_dir), views.KEY)
+    return skills.with_excerpt(found).select(views.KEY, "skill_key", "evidence_excerpt")
+
+
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = classify.classify_roles(b.postings(spark, sf_dir).drop("role_family"), None,
                                      b.TEXT_RULES)
@@ -125,6 +132,7 @@ def text_queries() -> dict[str, Query]:
             b.postings(s, d), b.text_bridge(s, d)),
         "skill_audit_sample": _sample,
         "skill_audit_parts": _sample_parts,
+        "skill_excerpts": _excerpts,
         "fingerprint_duplicates": lambda s, d: master.duplicate_candidates(
             _fingerprinted(s, d)).drop("job_title_raw"),
         "duplicate_groups": lambda s, d: master.duplicate_groups(_fingerprinted(s, d)),
