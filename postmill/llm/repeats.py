@@ -35,7 +35,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ from postmill.llm.common import hash_sample
 
 #: Text bytes in a group of documents, about; tokens hashed at a time; documents whose
 #: anchors set the splitters; and from how many places on an anchor is hot.
-GROUP_BYTES, PIECE, SAMPLE_ROWS, HOT = 8 << 20, 1 << 20, 256, 2_000
+GROUP_BYTES, PIECE, SAMPLE_ROWS, HOT = 8 << 20, 1 << 17, 256, 2_000
 #: Order of documents without an id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -91,14 +90,36 @@ def unpack(data: bytes) -> tuple[list[np.ndarray], bytes]:
 
 # ---- tokens, anchors ----
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = xxhash.xxh64_intdigest(word)
-        return code
-
-
-def word_codes(words: Sequence[bytes], cache: _Codes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of anything but the six ASCII blanks."""
+    step = np.diff(np.concatenate([[0], ((raw != 32) & ((raw < 9) | (raw > 13))).astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes, from running sums of all bytes."""
+    codes, i = np.empty(len(starts), dtype=np.uint64), 0
+    inverse = pow(_MULTIPLIER, -1, 1 << 64)
+    up, down = _powers(_MULTIPLIER, PIECE), _powers(inverse, PIECE)
+    while i < len(starts):
+        begin = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, begin + PIECE, side="right")))
+        n = int(ends[j - 1] - begin)
+        if n > len(up):
+            up, down = _powers(_MULTIPLIER, n), _powers(inverse, n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((raw[begin:begin + n] + np.uint64(1)) * up[:n], out=sums[1:])
+        here = starts[i:j] - begin
+        codes[i:j] = (sums[ends[i:j] - begin] - sums[here]) * down[here]
+        i = j
+    codes ^= codes >> np.uint64(32)
+    return codes * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
 
 
 def gram_hashes(tokens: np.ndarray, gram: int) -> np.ndarray:
@@ -172,7 +193,8 @@ def _runs(tokens: np.ndarray, lengths: np.ndarray, rule: Rule, offset: int):
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(starts))[:len(head)] - 1
     at = anchor[head]
-    return at + offset, starts[head] + offset, starts[tail] + offset, hashes[at] >> np.uint64(16)
+    # Anchors have small hashes; mixed once more they fall evenly on buckets.
+    return at + offset, starts[head] + offset, starts[tail] + offset, hashes[at] * np.uint64(_MULTIPLIER) >> np.uint64(16)
 
 
 class Group:
@@ -184,10 +206,19 @@ class Group:
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         texts = [r[1].encode("utf-8", "surrogatepass") for r in rows]
         if rule.words:
-            parts, cache = [t.split() for t in texts], _Codes()
-            self.words = [w for p in parts for w in p]
-            self.lengths = np.array([len(p) for p in parts], dtype=np.int64)
-            self.tokens = word_codes(self.words, cache)
+            # Words of all documents with one blank between, and where each stands.
+            raw = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+            starts, ends = word_places(raw)
+            begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            self.lengths = np.diff(np.searchsorted(starts, begin))
+            self.tokens = word_codes(raw, starts, ends)
+            self.word_ends = np.cumsum(ends - starts + 1)
+            inside = np.zeros(len(raw) + 1, dtype=bool)
+            inside[:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+            inside[ends] = True
+            line = np.append(raw, np.uint8(32))
+            line[ends] = 32
+            self.raw = line[inside].tobytes()
         else:
             self.raw = b"".join(texts)
             self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -196,7 +227,10 @@ class Group:
         self.runs = runs_of(self.tokens, self.lengths, rule)
 
     def slice(self, start: int, end: int) -> bytes:
-        return b" ".join(self.words[start:end]) if self.rule.words else self.raw[start:end]
+        """Tokens as bytes, words with one blank between."""
+        if not self.rule.words:
+            return self.raw[start:end]
+        return self.raw[self.word_ends[start - 1] if start else 0:self.word_ends[end - 1] - 1]
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.cumsum(self.lengths), positions, side="right")
@@ -269,7 +303,7 @@ def contexts(left: pa.Table, right: pa.Table, rule: Rule, splitters: Sequence[by
     slot = np.minimum(np.searchsorted(known, runs.hash), len(known) - 1)
     marked = np.flatnonzero(known[slot] == runs.hash)
     doc = group.doc_of(runs.first[marked])
-    # By content: [range, start, anchor's place, whether hot, whether seen again, id, place in the document].
+    # By content: [range, start, anchor's offset, whether hot, whether seen again, id, place in the document].
     seen: dict[bytes, list] = {}
     alone: dict[bytes, list] = {}
     window, gram = rule.window, rule.gram
@@ -281,19 +315,20 @@ def contexts(left: pa.Table, right: pa.Table, rule: Rule, splitters: Sequence[by
             had = into.get(text)
             if had is None:
                 lead = text if is_hot else group.slice(at, at + gram)
-                into[text] = [bisect_right(splitters, lead), p, is_hot, False, int(group.ids[d]),
+                into[text] = [bisect_right(splitters, lead), p, at - p, is_hot, False, int(group.ids[d]),
                               p - int(group.starts[d]) if rule.within else 0]
             else:
-                had[3] = True
+                had[4] = True
     ranges: dict[int, list] = {}
     for text, x in [*seen.items(), *alone.items()]:
         ranges.setdefault(x[0], []).append((text, *x[1:]))
     number, rows = left.column("part")[0].as_py(), []
     for r, entries in ranges.items():
         entries.sort()
-        text, start, is_hot, again, ids, place = zip(*entries)
+        text, start, offset, is_hot, again, ids, place = zip(*entries)
         rows.append((r, number, pack(
             np.array([len(t) for t in text], dtype=np.uint32), np.array(start, dtype=np.uint32),
+            np.array(offset, dtype=np.int16),
             np.array(is_hot, dtype=np.uint8) * 2 + np.array(again, dtype=np.uint8), np.array(ids, dtype=np.int64),
             np.array(place, dtype=np.uint32), blob=b"".join(text))))
     return _sent(rows, ("range", "part", "payload"))
@@ -311,7 +346,7 @@ def multikey_order(column: Callable[[int, np.ndarray], np.ndarray], n: int, widt
             break
         which = order[open_]
         key = column(level, which)
-        by = np.lexsort((key, rank[open_]))
+        by = np.lexsort((key, rank[open_])) if level else np.argsort(key, kind="stable")
         which, key, part = which[by], key[by], rank[open_]
         order[open_] = which
         new = np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])]
@@ -327,61 +362,99 @@ def factors(table: pa.Table, rule: Rule) -> pa.Table:
     for number, payload in zip(table.column("part").to_pylist(), table.column("payload").to_pylist()):
         own, blob = unpack(payload)
         arrays.append(own)
-        texts.append((own[0], blob))
+        ends = np.cumsum(own[0].astype(np.int64)).tolist()
+        texts += [blob[a:b] for a, b in zip([0, *ends], ends)]
         part.append(np.full(len(own[0]), number, dtype=np.int64))
-    sizes, start, flags, ids, place = (np.concatenate([a[i] for a in arrays]) for i in range(5))
-    part = np.concatenate(part)
+    _, start, offset, flags, ids, place = (np.concatenate([a[i] for a in arrays]) for i in range(6))
+    part, place = np.concatenate(part), place.astype(np.int64)
+
+    # Groups may send the same context: one of each is sorted, at its earliest place.
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(t, len(number)) for t in texts], dtype=np.int64)
+    one = np.zeros(len(number), dtype=np.int64)
+    by = np.lexsort((place, ids, which))
+    lead = by[np.r_[True, which[by][1:] != which[by][:-1]]]
+    one[which[lead]] = lead
+    ids1, place1, offset1, hot1 = ids[one], place[one], offset[one].tolist(), (flags[one] >> 1).tolist()
     if rule.words:
-        cache, cut = _Codes(), []
-        for lengths, blob in texts:
-            ends = np.cumsum(lengths.astype(np.int64)).tolist()
-            cut += [blob[a:b].split() for a, b in zip([0, *ends], ends)]
+        cut = [t.split() for t in number]
         counts = np.array([len(c) for c in cut], dtype=np.int64)
-        tokens, step = word_codes([w for c in cut for w in c], cache), 1
+        grams = [t if hot else b" ".join(c[o:o + rule.gram]) for t, c, o, hot in zip(number, cut, offset1, hot1)]
+        cut = list(number)
     else:
-        counts = sizes.astype(np.int64)
-        # Eight bytes are one character of the sort; the last one reaches past the window.
-        tokens, step = np.frombuffer(b"".join(b for _, b in texts) + bytes(8), dtype=np.uint8), 8
+        cut = list(number)
+        counts = np.array([len(c) for c in cut], dtype=np.int64)
+        grams = [t if hot else t[o:o + rule.gram] for t, o, hot in zip(number, offset1, hot1)]
+    windows = counts - rule.window + 1
+
+    # A context with an anchor of its own shares no window: it is one factor from its own
+    # earliest place. The windows of all others are sorted.
+    anchored: dict[bytes, int] = {}
+    gram = np.array([anchored.setdefault(g, len(anchored)) for g in grams], dtype=np.int64)
+    shared = np.bincount(gram)[gram] > 1
+    lone = np.flatnonzero(~shared)
+    found = [(lone, np.zeros(len(lone), dtype=np.int64), windows[lone] - 1, ids1[lone], place1[lone])]
+    if shared.any():
+        found.append(_sorted_factors(np.flatnonzero(shared), cut, counts, ids1, place1, rule))
+    context, j0, j1, from_id, from_place = (np.concatenate(x) for x in zip(*found))
+
+    # Every sender of a context gets its factors, where the source is earlier than the
+    # sender's own place or the sender has the context again later.
+    by = np.argsort(context, kind="stable")
+    context, j0, j1, from_id, from_place = (x[by] for x in (context, j0, j1, from_id, from_place))
+    first, n = np.searchsorted(context, which), np.bincount(context, minlength=len(number))[which]
+    sender = np.repeat(np.arange(len(which)), n)
+    f = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    own = place[sender] + (j0[f] if rule.within else 0)
+    useful = ((from_id[f] < ids[sender]) | ((from_id[f] == ids[sender]) & (from_place[f] < own))
+              | (flags[sender] & 1 > 0))
+    sender, f = sender[useful], f[useful]
+    by = np.argsort(part[sender], kind="stable")
+    sender, f = sender[by], f[by]
+    rows, to = [], part[sender]
+    for p in np.unique(to):
+        lo, hi = np.searchsorted(to, [p, p + 1])
+        x, y = sender[lo:hi], f[lo:hi]
+        rows.append((int(p), 0, pack(start[x], j0[y].astype(np.uint32), j1[y].astype(np.uint32), flags[x] >> 1,
+                                     from_id[y], from_place[y].astype(np.uint32))))
+    return _sent(rows, ("part", "range", "payload"))
+
+
+def _sorted_factors(chosen: np.ndarray, cut: list, counts: np.ndarray, ids: np.ndarray, place: np.ndarray, rule: Rule):
+    """(context, first and last window, source id, source place) of the ``chosen`` contexts."""
+    counts = counts[chosen]
+    if rule.words:
+        raw = np.frombuffer(b" ".join([cut[i] for i in chosen.tolist()]), dtype=np.uint8)
+        keys, step = word_codes(raw, *word_places(raw)), 1
+    else:
+        # Eight bytes are one character of the sort; a last, shorter one keeps its own bytes.
+        raw = np.frombuffer(b"".join([cut[i] for i in chosen.tolist()]) + bytes(8), dtype=np.uint8)
+        keys, step = raw.astype(np.uint64), 8
+        for width in (1, 2, 4):
+            keys = (keys[:-width] << np.uint64(8 * width)) | keys[width:]
     windows = counts - rule.window + 1
     owner = np.repeat(np.arange(len(counts)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = np.repeat(np.cumsum(counts) - counts, windows) + inside
 
     def column(level: int, which: np.ndarray) -> np.ndarray:
-        if step == 1:
-            return tokens[at[which] + level]
-        key, reach = np.zeros(len(which), dtype=np.uint64), min(8, rule.window - level * 8)
-        for b in range(reach):
-            key = (key << np.uint64(8)) | tokens[at[which] + level * 8 + b]
-        return key
+        key = keys[at[which] + level * step]
+        left = rule.window - level * step
+        return key if left >= step else key >> np.uint64(8 * (step - left))
 
     order, rank = multikey_order(column, len(at), math.ceil(rule.window / step))
-    head = np.flatnonzero(np.r_[len(rank) > 0, rank[1:] != rank[:-1]][:len(rank)])
+    head = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
     size = np.diff(np.append(head, len(rank)))
-    own_id, own_place = ids[owner], place[owner].astype(np.int64) + (inside if rule.within else 0)
-    low_id = np.minimum.reduceat(own_id[order], head)
-    wide = np.repeat(low_id, size)
+    own_id, own_place = ids[chosen][owner], place[chosen][owner] + (inside if rule.within else 0)
+    wide = np.repeat(np.minimum.reduceat(own_id[order], head), size)
     low_place = np.minimum.reduceat(np.where(own_id[order] == wide, own_place[order], NO_ID), head)
     from_id, from_place = np.empty_like(own_id), np.empty_like(own_place)
     from_id[order], from_place[order] = wide, np.repeat(low_place, size)
-    # Of use where the source is earlier, or the group has the context again later.
-    useful = np.flatnonzero((from_id < own_id) | ((from_id == own_id) & (from_place < own_place)) | (flags[owner] & 1 > 0))
-    if not len(useful):
-        return _sent([], ("part", "range", "payload"))
-    o, j, fid, fp = owner[useful], inside[useful], from_id[useful], from_place[useful]
-    shift = 1 if rule.within else 0
-    new = np.r_[True, (o[1:] != o[:-1]) | (np.diff(j) != 1) | (fid[1:] != fid[:-1]) | (np.diff(fp) != shift)]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (from_id[1:] != from_id[:-1])
+                | (np.diff(from_place) != (1 if rule.within else 0))]
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(o)) - 1
-    rows, to = [], part[o[head]]
-    by = np.argsort(to, kind="stable")
-    head, tail, to = head[by], tail[by], to[by]
-    for number in np.unique(to):
-        lo, hi = np.searchsorted(to, [number, number + 1])
-        a, b = head[lo:hi], tail[lo:hi]
-        rows.append((int(number), 0, pack(
-            start[o[a]], j[a].astype(np.uint32), j[b].astype(np.uint32), (flags[o[a]] >> 1).astype(np.uint8), fid[a], fp[a].astype(np.uint32))))
-    return _sent(rows, ("part", "range", "payload"))
+    tail = np.append(head[1:], len(owner)) - 1
+    return chosen[owner[head]], inside[head], inside[tail], from_id[head], from_place[head]
 
 
 def covered(group: Group, payloads: list[bytes]) -> np.ndarray:
@@ -416,7 +489,8 @@ def splitters_of(texts: list[str], rule: Rule, ranges: int) -> list[bytes]:
     """Cuts of the range of anchored suffixes into parts of like size, from sampled texts."""
     table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
     group = Group(table, rule)
-    lead = sorted({group.slice(a, a + rule.window) for a in group.runs.anchor.tolist()})
+    last = len(group.tokens)
+    lead = sorted({group.slice(a, min(a + rule.window, last)) for a in group.runs.anchor.tolist()})
     return [lead[len(lead) * i // ranges] for i in range(1, ranges)] if len(lead) >= ranges else []
 
 

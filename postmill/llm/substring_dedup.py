@@ -26,8 +26,7 @@ SCHEMA = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int6
 
 def _kept(group: Group, doc: int, removed: np.ndarray) -> tuple:
     start = int(group.starts[doc])
-    words = group.words[start:start + len(removed)]
-    kept = b" ".join(w for w, gone in zip(words, removed.tolist()) if not gone)
+    kept = b" ".join([group.slice(start + a, start + b) for a, b in true_runs(~removed)])
     return len(removed), true_runs(removed), kept
 
 
