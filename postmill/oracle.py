@@ -86,41 +86,41 @@ role_cooccurrence AS (
   JOIN role_single c2 ON c2.role_family = p.role_family AND c2.skill_key = k2)
 """
 
-PROFILE = """,
-known AS (SELECT unnest(['brand_1', 'brand_2', 'brand_3', 'brand_4']) AS skill_key),
+KNOWN = "['brand_1', 'brand_2', 'brand_3', 'brand_4']"
+
+# A job's skills as a list: how many there are, and how many of the known ones.
+PROFILE = f""",
+held AS (SELECT source_record_key, list(skill_key) AS have FROM bridge GROUP BY 1),
 baseline AS (
-  SELECT j.role_family, j.source_record_key, count(b.skill_key) AS d, count(k.skill_key) AS m
-  FROM jobs j LEFT JOIN bridge b USING (source_record_key)
-  LEFT JOIN known k ON k.skill_key = b.skill_key
-  GROUP BY 1, 2)
+  SELECT role_family, source_record_key, coalesce(have, []) AS have, len(coalesce(have, [])) AS d,
+         len(list_intersect(coalesce(have, []), {KNOWN})) AS m
+  FROM jobs LEFT JOIN held USING (source_record_key))
 """
 
-# The literal what-if: every job of the role against every missing skill.
-WHAT_IF = PROFILE + """,
-what_if AS (
-  SELECT rd.role_family, rd.skill_key, rd.skill_name, rd.skill_category, rd.skill_job_count,
-         rd.role_skill_share_pct, bl.d, bl.m, (nb.skill_key IS NOT NULL)::INTEGER AS extra
-  FROM role_demand rd ANTI JOIN known k ON k.skill_key = rd.skill_key
-  JOIN baseline bl ON bl.role_family = rd.role_family
-  LEFT JOIN bridge nb ON nb.source_record_key = bl.source_record_key
-                     AND nb.skill_key = rd.skill_key),
+# What learning one more skill changes, by arithmetic over the list of a role's jobs: a job
+# that asks for the skill then has one more match, any other job stays as it is.
+WHAT_IF = PROFILE + f""",
+crews AS (
+  SELECT role_family, list({{'d': d, 'm': m, 'have': have}}) AS crew
+  FROM baseline WHERE d > 0 GROUP BY role_family),
+offers AS (
+  SELECT r.*, crew, list_filter(crew, lambda j: list_contains(j.have, r.skill_key)) AS asking,
+         list_avg(list_transform(crew, lambda j: 100.0::DOUBLE * j.m / j.d)) AS before,
+         list_avg(list_transform(crew, lambda j: 100.0::DOUBLE
+           * (j.m + list_contains(j.have, r.skill_key)::INTEGER) / j.d)) AS after
+  FROM role_demand r JOIN crews USING (role_family) WHERE NOT list_contains({KNOWN}, r.skill_key)),
 gains AS (
   SELECT role_family, skill_key, skill_name, skill_category, skill_job_count,
-         role_skill_share_pct AS role_demand_pct,
-         round(avg(100.0::DOUBLE * m / d) FILTER (d > 0), 2) AS baseline_avg_coverage_pct,
-         round(avg(100.0::DOUBLE * (m + extra) / d) FILTER (d > 0), 2) AS new_avg_coverage_pct,
-         round(avg(100.0::DOUBLE * (m + extra) / d) FILTER (d > 0)
-               - avg(100.0::DOUBLE * m / d) FILTER (d > 0), 2)
-           AS marginal_coverage_gain_pct_points,
-         count(*) FILTER (d > 0 AND 2 * m < d AND 2 * (m + extra) >= d)
+         role_skill_share_pct AS role_demand_pct, round(before, 2) AS baseline_avg_coverage_pct,
+         round(after, 2) AS new_avg_coverage_pct,
+         round(after - before, 2) AS marginal_coverage_gain_pct_points,
+         CAST(len(list_filter(asking, lambda j: j.d IN (2 * j.m + 1, 2 * j.m + 2))) AS BIGINT)
            AS jobs_newly_reaching_50pct,
-         count(*) FILTER (m < 3 AND m + extra >= 3) AS jobs_newly_reaching_3_matches
-  FROM what_if
-  GROUP BY role_family, skill_key, skill_name, skill_category, skill_job_count,
-           role_skill_share_pct)
+         CAST(len(list_filter(asking, lambda j: j.m = 2)) AS BIGINT) AS jobs_newly_reaching_3_matches
+  FROM offers)
 """
 
-SCALED = PROFILE + """,
+SCALED = PROFILE + f""",
 role_base AS (
   SELECT role_family, count(*) FILTER (d > 0) AS n,
          avg(100.0::DOUBLE * m / d) FILTER (d > 0) AS base
@@ -132,9 +132,8 @@ gains AS (
          round(sum(100.0::DOUBLE / bl.d) / rb.n, 2) AS marginal_coverage_gain_pct_points,
          count(*) FILTER (2 * bl.m < bl.d AND 2 * (bl.m + 1) >= bl.d) AS jobs_newly_reaching_50pct,
          count(*) FILTER (bl.m = 2) AS jobs_newly_reaching_3_matches
-  FROM role_demand rd ANTI JOIN known k ON k.skill_key = rd.skill_key
-  JOIN role_base rb ON rb.role_family = rd.role_family
-  JOIN bridge b ON b.skill_key = rd.skill_key
+  FROM role_demand rd JOIN role_base rb ON rb.role_family = rd.role_family
+  JOIN bridge b ON b.skill_key = rd.skill_key AND NOT list_contains({KNOWN}, rd.skill_key)
   JOIN baseline bl ON bl.source_record_key = b.source_record_key
                   AND bl.role_family = rd.role_family
   GROUP BY rd.role_family, rd.skill_key, rd.skill_name, rd.skill_category, rd.skill_job_count,
@@ -150,18 +149,21 @@ def exact_mean(expr: str) -> str:
             f"// (2 * nullif(count({expr}), 0) * 1000000)) / 100.0::DOUBLE")
 
 
-PRIORITY = ROLE_PAIRS + PROFILE + """,
+# P(missing | known): of the role's jobs with a known skill, the share that has the missing one.
+PRIORITY = f""",
+urgent AS (SELECT source_record_key, skill_key FROM tagged WHERE role_family = '1-URGENT'),
+asked AS (SELECT unnest({KNOWN}) AS known_key),
+known_jobs AS (
+  SELECT known_key, count(*) AS n_known FROM asked JOIN urgent ON skill_key = known_key GROUP BY 1),
+shared AS (
+  SELECT u.skill_key, v.skill_key AS known_key, count(*) AS n
+  FROM urgent u JOIN urgent v USING (source_record_key)
+  WHERE list_contains({KNOWN}, v.skill_key) GROUP BY ALL),
 links AS (
-  SELECT d.skill_key, d.skill_name, d.skill_category, d.skill_job_count, d.role_job_count,
-         d.role_skill_share_pct, coalesce(c.cooccurrence_jobs, 0) AS n,
-         CASE WHEN c.skill_1_key = k.skill_key THEN c.pct_skill_1_with_skill_2
-              WHEN c.skill_2_key = k.skill_key THEN c.pct_skill_2_with_skill_1
-              ELSE 0 END AS pct
-  FROM role_demand d CROSS JOIN known k
-  LEFT JOIN role_cooccurrence c ON c.role_family = d.role_family
-    AND ((c.skill_1_key = k.skill_key AND c.skill_2_key = d.skill_key)
-      OR (c.skill_2_key = k.skill_key AND c.skill_1_key = d.skill_key))
-  WHERE d.role_family = '1-URGENT' AND d.skill_key NOT IN (SELECT skill_key FROM known)),
+  SELECT * EXCLUDE (n), coalesce(n, 0) AS n, coalesce(round(100.0::DOUBLE * n / n_known, 2), 0) AS pct
+  FROM (SELECT r.*, known_key FROM role_demand r, asked
+        WHERE role_family = '1-URGENT' AND NOT list_contains({KNOWN}, r.skill_key))
+  LEFT JOIN shared USING (skill_key, known_key) LEFT JOIN known_jobs USING (known_key)),
 scored AS (
   SELECT skill_key, skill_name, skill_category, skill_job_count, role_job_count,
          role_skill_share_pct AS role_demand_pct,

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from postmill.fixed import (BRIDGE_COLUMNS, MASTER_COLUMNS, MASTER_LAYOUT, RUN_COLUMNS,
                             SKILL_COLUMNS, VIEW_NAMES)
 from postmill.functions.text import blank_to_null
-from postmill.functions.values import iso_z, strict_bool
+from postmill.functions.values import strict_bool
 from postmill.operators import checks
 from postmill.plans.views import KEY, job_baskets, register_views
 
 TABLES = ("sources", "jobs", "skills", "job_skills")
 # Stated, because partition values such as '2024' would otherwise be guessed.
+LOADED_AT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 BASKET_SCHEMA = f"{KEY} string, skills array<string>, role_family string"
 
 
@@ -122,8 +123,9 @@ def publish(spark: SparkSession, root: str, jobs: DataFrame, skills: DataFrame,
     check_tables(tables)
     checks.assert_empty(checks.dimension_mismatch(tables["sources"], "source", tables["jobs"],
                                                   "source"), "sources do not match jobs")
-    job_baskets(tables["jobs"], tables["job_skills"]).write.partitionBy("role_family").parquet(
-        f"{folder}/job_baskets")
+    # A role's rows come together first, in parts of a size that suits a file.
+    (job_baskets(tables["jobs"], tables["job_skills"]).hint("rebalance", "role_family")
+     .write.partitionBy("role_family").parquet(f"{folder}/job_baskets"))
     run = run_row(tables, run_id)
     run.write.mode("append").parquet(f"{root}/pipeline_runs")
     register(spark, tables, read_baskets(spark, root, run_id))
@@ -146,7 +148,9 @@ def run_row(tables: Mapping[str, DataFrame], run_id: str) -> DataFrame:
     per_table = {t: F.sum(F.when(F.col("table_name") == t, F.col("table_rows"))) for t in TABLES}
     return (counts.agg(*[c.alias(f"{t}_loaded") for t, c in per_table.items()])
             .select(F.lit(run_id).alias("run_id"),
-                    iso_z(F.current_timestamp()).alias("loaded_at"), *RUN_COLUMNS[2:])
+                    # Microseconds, so that of two builds in one second the later one wins.
+                    F.date_format(F.current_timestamp(), LOADED_AT).alias("loaded_at"),
+                    *RUN_COLUMNS[2:])
             .coalesce(1))
 
 
