@@ -105,15 +105,14 @@ def _windows_1252() -> dict[str, str]:
 
 
 def _numbered(digits: Column) -> Column:
-    """The character of a decimal number or x and a hexadecimal one; U+FFFD if there is none."""
+    """The character of a decimal number or x and a hexadecimal one; null if there is none."""
     hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
     plain = F.regexp_replace(digits, "^[xX]?0*", "")
     code = F.when(F.length(plain) > 7, F.lit(0)).otherwise(
         F.when(hexadecimal, F.conv(plain, 16, 10)).otherwise(plain).try_cast("long"))
     valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return (F.when(~F.coalesce(valid, F.lit(False)), "\ufffd")
-            .otherwise(F.coalesce(_lookup(_windows_1252(), code.cast("string")), char)))
+    return F.when(valid, F.coalesce(_lookup(_windows_1252(), code.cast("string")), char))
 
 
 def decode_references(c: Column) -> Column:
@@ -126,8 +125,8 @@ def decode_references(c: Column) -> Column:
         digits = F.regexp_extract(part, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", 1)
         name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
         bare = F.regexp_extract(part, BARE_PATTERN, 1)
-        named = _lookup(NAMED, name)
-        return (F.when(digits != "", F.concat(_numbered(digits), F.regexp_replace(
+        named, numbered = _lookup(NAMED, name), _numbered(digits)
+        return (F.when((digits != "") & numbered.isNotNull(), F.concat(numbered, F.regexp_replace(
                     part, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", "")))
                 .when((name != "") & named.isNotNull(),
                       F.concat(named, F.substr(part, F.length(name) + 2)))

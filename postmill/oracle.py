@@ -910,7 +910,7 @@ WITH {STAGED} SELECT source_record_key, 'left' AS side FROM master
 WHERE role_family = 'Non-target Role'""",
         "dq_dimension": """
 WITH dim AS (SELECT c_custkey AS value FROM customer),
-fact AS (SELECT DISTINCT o_custkey AS value FROM orders)
+fact AS (SELECT DISTINCT user_id AS value FROM events)
 SELECT coalesce(d.value, f.value) AS value,
        CASE WHEN f.value IS NULL THEN 'left' ELSE 'right' END AS side
 FROM dim d FULL JOIN fact f ON d.value = f.value WHERE d.value IS NULL OR f.value IS NULL""",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.fixed import (DECISION_ALIASES, DECISIONS, NON_TARGET, ROLE_ALIASES, ROLE_FAMILIES,
+from postmill.fixed import (AUTOMATED, DECISION_ALIASES, DECISIONS, MANUAL, NON_TARGET,
+                            ROLE_ALIASES, ROLE_FAMILIES,
                             ROLE_RULES, UNVERIFIED)
 from postmill.functions.roles import Rules, review_priority, review_reason, with_rule_family
 from postmill.functions.text import strip
@@ -54,8 +55,8 @@ def classify_roles(jobs: DataFrame, overrides: DataFrame | None = None,
     return (joined
             .withColumn("role_family", F.coalesce("correct_role_family", "automated_role_family"))
             .withColumns({
-                "classification_method": F.when(corrected, "Manual Override")
-                                          .otherwise("Automated Rule"),
+                "classification_method": F.when(corrected, MANUAL)
+                                          .otherwise(AUTOMATED),
                 "role_override_applied": corrected,
                 "override_decision": F.when(corrected, F.coalesce("manual_decision", F.lit("")))
                                       .otherwise(""),

@@ -7,8 +7,9 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.fixed import (EXCERPT_FALLBACK, OVERRIDE_ACTIONS, RISKY_SKILLS, SAMPLE_SEED,
-                            SAMPLES_PER_SKILL, SKILL_COLUMNS, SKILLS, TOP_COUNT_JOBS)
+from postmill.fixed import (AUDIT_AMBIGUOUS, AUDIT_COLUMNS, AUDIT_MOST, AUDIT_NONE, EXCERPT_FALLBACK, OVERRIDE_ACTIONS, RISKY_SKILLS, SAMPLE_SEED,
+                            SAMPLES_PER_SKILL, SEARCH_FIELDS, SKILL_COLUMNS, SKILLS,
+                            TOP_COUNT_JOBS)
 from postmill.functions.matching import (STUDY_FIELD_RULE, ContextRule, Skill, alias_hits,
                                          anchors_in, candidates, dictionary_column, excerpt,
                                          skills_from_rows)
@@ -18,7 +19,6 @@ from postmill.operators.dedup import top_rows
 from postmill.plans.views import KEY
 from postmill.session import inline_table
 
-SEARCH_FIELDS = ("job_title_raw", "tags", "description_text")
 DEFAULT_SKILLS = skills_from_rows(SKILLS)
 # Skills of a dictionary table that one pass over the postings carries.
 BLOCK_SKILLS = 1_000
@@ -198,12 +198,6 @@ def extraction_summary(jobs: DataFrame, bridge: DataFrame) -> DataFrame:
         .alias("mean_skills_per_job"))
 
 
-AUDIT_COLUMNS = ("audit_type", KEY, "source", "source_job_id", "job_title_raw", "company_name",
-                 "role_family", "skill_key", "skill_name", "evidence_source", "matched_aliases",
-                 "detected_skill_count", "detected_skills", "evidence_excerpt", "manual_decision",
-                 "correct_skill_or_action", "review_notes", "job_url")
-
-
 def _audit_rows(rows: DataFrame, audit_type: str) -> DataFrame:
     described = rows.withColumn("audit_type", F.lit(audit_type))
     blanks = {c: F.lit("") for c in AUDIT_COLUMNS if c not in described.columns}
@@ -251,6 +245,6 @@ def skill_audit_sample(jobs: DataFrame, skills: DataFrame, bridge: DataFrame,
     audited = _audited(short, skills, bridge)
     most = audited.orderBy(F.desc("detected_skill_count"), KEY).limit(top)
     none = audited.filter("detected_skill_count = 0")
-    return (_audit_rows(with_excerpt(matched), "Potentially Ambiguous Match")
-            .unionByName(_audit_rows(most, "High Detected Skill Count"))
-            .unionByName(_audit_rows(none, "No Skills Detected")))
+    return (_audit_rows(with_excerpt(matched), AUDIT_AMBIGUOUS)
+            .unionByName(_audit_rows(most, AUDIT_MOST))
+            .unionByName(_audit_rows(none, AUDIT_NONE)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.fixed import PAGED_COLUMNS, SNAPSHOT_COLUMNS
+from postmill.fixed import (PAGED_COLUMNS, PAGED_LIST_FIELDS, PAGED_REQUIRED_FIELDS,
+                            PAGED_TEXT_FIELDS, SNAPSHOT_COLUMNS, SNAPSHOT_LIST_FIELDS,
+                            SNAPSHOT_TEXT_FIELDS)
 from postmill.functions.text import (casefold_sort, fingerprint, html_to_text, is_blank,
                                      location_list, pipe_list, squash, strip)
 from postmill.functions.values import parse_instant, parse_iso, salary_text, to_number
@@ -13,16 +15,10 @@ from postmill.operators import checks
 from postmill.operators.dedup import keep_first_collecting, keep_last
 from postmill.plans.classify import classify_roles
 
-PAGED_REQUIRED = ("guid", "title", "companyName", "description", "pubDate", "applicationLink",
-                  "_source_query", "_collected_at")
-PAGED_OPTIONAL = {"companyLogo": "string", "employmentType": "string", "minSalary": "string",
-                  "maxSalary": "string", "salaryPeriod": "string", "seniority": "array<string>",
-                  "currency": "string", "locationRestrictions": "array<string>",
-                  "timezoneRestrictions": "array<string>", "categories": "array<string>",
-                  "parentCategories": "array<string>", "expiryDate": "string"}
-SNAPSHOT_REQUIRED = ("id", "url", "title", "company_name", "company_logo", "category", "tags",
-                     "job_type", "publication_date", "candidate_required_location", "salary",
-                     "description")
+PAGED_REQUIRED = (*PAGED_REQUIRED_FIELDS, "_source_query", "_collected_at")
+PAGED_OPTIONAL = ({c: "string" for c in PAGED_TEXT_FIELDS if c not in PAGED_REQUIRED}
+                  | {c: "array<string>" for c in PAGED_LIST_FIELDS})
+SNAPSHOT_REQUIRED = (*SNAPSHOT_TEXT_FIELDS, *SNAPSHOT_LIST_FIELDS)
 ARRIVAL = ("_source_file", "_position")
 
 

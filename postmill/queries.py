@@ -276,7 +276,7 @@ def quality_queries() -> dict[str, Query]:
             b.conformed(s, d).select("source_record_key"),
             master.target_rows(b.conformed(s, d)).select("source_record_key")),
         "dq_dimension": lambda s, d: checks.dimension_mismatch(
-            t(s, d, "customer"), "c_custkey", t(s, d, "orders"), "o_custkey"),
+            t(s, d, "customer"), "c_custkey", t(s, d, "events"), "user_id"),
         "dq_unmatched": lambda s, d: checks.unmatched(
             t(s, d, "documents").select("doc_id", "source"),
             t(s, d, "labels").select("doc_id"), ["doc_id"]),

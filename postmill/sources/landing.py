@@ -11,10 +11,14 @@ file names alone, then goes into the name filter of the reader.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.fixed import (PAGED_LIST_FIELDS, PAGED_TEXT_FIELDS, SNAPSHOT_LIST_FIELDS,
+                            SNAPSHOT_TEXT_FIELDS)
 from postmill.functions.values import parse_stamp
 from postmill.operators import checks
 from postmill.plans.staging import records_without_id
@@ -22,18 +26,13 @@ from postmill.plans.staging import records_without_id
 _TEXT, _LIST = T.StringType(), T.ArrayType(T.StringType())
 
 
-def _struct(texts: str, lists: str) -> T.StructType:
-    return T.StructType([T.StructField(c, _TEXT) for c in texts.split()]
-                        + [T.StructField(c, _LIST) for c in lists.split()])
+def _struct(texts: Sequence[str], lists: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, _TEXT) for c in texts]
+                        + [T.StructField(c, _LIST) for c in lists])
 
 
-PAGED_JOB = _struct(
-    "guid title companyName companyLogo description pubDate expiryDate applicationLink "
-    "employmentType salaryPeriod currency minSalary maxSalary",
-    "seniority locationRestrictions timezoneRestrictions categories parentCategories")
-SNAPSHOT_JOB = _struct(
-    "id url title company_name company_logo category job_type publication_date "
-    "candidate_required_location salary description", "tags")
+PAGED_JOB = _struct(PAGED_TEXT_FIELDS, PAGED_LIST_FIELDS)
+SNAPSHOT_JOB = _struct(SNAPSHOT_TEXT_FIELDS, SNAPSHOT_LIST_FIELDS)
 
 STAMP_AT_END = r"_([0-9]{8}_[0-9]{6})\.json$"
 

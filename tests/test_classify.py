@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from postmill.operators.checks import CheckFailed
 from postmill.plans import classify as c
 
+# Titles and the families they must get.
 CASES = {
     "Senior Data Analyst": "Data Analyst", "Lead Data Engineer": "Data Engineer",
     "Senior Data Scientist": "Data Scientist", "Analytics Engineer": "Analytics Engineer",
