@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared in lower case with runs of anything but letters and digits as one
-blank. A benchmark item is cut into pieces; a piece of m characters matches where a
-region of a document is within k = ``rate`` * m edits of it. Such a region shares at
+blank. A benchmark item is cut into pieces, long ones and, for partial passages, short
+ones; a piece of m characters matches where a region of a document is within
+k = ``rate`` * m edits of it. Such a region shares at
 least m - q + 1 - k * q character q-grams with the piece, all of them on k + 1 adjacent
 diagonals. So shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by
 half; bands that reach the bound are aligned, within their diagonals only.
@@ -13,6 +14,7 @@ block; documents are never joined, shuffled or sent anywhere.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,13 +27,17 @@ from pyspark.sql import functions as F
 from postmill.llm.common import id_text
 
 Q, RATE = 8, 0.05
-#: Longest piece, and how far the next one starts: what a document must share at least is a piece.
+#: Longest piece, and how far the next one starts.
 PIECE, STRIDE = 160, 80
-#: Characters of the benchmark carried in one pass.
-BLOCK_CHARS = 4 << 20
+#: The same of short pieces. Every passage of SHORT + STEP characters or of COUNTED words
+#: holds a whole piece; of very short words that is a piece of its own.
+SHORT, STEP, COUNTED = 64, 16, 13
+#: Characters of pieces carried in one pass.
+BLOCK_CHARS = 8 << 20
 
 _BASE = 0x9E3779B1
 _FLAGS = 1 << 22
+_WORD = re.compile("[^ ]+")
 
 
 @lru_cache(1)
@@ -92,17 +98,39 @@ class Index:
     classes: list[tuple[int, int]]
 
 
+def cuts(whole: str) -> list[tuple[int, int]]:
+    """Start and end of the pieces of a folded item."""
+    size = len(whole)
+    if size <= PIECE:
+        found = {(0, size)}
+    else:
+        found = {(c, c + PIECE) for c in (*range(0, size - PIECE, STRIDE), size - PIECE)}
+    ends = {c: c + SHORT for c in range(0, size - SHORT + 1, STEP)}
+    words = [(m.start(), m.end()) for m in _WORD.finditer(whole)]
+    for (a, _), (_, b) in zip(words, words[COUNTED - 1:]):
+        c = -(-a // STEP) * STEP  # the first short piece that starts inside these words
+        if b - c >= SHORT - STEP:
+            ends[c] = min(ends.get(c, c + SHORT), b)
+        else:
+            found.add((a, b))
+    return sorted(found | set(ends.items()))
+
+
+def _item(text: str | None) -> str:
+    return folded(text or "").tobytes().decode("utf-32-le", "surrogatepass").strip()
+
+
 def build_index(items: list[tuple]) -> Index:
     """From (item_id, text). Items of fewer than ``Q`` characters, once folded, have no
     q-gram and match nothing."""
     owners, texts = [], []
     for item, text in items:
-        whole = folded(text or "").tobytes().decode("utf-32-le", "surrogatepass").strip()
+        whole = _item(text)
         if len(whole) < Q:
             continue
-        cuts = [0] if len(whole) <= PIECE else sorted({*range(0, len(whole) - PIECE, STRIDE), len(whole) - PIECE})
-        owners += [item] * len(cuts)
-        texts += [whole[c:c + PIECE] for c in cuts]
+        pieces = cuts(whole)
+        owners += [item] * len(pieces)
+        texts += [whole[a:b] for a, b in pieces]
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     budgets = np.minimum((RATE * sizes).astype(np.int64), (sizes - Q) // Q)
     found = [grams(codes(t)) for t in texts]
@@ -207,7 +235,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
     block, size = [], 0
     for row in benchmark.filter("text is not null").select("item_id", "text").orderBy("item_id").toLocalIterator():
         block.append((row.item_id, row.text))
-        size += len(row.text)
+        size += sum(b - a for a, b in cuts(_item(row.text)))
         if size >= block_chars:
             yield build_index(block)
             block, size = [], 0

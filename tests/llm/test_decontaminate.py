@@ -102,3 +102,44 @@ def test_grams_are_of_runs():
     hashes = dc.grams(points)
     assert len(hashes) == len(points) - dc.Q + 1
     assert (hashes[:10] == hashes[10:20]).all() and len(np.unique(hashes[:10])) == 10
+
+
+def passages(draw, items):
+    """(item, passage): 13 words and more, or 80 characters, from any offset."""
+    for item, text in items:
+        parts = folded(text).split()
+        for n in (13, 13, 13, 14, 17, 20, 25, 30, 35):
+            if len(parts) >= n:
+                at = draw.randrange(len(parts) - n + 1)
+                yield item, " ".join(parts[at:at + n])
+        line = " ".join(parts)
+        for _ in range(6):
+            if len(line) >= 80:
+                at = draw.randrange(len(line) - 79)
+                yield item, line[at:at + 80]
+
+
+def test_partial_passages(spark):
+    """Without build_index: what is set in verbatim has to be found."""
+    draw = random.Random(12)
+    table = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()[::8]
+    items = [(r.item_id, r.text) for r in table] + [
+        (-1, "".join(draw.choice("abcdefghij") for _ in range(700))),
+        (-2, " ".join(draw.choice("abcdefghij") for _ in range(60))),
+        (-3, words(draw, 300, 10 ** 9)), (-4, " ".join(draw.choice(("ab", "c", "defgh" * 9)) + str(i) for i in range(80)))]
+    index, tried = dc.build_index(items), 0
+    for item, passage in passages(draw, items):
+        text = f"{words(draw, draw.randrange(1, 40))} {passage} {words(draw, draw.randrange(1, 40))}"
+        assert item in {index.items[p] for p, *_ in dc.find(text, index)}, (item, passage)
+        tried += 1
+    assert tried > 200
+
+
+def test_half_passages_do_not_count(spark):
+    draw = random.Random(13)
+    items = [(i, words(draw, 60, 10 ** 6)) for i in range(40)]
+    index = dc.build_index(items)
+    for _, text in items:
+        parts = text.split()
+        at = draw.randrange(50)
+        assert dc.find(f"{words(draw, 30)} {' '.join(parts[at:at + 5])} {words(draw, 30)}", index) == []
