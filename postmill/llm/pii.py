@@ -6,7 +6,7 @@ numbers, other separators). It scores whole candidate segments by features of th
 a whole; a dynamic program over segments of bounded length chooses boundaries and kinds
 together. It is trained on what the patterns find in a bounded sample: each found value,
 as it stands and rewritten in the ways people write it, in its own surroundings. It looks
-only at zones with enough digits or a spelled-out "at" or "dot".
+only at zones with enough digits, four groups of them, or a spelled-out "at" or "dot".
 """
 
 from __future__ import annotations
@@ -44,6 +44,10 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _NUMBERS = re.compile(r"[(+]?[0-9][0-9\x20().\[\]/_-]{5,}[0-9]")
 _SPELLED = re.compile(r"(?i)[\[({<]\s?(?:at|dot)\s?[\])}>]|(?<![^\W_])dot(?![^\W_])")
 _HEDGED = re.compile(r"[\[({<]\s?at")
+# An "@" with blanks beside it, and four groups of digits around dots that are not plain.
+_SPACED_AT = re.compile(r"(?<=[\w.%+-])(?:\s@\s?|@\s)(?=[\w-])")
+_DOT = r"(?:\s?[\[({<]\s?(?:\.|(?i:dot))\s?[\])}>]\s?|\s?\.\s?|\s(?i:dot)\s)"
+_FOUR = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 
 Span = tuple[str, int, int]
@@ -91,12 +95,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 def zones(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Where the field looks: numbers of 7 digits or more that no pattern covers, and the
-    surroundings of a spelled-out "at" or "dot"."""
+    """Where the field looks: numbers of 7 digits or more that no pattern covers, four
+    groups of digits however their dots are written, and the surroundings of a spaced "@"
+    or a spelled-out "at" or "dot"."""
     out = []
     for m in _NUMBERS.finditer(text):
         if len(_NOT_DIGIT.sub("", m.group())) >= 7:
             out.append((max(0, m.start() - 16), m.end() + 16))
+    out += [(max(0, m.start() - 16), m.end() + 16) for m in _FOUR.finditer(text)]
+    if "@" in text:
+        out += [(max(0, m.start() - 64), m.end() + 64) for m in _SPACED_AT.finditer(text)]
     low = text.lower()  # most texts are settled by these two quick tests
     if "dot" in low or _HEDGED.search(low):
         out += [(max(0, m.start() - 64), m.end() + 64) for m in _SPELLED.finditer(text)]
@@ -113,7 +121,8 @@ def zones(text: str, taken: list[Span]) -> list[tuple[int, int]]:
         # Base spans split a zone; what is left is searched if it could still hold something.
         for s, e in [x for x in covered if x[0] < b and x[1] > a] + [(b, b)]:
             part = text[a:max(a, s)]
-            if len(_NOT_DIGIT.sub("", part)) >= 7 or _SPELLED.search(part):
+            if (len(_NOT_DIGIT.sub("", part)) >= 7 or _SPELLED.search(part) or _FOUR.search(part)
+                    or _SPACED_AT.search(part)):
                 free.append((a, s))
             a = max(a, e)
     return [(a, min(b, len(text))) for a, b in free]
