@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import (
+    clustering,
     decontaminate,
     exact_dedup,
     language,
+    lexical,
     mixing,
+    packing,
     pii,
     quality,
     simhash,
@@ -21,6 +25,9 @@ from postmill.llm import (
 )
 from postmill.llm.common import fold
 
+#: Vocabulary file of op11, at the same place on every machine.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +90,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    centroid = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid.alias("centroid_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -95,8 +117,12 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mixing": op9_mixing,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_packing": op11_packing,
+        "op12_clustering": op12_clustering,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_url_filter": url_filter.SQL, "op9_mixing": mixing.SQL, "op10_exact_dedup": exact_dedup.SQL,
+            "op12_clustering": clustering.SQL, "op13_lexical_search": lexical.SQL}
