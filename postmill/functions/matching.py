@@ -131,11 +131,11 @@ def alias_hits(folded: Column, entries: Column, rules: Sequence[ContextRule]) ->
     return F.filter(entries, found)
 
 
-def excerpt(text: Column, aliases: Column, before: int = EXCERPT_BEFORE,
+def excerpt(text: Column, folded: Column, aliases: Column, before: int = EXCERPT_BEFORE,
             after: int = EXCERPT_AFTER) -> Column:
     """Text around the first of `aliases` (in their order) that occurs anywhere
-    in the cleaned text, ignoring case and word boundaries; else null."""
-    folded = fold(text)
+    in the cleaned text, ignoring case and word boundaries; else null. `folded`
+    is the folded text, a column of its own."""
     first = F.get(F.filter(aliases, lambda a: (a != "") & F.contains(folded, fold(a))), 0)
     at = F.instr(folded, fold(first))
     start = F.greatest(at - 1 - before, F.lit(0))

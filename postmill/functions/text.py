@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -92,10 +93,21 @@ BARE = {name: chars for name, chars in html5.items() if not name.endswith(";")}
 BARE_PATTERN = "^(" + "|".join(sorted(BARE, key=lambda n: (-len(n), n))) + ")"
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    """The value of a constant map; null for any other key."""
-    parts = [F.lit(list(table)), F.lit(list(table.values()))]
-    return F.try_element_at(F.map_from_arrays(*parts), key)
+def _by_letter(table: dict[str, str]) -> str:
+    """A table as JSON text, by the first letter of its names."""
+    letters: dict[str, dict[str, str]] = {}
+    for name, chars in table.items():
+        letters.setdefault(name[0], {})[name] = chars
+    return json.dumps(letters)
+
+
+def _lookup(table: str, key: Column) -> Column:
+    """The value of a table made by `_by_letter`; null for any other key.
+
+    The table is one literal, which the planner turns into a constant once, and a look-up
+    passes over the names with one first letter only."""
+    letters = F.from_json(F.lit(table), "map<string, map<string, string>>")
+    return F.try_element_at(F.try_element_at(letters, F.substring(key, 1, 1)), key)
 
 
 def _windows_1252() -> dict[str, str]:
@@ -104,6 +116,9 @@ def _windows_1252() -> dict[str, str]:
     return {number: char for number, char in found.items() if char}
 
 
+NAMED_TABLE, BARE_TABLE, WINDOWS_TABLE = (_by_letter(t) for t in (NAMED, BARE, _windows_1252()))
+
+
 def _numbered(digits: Column) -> Column:
     """The character of a decimal number or x and a hexadecimal one; null if there is none."""
     hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
@@ -112,7 +127,7 @@ def _numbered(digits: Column) -> Column:
         F.when(hexadecimal, F.conv(plain, 16, 10)).otherwise(plain).try_cast("long"))
     valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(valid, F.coalesce(_lookup(_windows_1252(), code.cast("string")), char))
+    return F.when(valid, F.coalesce(_lookup(WINDOWS_TABLE, code.cast("string")), char))
 
 
 def decode_references(c: Column) -> Column:
@@ -125,12 +140,12 @@ def decode_references(c: Column) -> Column:
         digits = F.regexp_extract(part, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", 1)
         name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
         bare = F.regexp_extract(part, BARE_PATTERN, 1)
-        named, numbered = _lookup(NAMED, name), _numbered(digits)
+        named, numbered = _lookup(NAMED_TABLE, name), _numbered(digits)
         return (F.when((digits != "") & numbered.isNotNull(), F.concat(numbered, F.regexp_replace(
                     part, "^#([xX][0-9A-Fa-f]+|[0-9]+);?", "")))
                 .when((name != "") & named.isNotNull(),
                       F.concat(named, F.substr(part, F.length(name) + 2)))
-                .when(bare != "", F.concat(_lookup(BARE, bare), F.substr(part, F.length(bare) + 1)))
+                .when(bare != "", F.concat(_lookup(BARE_TABLE, bare), F.substr(part, F.length(bare) + 1)))
                 .otherwise(F.concat(F.lit("&"), part)))
 
     parts = F.split(c, "&")

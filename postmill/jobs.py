@@ -15,6 +15,7 @@ from postmill.operators import checks
 from postmill.plans import master as masters
 from postmill.plans import skills as skilled
 from postmill.plans import staging, warehouse
+from postmill.plans.skill_index import extract_skills_joined
 from postmill.plans.views import KEY
 from postmill.sources import landing
 
@@ -52,7 +53,7 @@ def skill_stage(jobs: DataFrame, out: str,
 
     A dictionary given as a table, of any size, is joined; a sequence is a constant."""
     skilled.check_extraction_input(jobs)
-    extract = (skilled.extract_skills_joined if isinstance(skills, DataFrame)
+    extract = (extract_skills_joined if isinstance(skills, DataFrame)
                else skilled.extract_skills)
     bridge = _stage(extract(jobs, skills, rules), f"{out}/first_pass")
     checks.assert_some(bridge, "no skill was found in any posting")

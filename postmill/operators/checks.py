@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import is_blank, strip
+from postmill.operators.compare import dimension_mismatch, duplicate_keys, set_difference
+
+__all__ = ["dimension_mismatch", "duplicate_keys", "set_difference"]  # checks from elsewhere
 
 
 class CheckFailed(ValueError):
@@ -64,12 +67,6 @@ def blank_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(bad)
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], ignore_case: bool = False) -> DataFrame:
-    """Keys that occur more than once, with their number of rows."""
-    columns = [F.lower(c).alias(c) if ignore_case else F.col(c) for c in keys]
-    return df.groupBy(*columns).agg(F.count("*").alias("key_rows")).filter("key_rows > 1")
-
-
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child keys without a parent, null keys ignored, with their row counts.
 
@@ -159,29 +156,6 @@ def count_mismatch(actual: DataFrame, expected: DataFrame) -> DataFrame:
             .filter(~F.col("table_rows").eqNullSafe(F.col("expected_rows"))))
 
 
-def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows on one side only, as bags, with the side they are on.
-
-    Each side is read once: rows count +1 or -1, and what does not cancel out
-    is repeated as often as it is left over.
-    """
-    columns = [F.col(c) for c in left.columns]
-    both = (left.withColumn("_count", F.lit(1))
-            .unionByName(right.withColumn("_count", F.lit(-1))))
-    return (both.groupBy(*columns).agg(F.sum("_count").alias("_left"))
-            .filter("_left <> 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_left"))))
-            .withColumn("side", F.when(F.col("_left") > 0, "left").otherwise("right"))
-            .drop("_left", "_copy"))
-
-
-def dimension_mismatch(dimension: DataFrame, dimension_key: str, fact: DataFrame,
-                       fact_key: str) -> DataFrame:
-    """Values found in only one of a dimension and the distinct values of a fact."""
-    return set_difference(dimension.select(F.col(dimension_key).alias("value")).distinct(),
-                          fact.select(F.col(fact_key).alias("value")).distinct())
-
-
 def one_row_per_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Assert that `df` has one row per key, and return it."""
     assert_empty(duplicate_keys(df, keys), f"{name} has repeated join keys")

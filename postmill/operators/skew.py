@@ -13,7 +13,7 @@ SLICES = 64
 
 def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str],
                      spread_by: Sequence[str], slices: int = SLICES) -> DataFrame:
-    """Inner join of `rows` with `facts`, which has one row per key.
+    """Inner join of `rows` with `facts`, which has one row per key, or a few.
 
     Every row gets a slice by a hash of `spread_by`. The facts first meet the
     (key, slice) pairs that occur, at most `slices` per key and counted before

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 
-from postmill.bindings import (DATE_CASES, HTML_CASES, NUMBER_CASES, TEXT_RULES, TEXT_SKILL_ROWS,
+from postmill.bindings import (HTML_CASES, SKILL_SENTENCES, TEXT_RULE, TEXT_RULES, TEXT_SKILL_ROWS,
                                TITLE_SKILL_ROWS, TITLES)
-from postmill.fixed import RELEVANT_TITLE, ROLE_RULES
+from postmill.fixed import RELEVANT_TITLE, ROLE_RULES, SKILLS
+from postmill.functions.matching import STUDY_FIELD_RULE
 
 BASKET = """
 jobs AS (
@@ -360,33 +361,38 @@ evaluated AS (
 """
 
 
-def _alias_rows() -> str:
+def _alias_rows(skills) -> str:
     rows = []
-    for key, name, category, aliases in TEXT_SKILL_ROWS:
+    for key, name, category, aliases in skills:
         for alias in aliases.split("|"):
             body = r"\s+".join(re.escape(w) for w in alias.split())
             rows.append(f"({quoted(key)}, {quoted(name)}, {quoted(alias)}, {quoted(body)})")
     return "VALUES " + ", ".join(rows)
 
 
-MATCHES = POSTS + rf""",
-dict(skill_key, skill_name, alias, body) AS ({_alias_rows()}),
+def _any_of(text: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted(t)})" for t in terms) + ")"
+
+
+def _matches(skills, rule) -> str:
+    """Bridge of `posts`; hits of the rule's skill carry 120 characters either side."""
+    return rf""",
+dict(skill_key, skill_name, alias, body) AS ({_alias_rows(skills)}),
 fields AS (
   SELECT source_record_key, f.name AS field, {url_free("f.txt")} AS txt
   FROM posts, LATERAL (VALUES ('job_title_raw', job_title_raw), ('tags', tags),
                               ('description_text', description_text)) f(name, txt)),
 hits AS (
   SELECT source_record_key, field, skill_key, skill_name, alias,
-         CASE WHEN skill_key = 'license_word' THEN
+         CASE WHEN skill_key = {quoted(rule.skill)} THEN
            lower(regexp_extract(txt, '(?is).{{0,119}}?(^|[^A-Za-z0-9_])' || body
                                      || '($|[^A-Za-z0-9_].{{0,119}})', 0)) END AS around
   FROM fields, dict
   WHERE regexp_matches(txt, '(?i)(^|[^A-Za-z0-9_])' || body || '([^A-Za-z0-9_]|$)')),
 kept AS (
   SELECT * FROM hits
-  WHERE NOT (skill_key = 'license_word'
-             AND (contains(around, 'apache license') OR contains(around, 'gnu general'))
-             AND NOT contains(around, 'released under'))),
+  WHERE NOT (skill_key = {quoted(rule.skill)} AND {_any_of("around", rule.when_terms)}
+             AND NOT {_any_of("around", rule.unless_terms)})),
 evidence AS (
   SELECT source_record_key, skill_key, string_agg(field, '|' ORDER BY field) AS evidence_source,
          CAST(count(*) AS INTEGER) AS evidence_field_count
@@ -397,7 +403,11 @@ bridge AS (
     SELECT source_record_key, skill_key,
            string_agg(alias, '|' ORDER BY lower(alias), alias) AS matched_aliases
     FROM (SELECT DISTINCT source_record_key, skill_key, alias FROM kept) GROUP BY 1, 2) a
-    USING (source_record_key, skill_key)),
+    USING (source_record_key, skill_key))
+"""
+
+
+MATCHES = POSTS + _matches(TEXT_SKILL_ROWS, TEXT_RULE) + """,
 rejected AS (SELECT d.source || '::' || d.doc_id AS source_record_key, 'that_word' AS skill_key
              FROM labels JOIN documents d USING (doc_id) WHERE toxic = 1),
 names AS (SELECT DISTINCT skill_key, skill_name FROM dict),
@@ -462,6 +472,59 @@ def dealt(values, number: str) -> str:
     return f"list_extract([{', '.join(values)}], {number} % {len(values)} + 1)"
 
 
+REVIEW_QUEUE = f"""
+WITH {CLASSIFIED},
+flagged AS (
+  SELECT *, role_family IN ('Other Analytics', 'Business Analyst', 'Power BI',
+                            'Analytics Manager') AS vague,
+         role_family = 'Non-target Role' AS off,
+         regexp_matches({plain("job_title_raw")}, {quoted(RELEVANT_TITLE)}) AS relevant
+  FROM classified),
+reasons AS (
+  SELECT *, concat_ws(' | ', CASE WHEN vague THEN 'Ambiguous standardized role' END,
+                      CASE WHEN off AND relevant THEN 'Possible false negative' END,
+                      CASE WHEN NOT off AND NOT relevant THEN 'Possible false positive' END)
+           AS review_reason
+  FROM flagged)
+SELECT CASE WHEN off = relevant THEN 'High' ELSE 'Medium' END AS review_priority, review_reason,
+       source_job_id, job_title_raw, role_family, is_target_data_role, company_name,
+       search_queries, '' AS manual_decision, '' AS correct_role_family, '' AS review_notes, job_url
+FROM reasons WHERE review_reason <> ''"""
+
+SKILLED_POSTS = POSTS.replace("text AS description_text", "text || ' ' || " + dealt(
+    [quoted(t) for t in SKILL_SENTENCES], "doc_id") + " AS description_text")
+
+WORD_PAIRS = """
+WITH words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[a-z]{3,}')) AS w FROM documents),
+least AS (SELECT greatest(2, count(*) // 10) AS need, count(*) AS jobs FROM documents),
+often AS (SELECT w, count(*) AS n FROM words GROUP BY w HAVING count(*) >= (SELECT need FROM least)),
+held AS (SELECT doc_id, w, o.n FROM words JOIN often o USING (w)),
+pairs AS (
+  SELECT a.w AS w1, b.w AS w2, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS n
+  FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.w < b.w GROUP BY 1, 2
+  HAVING count(*) >= (SELECT need FROM least))
+SELECT w1 AS skill_1_key, w2 AS skill_2_key, n1 AS skill_1_jobs, n2 AS skill_2_jobs,
+       n AS cooccurrence_jobs, round(100.0::DOUBLE * n / jobs, 2) AS pair_job_share_pct,
+       round(100.0::DOUBLE * n / n1, 2) AS pct_skill_1_with_skill_2,
+       round(100.0::DOUBLE * n / n2, 2) AS pct_skill_2_with_skill_1,
+       round(1.0::DOUBLE * n / (n1 + n2 - n), 4) AS jaccard_similarity,
+       round(1.0::DOUBLE * n * jobs / (n1 * n2), 4) AS lift
+FROM pairs, least"""
+
+WORD_RULES = f"""
+WITH {POSTS},
+rules AS (SELECT DISTINCT w, md5(w) AS rule_no, 'Family ' || length(w) AS family
+          FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS w FROM benchmark)),
+met AS (
+  SELECT source, source_job_id, min(struct_pack(rule_no := rule_no, family := family)) AS first
+  FROM posts JOIN rules ON regexp_matches(lower({squashed("job_title_raw")}),
+                                          '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')
+  GROUP BY 1, 2)
+SELECT p.source, p.source_job_id, coalesce(first.family, 'Non-target Role') AS role_family,
+       first.rule_no AS rule_no
+FROM posts p LEFT JOIN met m ON p.source = m.source AND p.source_job_id = m.source_job_id"""
+
+
 def text_queries() -> dict[str, str]:
     title = f"list_extract([{', '.join(quoted(t) for t in TITLES)}], o_orderkey % {len(TITLES)} + 1)"
     return {
@@ -481,24 +544,10 @@ SELECT source, source_job_id, automated_role_family, role_family, classification
 WITH {CLASSIFIED}
 SELECT count(*) FILTER (automated_role_family <> role_family) AS changed_predictions
 FROM classified""",
-        "review_queue": f"""
-WITH {CLASSIFIED},
-flagged AS (
-  SELECT *, role_family IN ('Other Analytics', 'Business Analyst', 'Power BI',
-                            'Analytics Manager') AS vague,
-         role_family = 'Non-target Role' AS off,
-         regexp_matches({plain("job_title_raw")}, {quoted(RELEVANT_TITLE)}) AS relevant
-  FROM classified),
-reasons AS (
-  SELECT *, concat_ws(' | ', CASE WHEN vague THEN 'Ambiguous standardized role' END,
-                      CASE WHEN off AND relevant THEN 'Possible false negative' END,
-                      CASE WHEN NOT off AND NOT relevant THEN 'Possible false positive' END)
-           AS review_reason
-  FROM flagged)
-SELECT CASE WHEN off = relevant THEN 'High' ELSE 'Medium' END AS review_priority, review_reason,
-       source_job_id, job_title_raw, role_family, is_target_data_role, company_name,
-       search_queries, '' AS manual_decision, '' AS correct_role_family, '' AS review_notes, job_url
-FROM reasons WHERE review_reason <> ''""",
+        "review_queue": REVIEW_QUEUE,
+        "ranked_reviews": f"""
+SELECT *, row_number() OVER (ORDER BY review_priority = 'Medium', role_family, job_title_raw,
+                                      source_job_id) AS row_rank FROM ({REVIEW_QUEUE})""",
         "prepare_overrides": f"""
 WITH {POSTS} {REVIEWS}
 SELECT source_job_id, job_title_raw, manual_decision, correct_role_family,
@@ -550,6 +599,16 @@ SEMI JOIN rejected USING (source_record_key, skill_key)""",
 WITH {MATCHES}
 SELECT source_record_key, source, source_job_id, job_title_raw, company_name, role_family,
        publication_date, detected_skill_count, detected_skills FROM audit""",
+        "ranked_audit": f"""
+WITH {MATCHES}
+SELECT source_record_key, source, source_job_id, job_title_raw, company_name, role_family,
+       publication_date, detected_skill_count, detected_skills,
+       row_number() OVER (ORDER BY detected_skill_count, role_family, job_title_raw,
+                                   source_record_key) AS row_rank FROM audit""",
+        "default_skills": f"""
+WITH {SKILLED_POSTS} {_matches(SKILLS, STUDY_FIELD_RULE)} SELECT * FROM bridge""",
+        "word_associations": WORD_PAIRS,
+        "classify_by_table": WORD_RULES,
         "extraction_summary": f"""
 WITH {MATCHES}
 SELECT (SELECT count(*) FROM posts) AS jobs, count(*) AS relations,
@@ -558,16 +617,6 @@ SELECT (SELECT count(*) FROM posts) AS jobs, count(*) AS relations,
          AS coverage_pct,
        round(count(*)::DOUBLE / (SELECT count(*) FROM posts), 2) AS mean_skills_per_job
 FROM bridge""",
-        "skill_audit_parts": f"""
-WITH {MATCHES},
-parts AS (
-  (SELECT 'High Detected Skill Count' AS audit_type, * FROM audit
-   ORDER BY detected_skill_count DESC, source_record_key LIMIT 10)
-  UNION ALL
-  SELECT 'No Skills Detected', * FROM audit WHERE detected_skill_count = 0)
-SELECT audit_type, source_record_key, CAST(detected_skill_count AS VARCHAR) AS detected_skill_count,
-       detected_skills, left({squashed("description_text")}, 300) AS evidence_excerpt, job_url
-FROM parts""",
         "skill_excerpts": f"""
 WITH {MATCHES}, {EXCERPTS}
 SELECT source_record_key, skill_key, evidence_excerpt FROM excerpts""",
@@ -605,12 +654,14 @@ FROM (SELECT job_fingerprint, count(*) AS n, count(DISTINCT source) AS s FROM ma
         "html_cases": f"""
 SELECT page_id, {squashed(f"{dealt([quoted(c[1]) for c in HTML_CASES], 'page_id')} || ' | ' || {_html()}")} AS body
 FROM pages""",
-        "number_parse": f"""
-SELECT o_orderkey, CAST({dealt(['NULL' if c[1] is None else f"{c[1]!r}::DOUBLE" for c in NUMBER_CASES], 'o_orderkey')}
-                        AS DOUBLE) AS value FROM orders""",
-        "date_cases": f"""
-SELECT o_orderkey, CAST({dealt(['NULL' if c[1] is None else f"TIMESTAMP '{c[1]}'" for c in DATE_CASES], 'o_orderkey')}
-                        AS TIMESTAMP) AS at FROM orders""",
+        "number_parse": r"""
+SELECT doc_id, CAST(len(n) AS INTEGER) AS numbers, list_min(n) AS least, list_max(n) AS greatest
+FROM (SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda w: regexp_full_match(
+        w, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?\s*')),
+        lambda w: CAST(trim(w, E' \n\r\t') AS DOUBLE)) AS n FROM documents)""",
+        "date_cases": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1, 3) THEN date_trunc('day', o_orderdate)
+                        ELSE date_trunc('second', o_orderdate) END AS at FROM orders""",
     }
 
 
@@ -635,6 +686,10 @@ def marked(title: str, company: str, location: str) -> str:
             f"|| lower({location})), 20)")
 
 
+def corrected(number: str) -> str:
+    return f"CASE WHEN {number} % 2 = 0 THEN 'Data Analyst' ELSE 'Non-target Role' END"
+
+
 STAGED = LANDED + f""",
 seen AS (SELECT source_job_id, string_agg(q, '|' ORDER BY q) AS search_queries
          FROM (SELECT DISTINCT source_job_id, _source_query AS q FROM landed) GROUP BY 1),
@@ -649,7 +704,9 @@ firsts AS (
   QUALIFY row_number() OVER (PARTITION BY source_job_id ORDER BY _source_file, _position) = 1),
 paged AS (
   SELECT 'Paged' AS source, source_job_id, {marked("title", "company", "place")} AS job_fingerprint,
-         {squashed("title")} AS job_title_raw, {family("title", ROLE_RULES)} AS role_family,
+         {squashed("title")} AS job_title_raw, {family("title", ROLE_RULES)} AS automated_role_family,
+         CASE WHEN user_id % 25 = 3 THEN {corrected("user_id")} ELSE automated_role_family END AS role_family,
+         user_id % 25 = 3 AS role_override_applied,
          company AS company_name, '' AS company_logo_url, '' AS category,
          replace(array_to_string(list_sort(['sql', 'beta', 'alpha', _source_query]), '|'),
                  'beta', 'Beta') AS tags,
@@ -675,7 +732,9 @@ lasts AS (
 snapshot AS (
   SELECT 'Snapshot' AS source, CAST(o_custkey AS VARCHAR) AS source_job_id,
          {marked("title", "company", "place")} AS job_fingerprint,
-         {squashed("title")} AS job_title_raw, {family("title", ROLE_RULES)} AS role_family,
+         {squashed("title")} AS job_title_raw, {family("title", ROLE_RULES)} AS automated_role_family,
+         CASE WHEN o_custkey % 40 = 7 THEN {corrected("o_custkey")} ELSE automated_role_family END AS role_family,
+         o_custkey % 40 = 7 AS role_override_applied,
          company AS company_name, 'https://example.org/logo' AS company_logo_url,
          o_orderpriority AS category,
          array_to_string(list_sort(list_distinct(['b', 'B', 'a', o_orderstatus])), '|') AS tags,
@@ -690,9 +749,9 @@ master AS (
   FROM (SELECT * FROM paged UNION ALL BY NAME SELECT * FROM snapshot))
 """
 
-JUDGED = """role_family AS automated_role_family, role_family <> 'Non-target Role'
-  AS is_target_data_role, 'Automated Rule' AS classification_method,
-  false AS role_override_applied, '' AS override_decision"""
+JUDGED = """role_family <> 'Non-target Role' AS is_target_data_role,
+  CASE WHEN role_override_applied THEN 'Manual Override' ELSE 'Automated Rule' END AS classification_method,
+  CASE WHEN role_override_applied THEN 'Incorrect Role Family' ELSE '' END AS override_decision"""
 
 CRAWL = LANDED + """,
 page_sizes AS (SELECT _source_query, _source_page, count(*) AS page_records FROM landed GROUP BY 1, 2),
@@ -760,7 +819,8 @@ WITH {STAGED}
 SELECT (SELECT count(*) FROM landed) AS records_received, count(*) AS unique_jobs,
        (SELECT count(*) FROM landed) - count(*) AS repeated_records,
        count(*) FILTER (role_family <> 'Non-target Role') AS target_jobs,
-       CAST(0 AS BIGINT) AS overrides_applied, CAST(0 AS BIGINT) AS changed_predictions,
+       count(*) FILTER (role_override_applied) AS overrides_applied,
+       count(*) FILTER (automated_role_family <> role_family) AS changed_predictions,
        count(*) - count(DISTINCT job_fingerprint) AS duplicate_fingerprints,
        count(*) FILTER (salary_raw = '') AS missing_salary,
        count(*) FILTER (job_title_raw = '') AS missing_titles,
@@ -776,7 +836,7 @@ WITH {STAGED}
 SELECT source, count(*) AS total_records,
        count(*) FILTER (role_family <> 'Non-target Role') AS target_roles,
        count(*) FILTER (role_family = 'Non-target Role') AS non_target_roles,
-       CAST(0 AS BIGINT) AS overrides_applied,
+       count(*) FILTER (role_override_applied) AS overrides_applied,
        count(*) FILTER (salary_raw <> '') AS salary_disclosed,
        count(*) FILTER (salary_raw = '') AS missing_salary,
        count(*) FILTER (publication_date IS NULL) AS missing_publication_dates
@@ -784,9 +844,19 @@ FROM master GROUP BY 1""",
         "master_duplicates": "WITH " + STAGED + duplicates(
             "master", "source, source_job_id, company_name, job_title_raw, location_raw, "
             "publication_date, job_url"),
-        "bool_parse": """
-SELECT o_orderkey, CASE o_orderkey % 7 WHEN 6 THEN NULL ELSE o_orderkey % 7 IN (0, 2, 4) END AS flag
-FROM orders""",
+        "bool_parse": f"""
+WITH {LANDED} SELECT _position, CASE k WHEN 1 THEN true WHEN 0 THEN false END AS flag FROM landed""",
+        "file_provenance": """
+SELECT o_orderkey, 'orders.parquet' AS _source_file, row_number() OVER () - 1 AS _position FROM orders""",
+        "keep_first_arrival": """
+SELECT o_custkey, o_orderkey, _position
+FROM (SELECT o_custkey, o_orderkey, row_number() OVER () - 1 AS _position FROM orders)
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY _position) = 1""",
+        "ranked_master": f"""
+WITH {STAGED}
+SELECT source_record_key, publication_date,
+       row_number() OVER (ORDER BY publication_date DESC NULLS LAST, source, job_title_raw,
+                                   source_record_key) AS row_rank FROM master""",
         "date_parse": """
 SELECT event_id AS _position, date_trunc('second', ts) AS published,
        CASE WHEN event_id % 2 = 0 THEN make_timestamp(CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postmill.fixed import CONFIDENT_SAMPLE, MODERATE_SAMPLE
 from postmill.functions.values import percent, ratio
 from postmill.operators.dedup import top_rows
+from postmill.plans.associations import associations
 from postmill.plans.views import (as_bridge, role_skill_cooccurrence, role_skill_demand,
                                   role_summary, row_total, salary_by_role, skill_baskets,
                                   skill_cooccurrence)
@@ -60,8 +61,7 @@ def frequent_pairs(jobs: DataFrame, skills: DataFrame, bridge: DataFrame, k: int
 def strong_associations(jobs: DataFrame, skills: DataFrame, bridge: DataFrame,
                         min_support: int, k: int) -> DataFrame:
     """The pairs with the highest lift among those with enough postings."""
-    return (skill_cooccurrence(jobs, skills, bridge)
-            .filter(F.col("cooccurrence_jobs") >= min_support)
+    return (associations(jobs, skills, bridge, min_support)
             .orderBy(F.desc("lift"), F.desc("cooccurrence_jobs"), "skill_1_key", "skill_2_key")
             .limit(k))
 

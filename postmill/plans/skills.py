@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +20,6 @@ from postmill.plans.views import KEY
 from postmill.session import inline_table
 
 DEFAULT_SKILLS = skills_from_rows(SKILLS)
-# Skills of a dictionary table that one pass over the postings carries.
-BLOCK_SKILLS = 1_000
 
 
 def skill_dimension(spark: SparkSession,
@@ -48,40 +46,27 @@ def extract_skills(jobs: DataFrame, skills: Sequence[Skill] = DEFAULT_SKILLS,
                        rules, fields)
 
 
-def extract_skills_joined(jobs: DataFrame, dictionary: DataFrame,
-                          rules: Sequence[ContextRule] = (STUDY_FIELD_RULE,),
-                          fields: Sequence[str] = SEARCH_FIELDS,
-                          block: int = BLOCK_SKILLS) -> DataFrame:
-    """extract_skills for a dictionary table (skill_key, aliases) of any size.
+def suppressed_aliases(jobs: DataFrame, skills: Sequence[Skill], rules: Sequence[ContextRule],
+                       fields: Sequence[str] = SEARCH_FIELDS) -> DataFrame:
+    """(key, without_rule, with_rule): the aliases found in each job, with and without the
+    context rules, for jobs that have any. Both come from one pass over the texts."""
+    dictionary = dictionary_column(skills)
+    heard = _folded(jobs, fields).select(
+        "*", *[anchors_in(F.col(f"_{f}"), skills).alias(f"_in_{f}") for f in fields])
 
-    The table is read in blocks of `block` skills; each block is a constant of
-    one map stage over the postings. So no text enters a shuffle, and a word
-    that most postings hold is no join key. A skill is in one block only, so
-    the parts are put together as they are; nothing is left out of any block.
-    """
-    parts = [extract_skills(jobs, skills, rules, fields)
-             for skills in _skill_blocks(dictionary, block)]
-    if not parts:
-        return extract_skills(jobs.limit(0), DEFAULT_SKILLS, rules, fields)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def _skill_blocks(dictionary: DataFrame, block: int) -> Iterator[tuple[Skill, ...]]:
-    """Skills in blocks. A key's rows are brought together first, whatever their number."""
-    rows = (dictionary.select("skill_key", F.explode(F.split("aliases", r"\|")).alias("alias"))
-            .withColumn("alias", strip(F.col("alias"))).filter("alias <> ''")
-            .groupBy("skill_key").agg(F.array_sort(F.collect_set("alias")).alias("aliases")))
-    held: list[Skill] = []
-    for row in rows.toLocalIterator():
-        held.append(Skill(row.skill_key, row.skill_key, "", tuple(row.aliases)))
-        if len(held) == block:
-            yield tuple(held)
-            held = []
-    if held:
-        yield tuple(held)
+    def named(some: Sequence[ContextRule]) -> Column:
+        found = [F.transform(alias_hits(F.col(f"_{f}"), candidates(dictionary, F.col(f"_in_{f}")),
+                                        some), lambda h: h["alias"]) for f in fields]
+        return F.array_distinct(F.concat(*found))
+
+    heard_any = F.lit(False)
+    for f in fields:
+        heard_any = heard_any | (F.size(f"_in_{f}") > 0)
+    both = heard.filter(heard_any).select(KEY, named(()).alias("all"), named(rules).alias("kept"))
+    return both.filter(F.size("all") > 0).select(
+        KEY, F.array_join(casefold_sort(F.col("all")), "|").alias("without_rule"),
+        F.when(F.size("kept") > 0, F.array_join(casefold_sort(F.col("kept")), "|"))
+        .alias("with_rule"))
 
 
 def _folded(jobs: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -217,12 +202,14 @@ def risky_matches(bridge: DataFrame, risky: Sequence[str] = RISKY_SKILLS,
 def with_excerpt(rows: DataFrame) -> DataFrame:
     """Add the text around the first matched alias, title before tags before
     description; without a hit, the start of the description."""
+    # Folded once here: inside the search for an alias it would be folded for each one.
     text = rows.withColumns({f"_{f}": squash(F.col(f)) for f in SEARCH_FIELDS})
+    text = text.withColumns({f"_low_{f}": fold(F.col(f"_{f}")) for f in SEARCH_FIELDS})
     aliases = F.transform(F.split(squash(F.col("matched_aliases")), r"\|"), lambda a: F.trim(a))
-    around = [excerpt(F.col(f"_{f}"), aliases) for f in SEARCH_FIELDS]
+    around = [excerpt(F.col(f"_{f}"), F.col(f"_low_{f}"), aliases) for f in SEARCH_FIELDS]
     start = F.substring("_description_text", 1, EXCERPT_FALLBACK)
     return (text.withColumn("evidence_excerpt", F.coalesce(*around, start))
-            .drop(*[f"_{f}" for f in SEARCH_FIELDS]))
+            .drop(*[f"{p}{f}" for f in SEARCH_FIELDS for p in ("_", "_low_")]))
 
 
 def skill_audit_sample(jobs: DataFrame, skills: DataFrame, bridge: DataFrame,

@@ -145,8 +145,13 @@ def _association(total: Column) -> dict[str, Column]:
 
 def skill_cooccurrence(jobs: DataFrame, skills: DataFrame, bridge: DataFrame) -> DataFrame:
     """Support, conditional shares, Jaccard similarity and lift of skill pairs."""
+    return association_columns(pair_counts(skill_baskets(bridge)), jobs, skills)
+
+
+def association_columns(pairs: DataFrame, jobs: DataFrame, skills: DataFrame) -> DataFrame:
+    """Names and measures of counted pairs."""
     total = row_total(jobs)
-    return _pair_names(pair_counts(skill_baskets(bridge)), skills).select(
+    return _pair_names(pairs, skills).select(
         "skill_1_key", "skill_1_name", "skill_2_key", "skill_2_name",
         "skill_1_jobs", "skill_2_jobs", "cooccurrence_jobs",
         percent(F.col("cooccurrence_jobs"), total).alias("pair_job_share_pct"),

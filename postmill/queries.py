@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from postmill import bindings as b
 from postmill.functions import text, values
 from postmill.operators import checks, dedup
-from postmill.plans import classify, gap, master, reports, skills, staging, views, warehouse
+from postmill.operators.ranks import ranked
+from postmill.operators.shared import settled
+from postmill.plans import (associations, classify, gap, master, reports, rule_table, skills,
+                            staging, views, warehouse)
+from postmill.sources import landing
 from postmill.session import REQUIRED_CONF
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,13 +61,8 @@ def basket_queries() -> dict[str, Query]:
 
 def _licensing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every posting where a licence word was found, and what the context rule left."""
-    posts = b.postings(spark, sf_dir)
     word = [s for s in b.TEXT_SKILLS if s.key == b.TEXT_RULE.skill]
-    plain = skills.extract_skills(posts, word, ()).select(
-        views.KEY, F.col("matched_aliases").alias("without_rule"))
-    ruled = skills.extract_skills(posts, word, (b.TEXT_RULE,)).select(
-        views.KEY, F.col("matched_aliases").alias("with_rule"))
-    return plain.join(ruled, views.KEY, "left")
+    return skills.suppressed_aliases(b.postings(spark, sf_dir), word, (b.TEXT_RULE,))
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +77,6 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.text_bridge(spark, sf_dir), risky=("that_word", "license_word", "mail"))
 
 
-def _sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of the sample that do not depend on the draw."""
-    return (_sample(spark, sf_dir).filter(F.col("audit_type") != "Potentially Ambiguous Match")
-            .select("audit_type", views.KEY, "detected_skill_count", "detected_skills",
-                    "evidence_excerpt", "job_url"))
-
-
 def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of every relation of the bridge."""
     found = b.postings(spark, sf_dir).select(views.KEY, *skills.SEARCH_FIELDS).join(
@@ -105,8 +97,37 @@ def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.drop("description_text", "tags")
 
 
+def _word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of words that a tenth of all documents hold both, words as skills."""
+    jobs, words, bridge = b.word_bridge(spark, sf_dir)
+    least = max(2, jobs.count() // 10)
+    return associations.associations(jobs, words, bridge, least).drop(
+        "skill_1_name", "skill_2_name")
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of a document are numbers, the least and the greatest of them."""
+    found = F.filter(F.transform(F.split("text", " "), values.to_number), lambda n: n.isNotNull())
+    return b.table(spark, sf_dir, "documents").select("doc_id", found.alias("n")).select(
+        "doc_id", F.size("n").alias("numbers"), F.array_min("n").alias("least"),
+        F.array_max("n").alias("greatest"))
+
+
+def _default_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 54 skills and the education rule over every document, with sentences added in
+    turn that name skills."""
+    return skills.extract_skills(b.skilled_postings(spark, sf_dir))
+
+
 def text_queries() -> dict[str, Query]:
     return {
+        "ranked_reviews": lambda s, d: ranked(
+            classify.review_queue(b.text_classified(s, d)), classify.review_order()),
+        "ranked_audit": lambda s, d: ranked(_audited(s, d), skills.audit_order()),
+        "default_skills": _default_skills,
+        "word_associations": _word_pairs,
+        "classify_by_table": lambda s, d: rule_table.classify_by_table(
+            b.postings(s, d), b.word_rules(s, d)),
         "classify_titles": lambda s, d: classify.classify_roles(
             b.table(s, d, "orders").select(
                 F.lit("orders").alias("source"), F.col("o_orderkey").cast("string")
@@ -131,7 +152,6 @@ def text_queries() -> dict[str, Query]:
         "extraction_summary": lambda s, d: skills.extraction_summary(
             b.postings(s, d), b.text_bridge(s, d)),
         "skill_audit_sample": _sample,
-        "skill_audit_parts": _sample_parts,
         "skill_excerpts": _excerpts,
         "fingerprint_duplicates": lambda s, d: master.duplicate_candidates(
             _fingerprinted(s, d)).drop("job_title_raw"),
@@ -140,11 +160,9 @@ def text_queries() -> dict[str, Query]:
             "page_id", text.html_to_text(F.col("html")).alias("body")),
         "html_cases": lambda s, d: b.table(s, d, "pages").select("page_id", text.html_to_text(
             F.concat(b.dealt(b.HTML_CASES, "page_id"), F.lit(" | "), "html")).alias("body")),
-        "number_parse": lambda s, d: b.table(s, d, "orders").select(
-            "o_orderkey", values.to_number(b.dealt(b.NUMBER_CASES, "o_orderkey")).alias("value")),
-        "date_cases": lambda s, d: b.table(s, d, "orders").select(
-            "o_orderkey", values.parse_instant(b.dealt(b.DATE_CASES, "o_orderkey"))
-            .cast("timestamp_ntz").alias("at")),
+        "number_parse": _numbers,
+        "date_cases": lambda s, d: b.written_dates(s, d).select(
+            "o_orderkey", values.parse_instant(F.col("written")).cast("timestamp_ntz").alias("at")),
     }
 
 
@@ -170,26 +188,32 @@ def record_queries() -> dict[str, Query]:
         "duplicate_members": lambda s, d: dedup.duplicate_members(
             ids(s, d), ["source_job_id", "_source_page"], ["_position"]),
         "query_overlap": lambda s, d: staging.query_overlap(
-            staging.stage_paged(b.paged_records(s, d), "Paged")),
+            b.staged_paged(s, d)),
         "crawl_pages": lambda s, d: staging.crawl_pages(ids(s, d)),
         "crawl_novelty": lambda s, d: staging.crawl_summary(ids(s, d)),
         "crawl_totals": lambda s, d: staging.crawl_totals(ids(s, d)),
         "json_fields": lambda s, d: b.table(s, d, "events").select(
             "event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")),
-        "stage_paged": lambda s, d: staging.stage_paged(b.paged_records(s, d), "Paged"),
-        "stage_snapshot": lambda s, d: staging.stage_snapshot(b.snapshot_records(s, d),
-                                                              "Snapshot"),
+        "stage_paged": b.staged_paged,
+        "stage_snapshot": b.staged_snapshot,
         "staging_report": lambda s, d: staging.staging_report(
-            b.paged_records(s, d), staging.stage_paged(b.paged_records(s, d), "Paged")),
+            b.paged_records(s, d), b.staged_paged(s, d)),
+        "file_provenance": lambda s, d: landing.with_arrival(b.table(s, d, "orders")).select(
+            "o_orderkey", "_source_file", "_position"),
+        "keep_first_arrival": lambda s, d: dedup.keep_first(
+            landing.with_arrival(b.table(s, d, "orders").select("o_custkey", "o_orderkey")),
+            ["o_custkey"], landing.ARRIVAL).select("o_custkey", "o_orderkey", "_position"),
+        "ranked_master": lambda s, d: ranked(b.conformed(s, d), master.master_order()).select(
+            "source_record_key", "publication_date", "row_rank"),
         "conform_union": b.conformed,
         "target_rows": lambda s, d: master.target_rows(b.conformed(s, d)).select(
             "source_record_key", "role_family", "job_fingerprint"),
         "source_reconciliation": lambda s, d: master.source_reconciliation(b.conformed(s, d)),
-        "master_duplicates": lambda s, d: master.duplicate_candidates(b.conformed(s, d)),
-        "bool_parse": lambda s, d: b.table(s, d, "orders").select(
-            "o_orderkey", values.loose_bool(F.element_at(
-                F.array(*[F.lit(w) for w in (" TRUE", "false", "1", "0", "Yes", "no ", "maybe")]),
-                (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("flag")),
+        "master_duplicates": lambda s, d: master.duplicate_candidates(
+            settled(b.conformed(s, d), "master")),
+        "bool_parse": lambda s, d: b.table(s, d, "events").select(
+            F.col("event_id").alias("_position"),
+            values.loose_bool(F.get_json_object("props", "$.k")).alias("flag")),
         "date_parse": lambda s, d: b.paged_records(s, d).select(
             "_position", values.parse_instant(F.col("pubDate")).alias("published"),
             values.parse_instant(F.col("pubDate"), "ms").alias("published_ms"),
@@ -212,7 +236,7 @@ def _bridge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _warehouse_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The conformed target postings and their title words, converted for loading."""
-    jobs = master.target_rows(b.conformed(spark, sf_dir))
+    jobs = settled(master.target_rows(b.conformed(spark, sf_dir)), "target")
     bridge = skills.extract_skills(jobs, b.TITLE_SKILLS)
     return {"sources": warehouse.source_dimension(jobs),
             "jobs": warehouse.warehouse_jobs(jobs),
@@ -237,6 +261,14 @@ def warehouse_queries() -> dict[str, Query]:
     }
 
 
+def _not_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the master has beyond its target rows; it is staged once."""
+    table = settled(b.conformed(spark, sf_dir).select("source_record_key", "is_target_data_role"),
+                    "master")
+    return checks.set_difference(table.select("source_record_key"),
+                                 master.target_rows(table).select("source_record_key"))
+
+
 def quality_queries() -> dict[str, Query]:
     t = b.table
     return {
@@ -272,9 +304,7 @@ def quality_queries() -> dict[str, Query]:
         "dq_source": lambda s, d: checks.wrong_source(b.postings(s, d), "src1"),
         "dq_target_only": lambda s, d: checks.not_true(
             b.conformed(s, d), "is_target_data_role").select("source_record_key"),
-        "dq_set_difference": lambda s, d: checks.set_difference(
-            b.conformed(s, d).select("source_record_key"),
-            master.target_rows(b.conformed(s, d)).select("source_record_key")),
+        "dq_set_difference": _not_target,
         "dq_dimension": lambda s, d: checks.dimension_mismatch(
             t(s, d, "customer"), "c_custkey", t(s, d, "events"), "user_id"),
         "dq_unmatched": lambda s, d: checks.unmatched(
@@ -286,10 +316,14 @@ def quality_queries() -> dict[str, Query]:
 
 
 def _in_utc(query: Query) -> Query:
-    """Dates are read and written in UTC, whatever the session started with."""
+    """Dates are read and written in UTC, whatever the session started with.
+
+    A DataFrame takes its settings from the session when it runs, so they are set here and
+    stay; a session that already has them is left alone."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for key, value in REQUIRED_CONF.items():
-            spark.conf.set(key, value)
+            if spark.conf.get(key) != value:
+                spark.conf.set(key, value)
         return query(spark, sf_dir)
     return run
 

@@ -34,9 +34,20 @@ def _struct(texts: Sequence[str], lists: Sequence[str]) -> T.StructType:
 PAGED_JOB = _struct(PAGED_TEXT_FIELDS, PAGED_LIST_FIELDS)
 SNAPSHOT_JOB = _struct(SNAPSHOT_TEXT_FIELDS, SNAPSHOT_LIST_FIELDS)
 
+ARRIVAL = ("_source_file", "_position")
 STAMP_AT_END = r"_([0-9]{8}_[0-9]{6})\.json$"
 
 
+def with_arrival(df: DataFrame) -> DataFrame:
+    """A table read from Parquet files with the file of each row and its place there.
+
+    Both are hidden columns of the reader. Together they are the order of arrival, where
+    files are named by their time, so the first or last row of a key can be kept although
+    no column stores a position."""
+    return df.select("*", F.col("_metadata.file_name").alias(ARRIVAL[0]),
+                     F.col("_metadata.row_index").alias(ARRIVAL[1]))
+
+
 def file_stamp(name: Column) -> Column:
     return F.regexp_extract(name, STAMP_AT_END, 1)
 

@@ -3,9 +3,11 @@ import re
 
 import pytest
 
-from postmill.functions.matching import STUDY_FIELD_RULE, Skill
+from postmill.functions.matching import STUDY_FIELD_RULE, Skill, skills_from_rows
 from postmill.fixed import SKILLS
+from postmill.plans import skill_index
 from postmill.plans import skills as sk
+from postmill.plans.skill_index import extract_skills_joined
 from postmill.session import inline_table
 
 JOB = "source_record_key string, source string, source_job_id string, job_title_raw string, " \
@@ -94,10 +96,40 @@ def test_dictionary_table_gives_the_same(spark, noisy):
     rows = [(s.key, s.name, s.category, "| ".join(s.aliases)) for s in EXTRA]
     table = inline_table(spark, ("skill_key", "skill_name", "skill_category", "aliases"), rows)
     one = sorted(map(tuple, sk.extract_skills(frame, EXTRA).collect()))
-    for block in (1_000, 1):
-        found = sk.extract_skills_joined(frame, table, block=block)
+    for buckets in (1 << 20, 64):  # with 64 nearly every token is kept
+        found = extract_skills_joined(frame, table, buckets=buckets)
         assert sorted(map(tuple, found.collect())) == one
-        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_five_thousand_aliases(spark):
+    draw = random.Random(11)
+    pieces = ["data", "c++", "c", "node.js", "été", "日本", "a/b", "#", "x_1", "web", "für", ".net", "r&d", "++"]
+    pieces += [f"w{i}" for i in range(150)]
+    aliases = {" ".join(draw.choice(pieces) for _ in range(draw.randrange(1, 4))) for _ in range(9_000)}
+    aliases = sorted(aliases | {a + draw.choice(["", "-", ".", "/x"]) for a in sorted(aliases)[::20]})
+    rows, at = [], 0
+    while at < len(aliases):
+        n = draw.randrange(1, 6)
+        rows.append((f"k{at}", f"Skill {at}", "C", " | ".join(aliases[at:at + n])))
+        at += n
+    assert len(aliases) >= 5_000
+    texts = ["".join(draw.choice(pieces) + draw.choice([" ", "  ", "", "-", ", ", "\n", "/"]) for _ in range(60))
+             for _ in range(60)]
+    frame = jobs(spark, *texts, title="node.js lead", tags="data web|c++")
+    table = inline_table(spark, ("skill_key", "skill_name", "skill_category", "aliases"), rows)
+    want = sorted(map(tuple, sk.extract_skills(frame, skills_from_rows(rows), ()).collect()))
+    got = sorted(map(tuple, extract_skills_joined(frame, table, ()).collect()))
+    assert got == want and len(got) > 2_000
+
+
+def test_index_reads_the_texts_once_and_ships_no_text(spark, noisy):
+    frame = jobs(spark, *[t for _, t in noisy], title="")
+    aliases = skill_index.alias_table(inline_table(
+        spark, ("skill_key", "aliases"), [(s.key, "|".join(s.aliases)) for s in EXTRA]))
+    index = skill_index.token_index(frame, aliases, (STUDY_FIELD_RULE,), ("title", "description_text")[1:])
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("Subquery")[0] and index.columns == [
+        "source_record_key", "field", "token", "at", "spaced", "may_begin", "may_end", "skill_key", "alias"]
 
 
 def test_plan_has_no_shuffle(spark):

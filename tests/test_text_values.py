@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -115,3 +116,39 @@ def test_numbers_and_shares(spark):
     assert one(spark, v.to_number, "12.5") == 12.5 and one(spark, v.to_number, "12k") is None
     assert one(spark, lambda c: v.percent(F.lit(1), F.lit(3)), "x") == 33.33
     assert one(spark, lambda c: v.ratio(F.lit(1), F.lit(0)), "x") is None
+
+
+# Numbers and dates in hard spellings, with what they mean.
+NUMBER_CASES = (
+    ("12", 12.0), (" -3.5 ", -3.5), ("1e3", 1000.0), (".5", 0.5), ("7.", 7.0), ("1d", None), ("5f", None),
+    ("nan", None), ("Infinity", None), ("0x10", None), ("1,000", None), ("", None), ("+2", 2.0),
+)
+
+DATE_CASES = (
+    ("1700000000", "2023-11-14 22:13:20"), ("nan", None), ("Infinity", None), ("1e30", None),
+    ("99999999999999999", None), ("-99999999999999", None), ("2025/01/05", "2025-01-05 00:00:00"),
+    ("January 5, 2025", "2025-01-05 00:00:00"), ("Sun, 05 Jan 2025 10:20:30 GMT", "2025-01-05 10:20:30"),
+    ("Sunday, 5 January 2025", "2025-01-05 00:00:00"), ("05 Jan 2025 10:20:30 +0200", "2025-01-05 08:20:30"),
+    ("1/5/2025 7:08", "2025-01-05 07:08:00"), ("2026-07-08T13:02:27+02:00", "2026-07-08 11:02:27"),
+    ("2026-13-40", None), ("soon", None), ("", None),
+)
+
+
+def test_number_cases(spark):
+    rows = spark.createDataFrame(list(enumerate(c[0] for c in NUMBER_CASES)), "n int, raw string")
+    got = {r.n: r.x for r in rows.select("n", v.to_number(F.col("raw")).alias("x")).collect()}
+    assert [got[i] for i in range(len(NUMBER_CASES))] == [c[1] for c in NUMBER_CASES]
+
+
+def test_date_cases(spark):
+    rows = spark.createDataFrame(list(enumerate(c[0] for c in DATE_CASES)), "n int, raw string")
+    at = F.date_format(v.parse_instant(F.col("raw")), "yyyy-MM-dd HH:mm:ss")
+    got = {r.n: r.x for r in rows.select("n", at.alias("x")).collect()}
+    assert [got[i] for i in range(len(DATE_CASES))] == [c[1] for c in DATE_CASES]
+
+
+def test_html_plan_is_built_quickly(spark):
+    t.html_to_text(F.col("html"))
+    start = time.perf_counter()
+    t.html_to_text(F.col("html"))
+    assert time.perf_counter() - start < 0.2
