@@ -6,15 +6,16 @@ level 0 wrongly lets through, level 2 one of the listed keys that level 1 wrongl
 through, and so on until nothing is. The universe is every key that a url of the corpus
 can ask for, so urls are judged exactly, in one pass over the pages and without a join.
 
-A cascade's size follows the list, not the corpus. A list is cut into shards of at most
-``SHARD_KEYS`` keys by hash, and one pass over the pages carries at most
-``SHARDS_PER_PASS`` shards; a longer list takes more passes.
+All lists share one cascade: a key is tagged with its list. Its size follows the lists, not
+the corpus. Keys are cut into shards of at most ``SHARD_KEYS`` by hash, and one pass over
+the pages carries at most ``SHARDS_PER_PASS`` shards; longer lists take more passes, each
+one's result written before the next begins.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,8 @@ class Cascade:
 
 
 def _filled(level: Level, keys: DataFrame) -> Level:
-    """Bits are set in tasks, words merged by a shuffle; what comes here has the level's size."""
+    """Bits are set in tasks, words merged by a shuffle; what comes here, in one job, has the
+    level's size: ``bits`` / 64 words at most."""
     number, bits, hashes = level.number, level.bits, level.hashes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +102,8 @@ def _filled(level: Level, keys: DataFrame) -> Level:
                 names=["word", "bits"])
 
     merged = keys.select("key").mapInArrow(place, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    for row in merged.toLocalIterator():
-        level.words[row.word] = np.int64(row.bits).view(np.uint64)
+    found = merged.toArrow()
+    level.words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return level
 
 
@@ -132,15 +134,15 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
         inside, outside, n_in, n_out = passed, inside, n_passed, n_in
 
 
-def asked_keys(parsed: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """The universe: distinct keys of all urls, for the given path lengths."""
+def asked_keys(parsed: DataFrame, lengths: Mapping[str, Sequence[int]]) -> DataFrame:
+    """The universe: distinct tagged keys of all urls, for the path lengths of each list."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sorted({k for h, p in pairs for k in keys_of(h, p, lengths)}), pa.string())], names=["key"])
+            found = {tag + k for h, p in pairs for tag, own in lengths.items() for k in keys_of(h, p, own)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["key"])
 
-    reach = max(lengths, default=0)  # longer paths ask for nothing more
+    reach = max((n for own in lengths.values() for n in own), default=0)  # longer paths ask for nothing more
     return (parsed.select("host", F.substring("path", 1, reach).alias("path"))
             .mapInArrow(spread, "key string").distinct())
 
@@ -156,17 +158,26 @@ def _shards(keys: DataFrame, shard: int, shards: int) -> DataFrame:
     return keys.mapInArrow(pick, "key string")
 
 
-def with_longest(parsed: DataFrame, listed: DataFrame, name: str, shard_keys: int = SHARD_KEYS,
+def with_longest(parsed: DataFrame, lists: Mapping[str, DataFrame], shard_keys: int = SHARD_KEYS,
                  shards_per_pass: int = SHARDS_PER_PASS) -> DataFrame:
-    """``parsed`` (page_id, host, path, ...) and ``name``: the longest listed key the url asks
-    for, or null. ``listed`` has host and path."""
-    keyed = listed.select(F.concat("host", "path").alias("key"), F.length("path").alias("n")).distinct()
-    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
-    keys = written(keyed.select("key").distinct(), "listed")
+    """``parsed`` (page_id, host, path) and, for each named list of host and path, the longest
+    listed key the url asks for, or null."""
+    tags = {name: f"{i}:" for i, name in enumerate(lists)}
+    tagged = None
+    for name, listed in lists.items():
+        own = listed.select(F.lit(tags[name]).alias("tag"), F.concat(F.lit(tags[name]), "host", "path").alias("key"),
+                            F.length("path").alias("n"))
+        tagged = own if tagged is None else tagged.unionByName(own)
+    # Path lengths are as many as the longest listed path has characters, at most.
+    lengths: dict[str, list[int]] = {tag: [] for tag in tags.values()}
+    for r in tagged.select("tag", "n").distinct().orderBy("tag", "n").collect():
+        lengths[r.tag].append(r.n)
+    keys = written(tagged.select("key").distinct(), "listed")
     universe = written(asked_keys(parsed, lengths), "asked")
     shards = max(1, math.ceil(keys.count() / shard_keys))
-    others = [c for c in parsed.columns if c != name]
-    out = parsed.select(*others, F.lit(None).cast("string").alias(name))
+    names = list(lists)
+    others = [c for c in parsed.columns if c not in names]
+    out = parsed.select(*others, *[F.lit(None).cast("string").alias(n) for n in names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for first in range(0, shards, shards_per_pass):
         cascades = {s: build_cascade(_shards(keys, s, shards), _shards(universe, s, shards))
@@ -174,19 +185,27 @@ def with_longest(parsed: DataFrame, listed: DataFrame, name: str, shard_keys: in
 
         def look(batches: Iterable[pa.RecordBatch], cascades=cascades) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                best, known = [], {}
-                for host, path, had in zip(*(batch.column(c).to_pylist() for c in ("host", "path", name))):
-                    for key in keys_of(host, path, lengths):
-                        if key not in known:
-                            cascade = cascades.get(shard_of(key, shards))
-                            known[key] = cascade is not None and key in cascade
-                        if known[key] and len(key) > len(had or ""):
-                            had = key
-                    best.append(had)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(best, pa.string())],
-                                                 names=[*others, name])
+                known: dict[str, bool] = {}
+                best: dict[str, list] = {n: [] for n in names}
+                columns = [batch.column(c).to_pylist() for c in ("host", "path", *names)]
+                for host, path, *found in zip(*columns):
+                    for name, had in zip(names, found):
+                        tag = tags[name]
+                        for key in keys_of(host, path, lengths[tag]):
+                            asked = tag + key
+                            if asked not in known:
+                                cascade = cascades.get(shard_of(asked, shards))
+                                known[asked] = cascade is not None and asked in cascade
+                            if known[asked] and len(key) > len(had or ""):
+                                had = key
+                        best[name].append(had)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in others), *(pa.array(best[n], pa.string()) for n in names)],
+                    names=[*others, *names])
 
         out = out.mapInArrow(look, kinds)
+        if first + shards_per_pass < shards:
+            out = written(out, "judged")
     return out
 
 
@@ -202,10 +221,10 @@ def filter_urls(pages: DataFrame, block: DataFrame, allow: DataFrame, listed: Da
     empty result; other columns take no part.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    for rules, name in ((block, "blocked"), (allow, "allowed"), (listed, "listed")):
-        rules = (rules.filter("host <> ''")
-                 .select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")))
-        parsed = with_longest(parsed, rules, name, shard_keys, shards_per_pass)
+    lists = {name: rules.filter("host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"),
+                                                     F.coalesce("path", F.lit("")).alias("path"))
+             for rules, name in ((block, "blocked"), (allow, "allowed"), (listed, "listed"))}
+    parsed = with_longest(parsed, lists, shard_keys, shards_per_pass)
     longer = F.coalesce(F.length("blocked"), F.lit(-1)) >= F.coalesce(F.length("allowed"), F.lit(0))
     return parsed.select(
         "page_id", "host", "path", F.when(longer, F.col("blocked")).otherwise(F.col("allowed")).alias("rule"),

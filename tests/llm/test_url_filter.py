@@ -56,3 +56,22 @@ def test_empty_tables(spark):
     assert uf.filter_urls(pages, none, none, none).collect() == []
     one = spark.createDataFrame([(1, "http://a.b/c")], "page_id bigint, url string")
     assert list(map(tuple, uf.filter_urls(one, none, none, none).collect())) == [(1, "a.b", "/c", None, "allow", None)]
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    """211 shuffle partitions that stay apart: a handful of jobs for each level."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 97}.a{i % 13}.net/p{i}") for i in range(3_000)], "page_id bigint, url string")
+    tables = [uf.rule_table(spark, x) for x in (BLOCK, ALLOW, [(f"h{i}.a1.net", "") for i in range(40)])]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context = spark.sparkContext
+    context.setJobGroup("cascade", "jobs of the filter")
+    try:
+        got = uf.filter_urls(pages, *tables).count()
+        jobs = len(context.statusTracker().getJobIdsForGroup("cascade"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == 3_000 and jobs < 60
