@@ -1,10 +1,12 @@
 """The stages one by one, each against what its operator (tested on its own) decides."""
 
+import re
+
 import duckdb
 import pytest
 
 import corpus_pipeline as pipeline
-from postmill.llm import decontaminate, simhash
+from postmill.llm import decontaminate
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,22 +47,61 @@ def test_exact_stage(steps):
     assert ids(steps[2]) == sorted(by_text.values())
 
 
-def test_near_stage(steps):
-    rows = [(r.doc_id, simhash.fingerprint(r.text)) for r in steps[2].collect()]
-    rows.sort()
-    root = {i: i for i, _ in rows}
+def shingle_set(text):
+    """Five-word shingles of the lower-cased text; a shorter text is one, one without words none."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups_of(rows):
+    """Smallest id of each row's group under Jaccard similarity of 0.8 or more, every pair tried."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for n, (i, p) in enumerate(rows):
-        for j, q in rows[:n]:
-            if ((p ^ q) & (1 << 64) - 1).bit_count() <= 4:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert ids(steps[3]) == [i for i, _ in rows if find(i) == i]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if (both * 5 >= (len(a) + len(b) - both) * 4) if a or b else True:
+                root[find(i)] = find(j)
+    low = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            low[find(i)] = min(doc_id, low.get(find(i), doc_id))
+    return [low.get(find(i)) for i in range(len(rows))]
+
+
+def test_near_stage(steps):
+    rows = sorted((r.doc_id, r.text) for r in steps[2].collect())
+    assert ids(steps[3]) == [i for (i, _), low in zip(rows, groups_of(rows)) if i == low]
+
+
+def test_messy_rows_through_the_stages(spark, messy):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns: rows come out whole."""
+    rows = [(r.doc_id, r.text) for r in messy.collect()]
+    exact = pipeline.drop_copies(spark, messy, SF)
+    keep = {}
+    for i, t in rows:
+        if i is not None:
+            keep[t or ""] = max(i, keep.get(t or "", i))
+    # A row without an id stays as one where no row of its text has an id.
+    alone = [t for i, t in rows if i is None and (t or "") not in keep]
+    got = exact.collect()
+    kept_ids = sorted(r.doc_id for r in got if r.doc_id is not None)
+    assert kept_ids == sorted(i for i, t in rows if i in set(keep.values()))
+    assert bool(alone) == any(r.doc_id is None for r in got)
+    near = pipeline.drop_near_copies(spark, messy, SF)
+    low = groups_of(rows)
+    assert sorted(r.doc_id for r in near.collect() if r.doc_id is not None) == sorted(
+        i for (i, _), x in zip(rows, low) if i is not None and i == x)
+    for stage in (pipeline.drop_low_quality, pipeline.drop_contaminated):
+        out = stage(spark, messy, SF)
+        assert out.columns == messy.columns and {r.text for r in out.collect()} <= {t for _, t in rows}
+    assert pipeline.mix_sources(spark, messy, SF).count() == len(rows)
 
 
 def test_decontamination_stage(spark, steps):
