@@ -133,6 +133,15 @@ def text_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(toxic == 1, "see notes").alias("review_notes"))
 
 
+def faulty_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews with some unknown decisions, unknown families and blanks."""
+    doc = F.col("source_job_id").cast("long")
+    return text_reviews(spark, sf_dir).withColumns({
+        "manual_decision": F.when(doc % 11 == 0, "Sure").otherwise(F.col("manual_decision")),
+        "correct_role_family": F.when(doc % 13 == 0, "Cook").when(doc % 17 == 0, " ")
+        .otherwise(F.col("correct_role_family"))})
+
+
 def text_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified reviews with the source of their document."""
     verified = prepare_overrides(text_reviews(spark, sf_dir))
@@ -301,6 +310,48 @@ def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "Snapshot": staged_snapshot(spark, sf_dir)}, verify=False)
 
 
+def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as load runs; what they claim to have loaded is mostly wrong."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.cast("string").alias("run_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("loaded_at"),
+        F.lit(25).cast("long").alias("sources_loaded"), key.alias("jobs_loaded"),
+        (key + 1).alias("skills_loaded"), (key * 4).alias("job_skills_loaded"))
+
+
+def loaded_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"sources": table(spark, sf_dir, "nation"), "jobs": table(spark, sf_dir, "orders"),
+            "skills": table(spark, sf_dir, "part"), "job_skills": table(spark, sf_dir, "lineitem")}
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as published versions."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("int").alias("version"),
+        F.col("o_orderkey").cast("string").alias("run_id"))
+
+
+def view_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A view for each customer is expected; those with an order in state P have theirs."""
+    def named(rows: DataFrame, number: str) -> DataFrame:
+        return rows.select(F.concat(F.lit("vw_"), F.col(number).cast("string")).alias("view_name"))
+    return (named(table(spark, sf_dir, "customer"), "c_custkey"),
+            named(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), "o_custkey"))
+
+
+def part_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a skill dictionary with the slips of a filled-in file."""
+    part = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.when(part % 50 == 0, "").otherwise(F.concat(F.lit("k"), (part % 1990).cast("string")))
+        .alias("skill_key"),
+        F.when(part % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("skill_name"),
+        F.when(part % 70 == 0, F.lit(None).cast("string")).otherwise(F.col("p_type"))
+        .alias("skill_category"),
+        F.when(part % 90 == 0, " | ").otherwise(F.concat_ws("|", "p_name", "p_type")).alias("aliases"))
+
+
 def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dates of the orders, written in six ways in turn."""
     at = F.col("o_orderdate")

@@ -14,10 +14,10 @@ from postmill.functions.matching import STUDY_FIELD_RULE, ContextRule, Skill
 from postmill.operators import checks
 from postmill.plans import master as masters
 from postmill.plans import skills as skilled
-from postmill.plans import staging, warehouse
+from postmill.plans import classify, staging, warehouse
 from postmill.plans.skill_index import extract_skills_joined
 from postmill.plans.views import KEY
-from postmill.sources import landing
+from postmill.sources import landing, lines, tables
 
 
 def _stage(df: DataFrame, path: str) -> DataFrame:
@@ -62,12 +62,52 @@ def skill_stage(jobs: DataFrame, out: str,
     return _stage(kept, f"{out}/final")
 
 
+def stage_lines_folder(spark: SparkSession, folder: str, source: str, out: str,
+                       overrides: DataFrame | None = None, epoch_unit: str = "s") -> DataFrame:
+    """As stage_paged_folder from a folder of line batches; malformed lines are an error."""
+    batch = lines.read_batch(spark, folder, lines.PAGED_LINE, f"{out}/records", "guid")
+    checks.assert_empty(batch.malformed, f"malformed lines in batch {batch.stamp}")
+    return _stage(staging.stage_paged(batch.records, source, overrides, epoch_unit,
+                                      lines.LINE_ARRIVAL), f"{out}/staged")
+
+
+def report_stage(master: DataFrame, dimension: DataFrame, bridge: DataFrame, out: str,
+                 overrides: DataFrame | None = None) -> list[str]:
+    """Write the reports of a run as sorted CSV; returns their names.
+
+    Master: duplicates and reconciliation. Skills: audit of every target job and review
+    sample. Roles: review queue, and with human `overrides` metrics and mismatches.
+    """
+    target = masters.target_rows(master)
+    audit = skilled.skill_audit(target, dimension, bridge)
+    reports = {
+        "duplicate_candidates": (masters.duplicate_candidates(master), masters.duplicate_order()),
+        "source_reconciliation": (masters.source_reconciliation(master), ["source"]),
+        "skill_audit": (audit, skilled.audit_order()),
+        "skill_review_sample": (skilled.skill_audit_sample(target, dimension, bridge),
+                                ["audit_type", KEY, "skill_key"]),
+        "role_review_queue": (classify.review_queue(master), classify.review_order())}
+    if overrides is not None:
+        evaluated = classify.labelled_predictions(overrides, master)
+        reports |= {"classifier_metrics": (classify.classifier_metrics(evaluated), []),
+                    "classifier_mismatches": (classify.classifier_mismatches(evaluated), [])}
+    for name, (frame, order) in reports.items():
+        tables.write_csv(frame, f"{out}/{name}", order)
+    return list(reports)
+
+
 def run_all(spark: SparkSession, work: str, sources: Mapping[str, DataFrame],
             skills: Sequence[Skill] | DataFrame = skilled.DEFAULT_SKILLS,
-            exclusions: DataFrame | None = None) -> str:
-    """From staged sources to a published warehouse; returns its run id."""
-    target = masters.target_rows(master_stage(sources, f"{work}/master"))
+            exclusions: DataFrame | None = None, overrides: DataFrame | None = None,
+            database: str | None = None) -> str:
+    """From staged sources to a published warehouse and its reports; returns its run id.
+
+    With a `database` the build is published as a version in the catalog as well."""
+    master = master_stage(sources, f"{work}/master")
+    target = masters.target_rows(master)
     bridge = skill_stage(target, f"{work}/job_skills", skills, exclusions)
     dimension = skilled.skill_dimension(spark, skills)
-    return warehouse.publish(spark, f"{work}/warehouse", target, dimension,
-                             bridge.select(*warehouse.BRIDGE_COLUMNS))
+    run_id = warehouse.publish(spark, f"{work}/warehouse", target, dimension,
+                               bridge.select(*warehouse.BRIDGE_COLUMNS), database)
+    report_stage(master, dimension, bridge, f"{work}/reports", overrides)
+    return run_id

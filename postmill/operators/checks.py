@@ -53,6 +53,12 @@ def with_optional(df: DataFrame, optional: Mapping[str, str]) -> DataFrame:
                            if c not in df.columns})
 
 
+def missing_names(expected: DataFrame, present: DataFrame, name: str) -> DataFrame:
+    """Names that are expected and not there, each once."""
+    wanted = expected.select(name).filter(F.col(name).isNotNull()).distinct()
+    return wanted.join(present.select(name), name, "left_anti")
+
+
 def missing_views(spark: SparkSession, expected: Sequence[str]) -> list[str]:
     return sorted(v for v in expected if not spark.catalog.tableExists(v))
 

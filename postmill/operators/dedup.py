@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.operators.skew import join_group_facts
+from postmill.operators.skew import SLICES, join_group_facts
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
@@ -46,10 +46,13 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("group_rows"))
 
 
-def duplicate_members(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
-    """Every row whose key occurs more than once, with the size of its group."""
+def duplicate_members(df: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
+                      slices: int = SLICES) -> DataFrame:
+    """Every row whose key occurs more than once, with the size of its group.
+
+    A group's rows are spread over `slices` parts at most, by `spread_by`."""
     repeated = group_sizes(df, keys).filter("group_rows > 1")
-    return join_group_facts(df, repeated, keys, spread_by)
+    return join_group_facts(df, repeated, keys, spread_by, slices)
 
 
 def repeat_count(df: DataFrame, key: str, out: str = "repeated_rows") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Slices that the rows of every group, small or large, are dealt over.
+# Slices that the rows of every group, small or large, are dealt over unless the caller
+# states more. A group of a third of all rows needs about as many as the cluster has cores.
 SLICES = 64
 
 

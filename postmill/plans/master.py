@@ -11,7 +11,7 @@ from postmill.fixed import MASTER_LAYOUT, OPTIONAL_COLUMNS
 from postmill.functions.text import is_blank, strip
 from postmill.functions.values import loose_bool, parse_iso, to_number
 from postmill.operators import checks
-from postmill.operators.skew import join_group_facts
+from postmill.operators.skew import SLICES, join_group_facts
 
 REQUIRED = tuple(name for name, _ in MASTER_LAYOUT[1:] if name not in OPTIONAL_COLUMNS)
 
@@ -80,12 +80,12 @@ DUPLICATE_COLUMNS = ("duplicate_scope", "job_fingerprint", "record_count", "sour
                      "publication_date", "job_url")
 
 
-def duplicate_candidates(master: DataFrame) -> DataFrame:
+def duplicate_candidates(master: DataFrame, slices: int = SLICES) -> DataFrame:
     """Every posting that shares its fingerprint with another one.
 
     Group facts come from an aggregation, not a window, and reach the rows by
-    a sliced join: one fingerprint may hold any share of all rows. The master
-    is read for the facts, the slices and the rows; hand over a written one.
+    a join in `slices` parts: one fingerprint may hold any share of all rows, and a
+    group is spread over as many tasks at most. The master is read for the facts, the slices and the rows; hand over a written one.
     """
     marked = master.filter(~is_blank(F.col("job_fingerprint")))
     groups = (marked.groupBy("job_fingerprint")
@@ -94,7 +94,7 @@ def duplicate_candidates(master: DataFrame) -> DataFrame:
               .filter("record_count > 1"))
     scope = F.when(F.col("source_count") > 1, "Cross-source").otherwise("Within-source")
     return (join_group_facts(marked, groups, ["job_fingerprint"],
-                             ["source", "source_job_id"])
+                             ["source", "source_job_id"], slices)
             .withColumn("duplicate_scope", scope).select(*DUPLICATE_COLUMNS))
 
 

@@ -13,6 +13,7 @@ from postmill.functions.text import (casefold_sort, fingerprint, html_to_text, i
 from postmill.functions.values import parse_instant, parse_iso, salary_text, to_number
 from postmill.operators import checks
 from postmill.operators.dedup import keep_first_collecting, keep_last
+from postmill.operators.skew import SLICES, join_group_facts
 from postmill.plans.classify import classify_roles
 
 PAGED_REQUIRED = (*PAGED_REQUIRED_FIELDS, "_source_query", "_collected_at")
@@ -176,13 +177,17 @@ def crawl_summary(records: DataFrame, query: str = "_source_query", page: str =
 
 
 def crawl_totals(records: DataFrame, query: str = "_source_query", page: str = "_source_page",
-                 item: str = "source_job_id") -> DataFrame:
-    """Over all queries: pages, records, ids seen and repeats, in one row."""
+                 item: str = "source_job_id", slices: int = SLICES) -> DataFrame:
+    """Over all queries: pages, records, ids seen and repeats, in one row.
+
+    The last page that counts reaches the ids of its query in `slices` parts, since one
+    query may have found most of them."""
     counted = crawl_pages(records, query, page, item).filter("counted")
     last = counted.groupBy(query).agg(F.max(page).alias("_last"))
-    ids = (records.filter(F.col(item).isNotNull()).groupBy(query, item)
-           .agg(F.min(page).alias("_first"))
-           .join(last, query).filter("_first <= _last").agg(F.count_distinct(item).alias("n")))
+    first = (records.filter(F.col(item).isNotNull()).groupBy(query, item)
+             .agg(F.min(page).alias("_first")))
+    ids = (join_group_facts(first, last, [query], [item], slices).filter("_first <= _last")
+           .agg(F.count_distinct(item).alias("n")))
     return (counted.agg(F.count("*").alias("pages_saved"),
                         F.sum("page_records").alias("records_received"))
             .withColumn("unique_ids", ids.scalar())

@@ -185,12 +185,19 @@ def salary_by_role(jobs: DataFrame) -> DataFrame:
                  exact_mean(middle).alias("avg_salary_midpoint")))
 
 
-def register_views(spark: SparkSession, jobs: DataFrame, skills: DataFrame,
-                   bridge: DataFrame) -> list[str]:
-    """Publish the six views under their names for use from SQL."""
+def view_frames(jobs: DataFrame, skills: DataFrame, bridge: DataFrame) -> dict[str, DataFrame]:
+    """The six views by name."""
     frames = (skill_demand(jobs, skills, bridge), role_summary(jobs),
               role_skill_demand(jobs, skills, bridge), skill_cooccurrence(jobs, skills, bridge),
               role_skill_cooccurrence(jobs, skills, bridge), salary_by_role(jobs))
-    for name, frame in zip(VIEW_NAMES, frames):
+    return dict(zip(VIEW_NAMES, frames))
+
+
+def register_views(spark: SparkSession, jobs: DataFrame, skills: DataFrame,
+                   bridge: DataFrame) -> list[str]:
+    """The six views under their names for SQL of this session; `versions.create_views`
+    makes views that outlive it."""
+    frames = view_frames(jobs, skills, bridge)
+    for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
-    return list(VIEW_NAMES)
+    return list(frames)

@@ -22,7 +22,8 @@ from postmill.fixed import (BRIDGE_COLUMNS, MASTER_COLUMNS, MASTER_LAYOUT, RUN_C
 from postmill.functions.text import blank_to_null
 from postmill.functions.values import strict_bool
 from postmill.operators import checks
-from postmill.plans.views import KEY, job_baskets, register_views
+from postmill.plans import layout, versions
+from postmill.plans.views import KEY, job_baskets, register_views, view_frames
 
 TABLES = ("sources", "jobs", "skills", "job_skills")
 # Stated, because partition values such as '2024' would otherwise be guessed.
@@ -83,9 +84,9 @@ def table_rules() -> dict[str, dict[str, Column]]:
 def check_tables(tables: Mapping[str, DataFrame]) -> None:
     """Layout, row rules, unique keys and references; raises on the first failure."""
     jobs, skills, bridge = tables["jobs"], tables["skills"], tables["job_skills"]
-    for name, layout in (("jobs", MASTER_COLUMNS), ("skills", SKILL_COLUMNS),
-                         ("job_skills", BRIDGE_COLUMNS)):
-        checks.require_layout(tables[name], layout, name)
+    for name, columns in (("jobs", MASTER_COLUMNS), ("skills", SKILL_COLUMNS),
+                          ("job_skills", BRIDGE_COLUMNS)):
+        checks.require_layout(tables[name], columns, name)
     rules = table_rules()
     for name, df in tables.items():
         checks.assert_empty(checks.rule_failures(df, rules[name]).filter("failing_rows > 0"), name)
@@ -98,15 +99,20 @@ def check_tables(tables: Mapping[str, DataFrame]) -> None:
 
 
 def publish(spark: SparkSession, root: str, jobs: DataFrame, skills: DataFrame,
-            bridge: DataFrame) -> str:
+            bridge: DataFrame, database: str | None = None,
+            buckets: int = layout.BUCKETS) -> str:
     """Build, verify and publish a warehouse; returns the run id.
 
     Inputs are converted and written once; the checks run on the written
-    tables, so nothing upstream is computed twice.
+    tables, so nothing upstream is computed twice. With a `database` of the
+    catalog the build is also written bucketed by job, and published as the
+    version after the one that was newest when the work began: views that
+    outlive the session follow it, and of two publishers at once one fails.
     """
-    for df, layout, name in ((jobs, MASTER_COLUMNS, "jobs"), (skills, SKILL_COLUMNS, "skills"),
-                             (bridge, BRIDGE_COLUMNS, "job_skills")):
-        checks.require_layout(df, layout, name)
+    known = versions.newest_version(spark, root) if database else 0
+    for df, columns, name in ((jobs, MASTER_COLUMNS, "jobs"), (skills, SKILL_COLUMNS, "skills"),
+                              (bridge, BRIDGE_COLUMNS, "job_skills")):
+        checks.require_layout(df, columns, name)
     run_id = str(uuid.uuid4())
     folder = f"{root}/builds/{run_id}"
     received = {
@@ -127,8 +133,13 @@ def publish(spark: SparkSession, root: str, jobs: DataFrame, skills: DataFrame,
     (job_baskets(tables["jobs"], tables["job_skills"]).hint("rebalance", "role_family")
      .write.partitionBy("role_family").parquet(f"{folder}/job_baskets"))
     run = run_row(tables, run_id)
+    baskets = read_baskets(spark, root, run_id)
+    if database:
+        layout.write_bucketed(tables, database, run_id, folder, buckets)
+        versions.publish_version(spark, root, database, run_id, known,
+                                 view_frames(tables["jobs"], tables["skills"], baskets))
     run.write.mode("append").parquet(f"{root}/pipeline_runs")
-    register(spark, tables, read_baskets(spark, root, run_id))
+    register(spark, tables, baskets)
     missing = checks.missing_views(spark, VIEW_NAMES)
     if missing:
         raise checks.CheckFailed(f"views not published: {missing}")
@@ -158,8 +169,13 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/pipeline_runs")
 
 
+def latest_of(run_rows: DataFrame) -> DataFrame:
+    """The row of the last run; of equal load times the greater id wins."""
+    return run_rows.orderBy(F.desc("loaded_at"), F.desc("run_id")).limit(1)
+
+
 def latest_run(spark: SparkSession, root: str) -> DataFrame:
-    return runs(spark, root).orderBy(F.desc("loaded_at"), F.desc("run_id")).limit(1)
+    return latest_of(runs(spark, root))
 
 
 def read_build(spark: SparkSession, root: str, run_id: str) -> dict[str, DataFrame]:
@@ -189,7 +205,11 @@ def register(spark: SparkSession, tables: Mapping[str, DataFrame],
 
 def run_mismatch(spark: SparkSession, root: str) -> DataFrame:
     """Tables of the latest build whose counts differ from its audit row."""
-    row = latest_run(spark, root)
+    return row_mismatch(latest_run(spark, root), read_latest(spark, root))
+
+
+def row_mismatch(row: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Tables whose counts differ from those that a run's row states."""
     pairs = ", ".join(f"struct('{t}' as table_name, {t}_loaded as table_rows)" for t in TABLES)
-    return checks.count_mismatch(checks.table_counts(read_latest(spark, root)),
+    return checks.count_mismatch(checks.table_counts(tables),
                                  row.selectExpr(f"inline(array({pairs}))"))

@@ -13,8 +13,8 @@ from postmill.operators import checks, dedup
 from postmill.operators.ranks import ranked
 from postmill.operators.shared import settled
 from postmill.plans import (associations, classify, gap, master, reports, rule_table, skills,
-                            staging, views, warehouse)
-from postmill.sources import landing
+                            staging, versions, views, warehouse)
+from postmill.sources import landing, tables
 from postmill.session import REQUIRED_CONF
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -258,6 +258,21 @@ def warehouse_queries() -> dict[str, Query]:
             "is_worldwide", "is_target_data_role", "salary_min", "publication_date"),
         "warehouse_bridge": lambda s, d: _warehouse_tables(s, d)["job_skills"],
         "warehouse_rules": _warehouse_rules,
+        "latest_run": lambda s, d: warehouse.latest_of(b.order_runs(s, d)),
+        "run_mismatch": lambda s, d: warehouse.row_mismatch(
+            warehouse.latest_of(b.order_runs(s, d)), b.loaded_tables(s, d)),
+        "missing_views": lambda s, d: checks.missing_names(
+            *b.view_names(s, d), "view_name"),
+        "expired_versions": lambda s, d: versions.expired(b.order_versions(s, d), 100),
+        "strict_flags": lambda s, d: b.table(s, d, "labels").select("doc_id", values.strict_bool(
+            F.col("toxic").cast("string")).alias("toxic"), values.strict_bool(F.when(
+                F.col("quality") == 1, " Y ").otherwise("no")).alias("good")),
+        "stamp_parse": lambda s, d: b.table(s, d, "events").select("event_id", values.iso_z(
+            values.parse_stamp(landing.file_stamp(F.concat(F.lit("feed_"), F.replace(
+                "event_type", F.lit(" "), F.lit("_")), F.date_format("ts", "'_'yyyyMMdd'_'HHmmss"),
+                F.lit(".json"))))).alias("collected_at")),
+        "review_problems": lambda s, d: classify.review_problems(b.faulty_reviews(s, d)),
+        "dictionary_problems": lambda s, d: tables.dictionary_problems(b.part_dictionary(s, d)),
     }
 
 
