@@ -12,6 +12,7 @@ only at zones with enough digits, four groups of them, or a spelled-out "at" or
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,8 +31,10 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_VALUES = 3_000, 800
 #: Tokens of a segment at most.
 REACH = 24
+#: Tokens of a zone that are cut up together, and how many around them are looked at too.
+STRETCH, AROUND = 2_048, 4 * REACH
 #: A segment is added from this posterior probability on.
-SURE = 0.95
+SURE = 0.5
 
 # Fixed patterns. A look-behind spares starting again inside a run of digits.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,11 +118,22 @@ def zones(text: str, taken: list[Span]) -> list[tuple[int, int]]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    covered = sorted((s, e) for _, s, e in taken)
-    free = []
+    # Spans of two kinds may overlap: joined, they stand in order with their ends.
+    covered: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if covered and s < covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+        else:
+            covered.append((s, e))
+    free, at = [], 0
     for a, b in merged:
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        end = at
+        while end < len(covered) and covered[end][0] < b:
+            end += 1
         # Base spans split a zone; what is left is searched if it could still hold something.
-        for s, e in [x for x in covered if x[0] < b and x[1] > a] + [(b, b)]:
+        for s, e in covered[at:end] + [(b, b)]:
             part = text[a:max(a, s)]
             if (len(_NOT_DIGIT.sub("", part)) >= 7 or _SPELLED.search(part) or _FOUR.search(part)
                     or _SPACED_AT.search(part)):
@@ -224,15 +238,26 @@ class SemiMarkov:
                 j -= 1
         return chosen[::-1]
 
-    def find(self, zone: str, before: str = "", after: str = "") -> list[Span]:
+    def find(self, zone: str, before: str = "", after: str = "", stretch: int = STRETCH) -> list[Span]:
+        """Spans of a zone. A long one is cut up in stretches of tokens; each is read with
+        its surroundings and answers for the spans that begin in it, so memory is bounded
+        and time grows with the length."""
         tokens = _TOKEN.findall(zone)
-        segments = candidates(tokens, before, after)
-        if not segments:
-            return []
-        arcs = self.scored(segments)
-        sure = self.posterior(len(tokens), arcs)
         place = np.cumsum([0, *map(len, tokens)]).tolist()
-        return [(arcs[x][2], place[arcs[x][0]], place[arcs[x][1]]) for x in self.best(len(tokens), arcs) if sure[x] >= SURE]
+        out: list[Span] = []
+        for begin in range(0, len(tokens), stretch):
+            lo, hi = max(0, begin - AROUND), min(len(tokens), begin + stretch + AROUND)
+            own = tokens[lo:hi]
+            segments = candidates(own, tokens[lo - 1][-1] if lo else before, tokens[hi][0] if hi < len(tokens) else after)
+            if not segments:
+                continue
+            arcs = self.scored(segments)
+            sure = self.posterior(len(own), arcs)
+            for x in self.best(len(own), arcs):
+                i, j, kind, _ = arcs[x]
+                if sure[x] >= SURE and begin <= lo + i < begin + stretch and (not out or place[lo + i] >= out[-1][2]):
+                    out.append((kind, place[lo + i], place[lo + j]))
+        return out
 
 
 def _log_add(a: float, b: float) -> float:
@@ -310,6 +335,16 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_values: int =
     return model
 
 
+def apart_from(spans: list[Span], others: list[Span]) -> list[Span]:
+    """Those of ``spans`` that overlap none of ``others``."""
+    others = sorted((s, e) for _, s, e in others)
+    starts, reach = [s for s, _ in others], [0]
+    for _, e in others:
+        reach.append(max(reach[-1], e))
+    # Of the others that begin before a span's end, none may reach beyond its start.
+    return [x for x in spans if reach[bisect_left(starts, x[2])] <= x[1]]
+
+
 def _listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
@@ -332,7 +367,7 @@ def personal_data(docs: DataFrame, model: SemiMarkov) -> DataFrame:
                 for a, b in zones(text, base):
                     found = model.find(text[a:b], text[a - 1:a] if a else "", text[b:b + 1])
                     added += [(k, a + s, a + e) for k, s, e in found]
-                added = [x for x in added if all(x[2] <= s or x[1] >= e for _, s, e in base)]
+                added = apart_from(added, base)
                 rows.append((*(sum(s[0] == k for s in base) for k in KINDS),
                              sha256(_listed(base).encode()).hexdigest(), _listed(base + added), len(added)))
             columns = list(zip(*rows)) if rows else [()] * 7

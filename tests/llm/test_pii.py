@@ -1,6 +1,11 @@
 import hashlib
+import random
 import re
+import resource
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +145,67 @@ def test_every_rewrite_lies_in_a_zone(kind, values):
                 if any(s < at + len(form) and e > at for _, s, e in base):
                     continue  # a pattern finds it, or part of it, already
                 assert any(a <= at and at + len(form) <= b for a, b in pii.zones(text, base)), text
+
+
+def luhn_card(draw):
+    digits = [draw.randrange(10) for _ in range(15)]
+    odd = sum(digits[1::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[0::2])
+    text = "".join(map(str, [*digits, -odd % 10]))
+    return " ".join(text[i:i + 4] for i in range(0, 16, 4))
+
+
+def test_recall_of_rewritten_values(spark):
+    """Values rewritten in other ways, set into documents that took no part in training."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs.filter("doc_id % 2 = 0"))
+    texts = [r.text for r in docs.filter("doc_id % 2 = 1").select("text").collect() if 50 < len(r.text) < 4_000]
+    draw, rng = random.Random(6), np.random.default_rng(6)
+
+    def added(text):
+        base, out = pii.base_spans(text), []
+        for a, b in pii.zones(text, base):
+            out += [(k, a + s, a + e) for k, s, e in model.find(text[a:b], text[a - 1:a] if a else "", text[b:b + 1])]
+        return pii.apart_from(out, base)
+
+    false = sum(len(added(t)) for t in texts)
+    tried, found = Counter(), Counter()
+    for n in range(400):
+        kind = pii.KINDS[n % 4]
+        value = {"email": f"{draw.choice(['jane', 'k.roe', 'x_12', 'tom-b'])}@{draw.choice(['mail', 'post7', 'a-b'])}.example.{draw.choice(['com', 'org', 'de'])}",
+                 "ip": ".".join(str(draw.randrange(256)) for _ in range(4)), "card": luhn_card(draw),
+                 "phone": f"+1 {draw.randrange(200, 999)} {draw.randrange(200, 999)} {draw.randrange(1000, 9999)}"}[kind]
+        form, words = pii.rewritten(kind, value, rng), texts[n % len(texts)].split(" ")
+        at = draw.randrange(len(words) + 1)
+        text = " ".join([*words[:at], form, *words[at:]])
+        begin = len(" ".join(words[:at])) + (at > 0)
+        if any(s < begin + len(form) and e > begin for _, s, e in pii.base_spans(text)):
+            continue
+        tried[kind] += 1
+        found[kind] += any(k == kind and s <= begin + 1 and e >= begin + len(form) - 1 for k, s, e in added(text))
+    print({k: (found[k], tried[k]) for k in tried}, "false", false, "of", len(texts))
+    assert sum(found.values()) >= 0.9 * sum(tried.values()) and false <= 0.05 * len(texts)
+
+
+def test_long_tables_take_bounded_memory():
+    model = pii.SemiMarkov({("phone", "digits=10"): 1.0})
+    draw = random.Random(2)
+    text = " ".join(str(draw.randrange(10 ** 6)) for _ in range(12_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    model.find(text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+
+
+def test_many_base_spans_take_linear_time():
+    text = " ".join(f"+1 (743) 555-{n:04d}, 123456{n:04d}x" for n in range(9_000))
+    start = time.perf_counter()
+    base = pii.base_spans(text)
+    zones = pii.zones(text, base)
+    spans = [("phone", a, b) for a, b in zones]
+    assert len(pii.apart_from(spans, base)) <= len(spans) and len(base) == 9_000
+    assert time.perf_counter() - start < 5
+
+
+def test_stretches_find_what_the_whole_zone_holds(people):
+    model = pii.train(people)
+    zone = " ".join(["filler words here (743) 555-3824 and more"] * 60)
+    assert model.find(zone, stretch=50) == model.find(zone, stretch=10_000)
