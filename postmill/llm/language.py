@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import hash_sample, id_text
@@ -26,6 +26,8 @@ GRAMS = 3
 DIMENSIONS = 16
 #: Documents of training at most, the ones with the smallest hash of their id.
 SAMPLE_ROWS = 3_000
+#: And of each language so many, so that a rare one is learned as well.
+SAMPLE_EACH = 100
 #: Characters hashed at a time, so that memory does not follow the longest text.
 PIECE = 1 << 18
 
@@ -144,11 +146,16 @@ def model_scores(z: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most ``sample_rows`` documents with a language, the same ones on every run."""
+    """Fit on at most ``sample_rows`` documents with a language and ``SAMPLE_EACH`` of each
+    language, the same ones on every run."""
     known = docs.filter(learn).filter("lang is not null").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     # Ids first, then the texts of those ids: the sort carries no texts.
     chosen = hash_sample(known.select("doc_id").distinct(), sample_rows, "doc_id")
+    # The limit per language also runs before the shuffle.
+    own = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")
+    each = known.select("doc_id", "lang").withColumn("n", F.row_number().over(own)).filter(F.col("n") <= SAMPLE_EACH)
+    chosen = chosen.unionByName(each.select("doc_id")).distinct()
     sample = grams_of(known.join(F.broadcast(chosen), "doc_id", "left_semi"), "doc_id", "lang")
     rows = sorted((r for r in sample.collect() if r.buckets),
                   key=lambda r: (str(r.doc_id), r.lang, r.buckets, r.counts))

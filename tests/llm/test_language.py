@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm import language
+from postmill.llm import language, queries
 from postmill.llm.common import fold
 from llm_tables import docs_table, messy_rows
 
@@ -61,3 +61,20 @@ def test_letters():
     assert language.gram_counts("1 é") is not None
     # The last letter of a long text counts.
     assert language.gram_counts("1" * 600_000 + "z").sum() > 0
+
+
+def test_query_on_held_out_documents(spark):
+    """What the registered query says of documents it did not learn from."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [r for r in queries.op4_language(spark, sf).collect() if r.held_out]
+    assert len(held) > 250
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, f"the cat sat on the mat number {'abcdef'[i % 6]} and then it went", "en") for i in range(400)]
+    rows += [(1000 + i, f"zxqv wvuq qqzx vvxz {'ghijk'[i % 5]} zzxq", "rare") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, F.lit(True), sample_rows=20)
+    assert set(model.languages) == {"en", "rare"}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm import quality
+from postmill.llm import quality, queries
 from postmill.llm.common import fold
 from llm_tables import docs_table, messy_rows, words
 
@@ -70,3 +70,15 @@ def test_sample_is_bounded_and_repeatable(labelled):
     docs, _ = labelled
     a = [r.doc_id for r in hash_sample(docs, 50, "doc_id").collect()]
     assert len(a) == 50 and a == [r.doc_id for r in hash_sample(docs.repartition(5), 50, "doc_id").collect()]
+
+
+def test_query_on_held_out_documents(spark):
+    """Scores of the registered query order held-out documents as their labels do."""
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [r for r in queries.op1_quality(spark, sf).collect() if r.held_out and r.doc_id in label]
+    good, bad = ([r.score for r in held if label[r.doc_id] == k] for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 10
+    pairs = [(a > b) + 0.5 * (a == b) for a in good for b in bad]
+    assert sum(pairs) / len(pairs) > 0.95
+    assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.95 * len(held)
