@@ -45,6 +45,7 @@ from postmill.llm.common import hash_sample
 #: Text bytes in a group of documents, about; tokens hashed at a time; documents whose
 #: anchors set the splitters; and from how many places on an anchor is hot.
 GROUP_BYTES, PIECE, SAMPLE_ROWS, HOT = 8 << 20, 1 << 17, 256, 2_000
+MOST_SAMPLE_ROWS = 1 << 16
 #: Order of documents without an id: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -490,8 +491,10 @@ def splitters_of(texts: list[str], rule: Rule, ranges: int) -> list[bytes]:
     table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
     group = Group(table, rule)
     last = len(group.tokens)
-    lead = sorted({group.slice(a, min(a + rule.window, last)) for a in group.runs.anchor.tolist()})
-    return [lead[len(lead) * i // ranges] for i in range(1, ranges)] if len(lead) >= ranges else []
+    # A lead counts as often as the sample has it: what many groups hold, many send. One that
+    # fills several parts is one cut, and with few leads there are as many ranges as leads.
+    lead = sorted(group.slice(a, min(a + rule.window, last)) for a in group.runs.anchor.tolist())
+    return sorted({lead[len(lead) * i // ranges] for i in range(1, ranges)}) if lead else []
 
 
 def without_repeats(docs: DataFrame, rule: Rule, kept: Callable[[Group, int, np.ndarray], tuple],
@@ -506,10 +509,13 @@ def without_repeats(docs: DataFrame, rule: Rule, kept: Callable[[Group, int, np.
                        F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / group_bytes))
-    chosen = hash_sample(rows.select("doc_id").distinct(), SAMPLE_ROWS, "doc_id")
+    # Cuts are as many as ranges, so the sample grows with them: a document for every four
+    # ranges, ``SAMPLE_ROWS`` at least and ``MOST_SAMPLE_ROWS`` at most.
+    asked = min(max(SAMPLE_ROWS, parts // 4), MOST_SAMPLE_ROWS)
+    chosen = hash_sample(rows.select("doc_id").distinct(), asked, "doc_id")
     # Only for the splitters, so a bounded part of a bounded sample will do.
     sample = [r.text for r in rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-              .select(F.substring("text", 1, 20_000).alias("text")).limit(4 * SAMPLE_ROWS).collect()]
+              .select(F.substring("text", 1, 20_000).alias("text")).limit(4 * asked).collect()]
     splitters = splitters_of(sample, rule, parts)
     dealt = (rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
              .repartition(parts, "part"))

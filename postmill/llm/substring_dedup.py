@@ -1,14 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv factors over words.
-
-A document is factored against the reference, which is all that starts earlier. The
-reference is indexed in blocks (the ranges of ``repeats``): a block holds the distinct
-contexts around its anchors, and every document's contexts are factored against every
-block that indexes their anchors, so no block that could hold a match is left out. In a
-block each start takes the earliest place that agrees on a whole window, and goes on with
-that source as far as it agrees: one factor (source document, place, length). Where one
-factor ends and another begins, the windows across the boundary are looked up on their
-own, so a window is found even if no single factor holds it. Factors of a window or more
-are the duplicate spans.
+"""Substring dedup over words, by sorting the windows around anchors.
+
+A relative Lempel-Ziv parse against every reference block would visit all blocks for every
+document, which grows with the square of the corpus; the README says what is done instead.
+The windows around anchors (``repeats``) are sorted in ranges; neighbouring windows of a
+context whose earliest places follow one another become one factor (source document,
+place, length), read off the sorted order. Factors end with their context; windows across
+the end lie in the next anchor's context, so none is missed.
+
+Contexts are compared as bytes. Inside the sort words are compared by 64-bit hashes, so
+the result is exact but for the chance of two words of one range sharing a hash.
 """
 
 from __future__ import annotations

@@ -133,3 +133,17 @@ def test_multikey_order():
 @pytest.mark.parametrize("operator", [suffix_dedup, substring_dedup])
 def test_empty(empty, operator):
     assert operator.remove_repeats(empty).collect() == []
+
+
+@pytest.mark.parametrize("ranges", [2, 50, 5_000])
+def test_splitters_never_vanish(ranges):
+    draw = random.Random(3)
+    texts = [words(draw, 200) for _ in range(6)]
+    rule = repeats.Rule(20, 8, True, True)
+    cuts = repeats.splitters_of(texts, rule, ranges)
+    assert cuts == sorted(set(cuts)) and 1 <= len(cuts) < ranges
+    if ranges == 5_000:  # more ranges than leads: every lead is a cut
+        assert len(cuts) > 50
+    hot = repeats.splitters_of([texts[0]] * 40 + texts[1:], rule, ranges)
+    assert hot
+    assert repeats.splitters_of([], rule, ranges) == repeats.splitters_of(["a"], rule, ranges) == []
