@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
@@ -81,3 +82,13 @@ def test_stage_on_the_table(spark):
     want = brute(rows)
     assert sum(i != c for i, c in want) >= 5
     assert got(docs.filter(docs.doc_id.isin([i for i, _ in rows]))) == want
+
+
+def test_parities_are_a_bound():
+    draw = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 0), (5, 4, 4), (40, 300, 30), (700, 600, 590), (3_000, 2_900, 2_000)):
+        pool = draw.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        one, two = pool[:n], pool[n - both:]
+        apart = jaccard.parities_apart(jaccard.parities(one), jaccard.parities(two))
+        assert apart <= n + m - 2 * both and (apart > (n + m - 2 * both) // 5)
+    assert jaccard.parities_apart(jaccard.parities(one), jaccard.parities(one)) == 0
