@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import id_text
+from postmill.llm.common import id_text, written
 
 Q, RATE = 8, 0.05
 #: Longest piece, and how far the next one starts.
@@ -34,6 +34,8 @@ PIECE, STRIDE = 160, 80
 SHORT, STEP, COUNTED = 64, 16, 13
 #: Characters of pieces carried in one pass.
 BLOCK_CHARS = 8 << 20
+#: Places of a text's q-grams in pieces that are looked at together, about.
+SLICE_POSTINGS = 1 << 20
 
 _BASE = 0x9E3779B1
 _FLAGS = 1 << 22
@@ -96,6 +98,8 @@ class Index:
     flags: np.ndarray
     #: By class of piece lengths: least grams that a match shares, out of so many in a row.
     classes: list[tuple[int, int]]
+    #: Characters of the longest piece.
+    most: int
 
 
 def cuts(whole: str) -> list[tuple[int, int]]:
@@ -128,9 +132,9 @@ def build_index(items: list[tuple]) -> Index:
         whole = _item(text)
         if len(whole) < Q:
             continue
-        pieces = cuts(whole)
+        pieces = list(dict.fromkeys(whole[a:b] for a, b in cuts(whole)))  # one of equal pieces
         owners += [item] * len(pieces)
-        texts += [whole[a:b] for a, b in pieces]
+        texts += pieces
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     budgets = np.minimum((RATE * sizes).astype(np.int64), (sizes - Q) // Q)
     found = [grams(codes(t)) for t in texts]
@@ -145,7 +149,7 @@ def build_index(items: list[tuple]) -> Index:
     alike = [sizes // 32 == c for c in np.unique(sizes // 32)]
     classes = [(int(bounds[a].min()), int((sizes + budgets)[a].max()) - Q + 1) for a in alike]
     return Index(owners, texts, budgets, bounds, keys, np.append(starts, len(order)),
-                 piece[order], place[order], flags, classes)
+                 piece[order], place[order], flags, classes, max(map(len, texts), default=0))
 
 
 def edit_distance_within(piece: np.ndarray, region: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -177,6 +181,37 @@ def edit_distance_within(piece: np.ndarray, region: np.ndarray, low: int, high:
     return int(cost[end]), int(start[end]), int(diagonals[end] + len(piece))
 
 
+@lru_cache(4_096)
+def _places_of(pattern: str) -> dict[str, int]:
+    """By character, where it stands in the pattern, as bits."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def may_hold(region: str, pattern: str, most: int) -> bool:
+    """Whether the pattern is within ``most`` edits of some run of the region, on whatever
+    diagonals: a column of the edit table at a time, its steps up and down as bits."""
+    size = len(pattern)
+    places, every, last = _places_of(pattern), (1 << size) - 1, 1 << (size - 1)
+    up, down, edits = every, 0, size
+    for c in region:
+        same = places.get(c, 0)
+        vertical = same | down
+        level = (((same & up) + up) ^ up) | same
+        right_up, right_down = down | (every & ~(level | up)), up & level
+        if right_up & last:
+            edits += 1
+        elif right_down & last:
+            edits -= 1
+            if edits <= most:
+                return True
+        right_up, right_down = right_up << 1 & every, right_down << 1 & every
+        up, down = right_down | (every & ~(vertical | right_up)), right_up & vertical
+    return edits <= most
+
+
 def find(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     """(piece, edits, start, end) in the folded text, one for each piece and place found."""
     if not len(index.keys) or len(text) < Q:
@@ -203,32 +238,66 @@ def find(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     real = index.keys[slot] == own[at]
     at, slot = at[real], slot[real]
     n = index.starts[slot + 1] - index.starts[slot]
+    out: list[tuple[int, int, int, int]] = []
+    last: dict[int, tuple[int, int]] = {}  # of a piece's latest find: where it begins, its place in ``out``
+    for begun, ended in _slices(at, n, index.most, len(points)):
+        for p, b in _full_bands(index, at, slot, n, begun, ended, len(points)):
+            k, pattern = int(index.budgets[p]), index.texts[p]
+            low, high = b * (k + 1), (b + 2) * (k + 1) - 1
+            before, held = last.get(p, (-1, -1))
+            if low <= before <= high:
+                continue  # the same place, seen from the band before
+            begin = max(low, 0)
+            exact = line.find(pattern, begin, high + len(pattern))
+            if exact >= 0:
+                new = (p, 0, exact, exact + len(pattern))
+            else:
+                stop = min(high + len(pattern) + 1, len(points))
+                if not may_hold(line[begin:stop], pattern, k):
+                    continue
+                edits, start, end = edit_distance_within(codes(pattern), points[begin:stop], low - begin, high - begin)
+                if edits > k:
+                    continue
+                new = (p, edits, begin + start, begin + end)
+            if held >= 0 and out[held][2] <= new[2] <= out[held][3]:  # places that meet are one
+                had = out[held]
+                out[held] = (p, min(had[1], new[1]), had[2], max(had[3], new[3]))
+            else:
+                held = len(out)
+                out.append(new)
+            last[p] = new[2], held
+    return out
+
+
+def _slices(at: np.ndarray, n: np.ndarray, most: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of diagonals, each with about ``SLICE_POSTINGS`` postings of the hits at ``at``."""
+    cut = np.flatnonzero(np.diff(np.cumsum(n) // SLICE_POSTINGS)) + 1
+    edges = [-most, *np.unique(at[cut]).tolist(), size]
+    return zip(edges, edges[1:])
+
+
+def _full_bands(index: Index, at: np.ndarray, slot: np.ndarray, n: np.ndarray, begun: int, ended: int,
+                size: int) -> Iterator[tuple[int, int]]:
+    """(piece, band) of the bands that begin on these diagonals and reach their bound.
+
+    Diagonals a band's width beyond are counted as well, so that no band is cut."""
+    wide = 2 * (int(index.budgets.max()) + 1)
+    lo, hi = np.searchsorted(at, [begun - wide, ended + wide + index.most])
+    at, slot, n = at[lo:hi], slot[lo:hi], n[lo:hi]
     into = np.repeat(index.starts[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     piece, diagonal = index.piece[into], np.repeat(at, n) - index.place[into]
+    near = (diagonal >= begun - wide) & (diagonal < ended + wide)
+    piece, diagonal = piece[near], diagonal[near]
     step = index.budgets[piece] + 1
     band = diagonal // step
-    span = np.int64(len(points) + PIECE + 2)
+    span = np.int64(size + index.most + 2)
     # Each gram counts in the two bands that hold its diagonal.
     key = np.concatenate([piece * 2 * span + band + span, piece * 2 * span + band - 1 + span])
     key, count = np.unique(key, return_counts=True)
     piece, band = key // (2 * span), key % (2 * span) - span
-    keep = count >= index.bounds[piece]
-    out = []
-    for p, b in zip(piece[keep].tolist(), band[keep].tolist()):
-        k, pattern = int(index.budgets[p]), index.texts[p]
-        low, high = b * (k + 1), (b + 2) * (k + 1) - 1
-        if out and out[-1][0] == p and low <= out[-1][2] <= high:
-            continue  # the same place, seen from the band before
-        begin = max(low, 0)
-        exact = line.find(pattern, begin, high + len(pattern))
-        if exact >= 0:
-            out.append((p, 0, exact, exact + len(pattern)))
-            continue
-        stop = min(high + len(pattern) + 1, len(points))
-        edits, start, end = edit_distance_within(codes(pattern), points[begin:stop], low - begin, high - begin)
-        if edits <= k:
-            out.append((p, edits, begin + start, begin + end))
-    return out
+    low = band * (index.budgets[piece] + 1)
+    keep = (count >= index.bounds[piece]) & (low >= begun) & (low < ended)
+    return zip(piece[keep].tolist(), band[keep].tolist())
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Index]:
@@ -257,7 +326,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, item_ids array<{item_kind}>, spans array<array<int>>"
     rows = id_text(docs).select("doc_id", "text", F.array().cast(f"array<{item_kind}>").alias("item_ids"),
                                 F.array().cast("array<array<int>>").alias("spans"))
+    first = True
     for index in benchmark_blocks(benchmark, block_chars):
+        if not first:  # what the block before found is kept, so that one block is alive at a time
+            rows = written(rows, "block")
+        first = False
         held = spark.sparkContext.broadcast(index)
 
         def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

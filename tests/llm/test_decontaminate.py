@@ -1,4 +1,6 @@
 import random
+import resource
+import time
 
 import numpy as np
 import pytest
@@ -108,12 +110,12 @@ def passages(draw, items):
     """(item, passage): 13 words and more, or 80 characters, from any offset."""
     for item, text in items:
         parts = folded(text).split()
-        for n in (13, 13, 13, 14, 17, 20, 25, 30, 35):
+        for n in 2 * (13, 13, 13, 14, 17, 20, 25, 30, 35):
             if len(parts) >= n:
                 at = draw.randrange(len(parts) - n + 1)
                 yield item, " ".join(parts[at:at + n])
         line = " ".join(parts)
-        for _ in range(6):
+        for _ in range(12):
             if len(line) >= 80:
                 at = draw.randrange(len(line) - 79)
                 yield item, line[at:at + 80]
@@ -143,3 +145,45 @@ def test_half_passages_do_not_count(spark):
         parts = text.split()
         at = draw.randrange(50)
         assert dc.find(f"{words(draw, 30)} {' '.join(parts[at:at + 5])} {words(draw, 30)}", index) == []
+
+
+def test_repetitive_texts_take_bounded_memory():
+    """Every place of such a text matches every place of such an item."""
+    index = dc.build_index([(1, "ha ha " * 60), (2, " ".join(f"word{i}" for i in range(60)))])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    start = time.perf_counter()
+    found = dc.find("ha ha " * 200_000, index)
+    assert {index.items[p] for p, *_ in found} == {1} and len(found) <= len(index.texts)
+    assert min(s for _, _, s, _ in found) == 0 and max(e for *_, e in found) >= 1_199_998
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+    assert time.perf_counter() - start < 120
+
+
+def test_slices_change_nothing(monkeypatch):
+    draw = random.Random(4)
+    items = [(i, words(draw, 60, 30)) for i in range(12)]
+    index = dc.build_index(items)
+    texts = [" ".join([words(draw, 30, 30), items[i % 12][1][draw.randrange(60):], words(draw, 200, 30)]) for i in range(20)]
+    whole = [sorted(dc.find(t, index)) for t in texts]
+    assert sum(map(len, whole)) > 20
+    monkeypatch.setattr(dc, "SLICE_POSTINGS", 50)
+    assert [sorted(dc.find(t, index)) for t in texts] == whole
+
+
+def test_ten_blocks_are_one_result(spark):
+    draw = random.Random(9)
+    items = [(i, words(draw, 40, 5_000)) for i in range(40)]
+    docs = [(i if i % 9 else None, words(draw, 50, 5_000) + " " + items[i % 40][1] + (" " + items[(i + 7) % 40][1]) * (i % 2), "en", "a")
+            for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    one, ten = (sorted(map(repr, dc.contaminated(docs_table(spark, docs), benchmark, n).collect())) for n in (8 << 20, 2_000))
+    assert one == ten and all("contaminated=True" in r for r in one)
+
+
+def test_quick_bound_is_the_least_edits():
+    draw = random.Random(8)
+    for _ in range(300):
+        region = "".join(draw.choice("abc") for _ in range(draw.randrange(1, 40)))
+        pattern = "".join(draw.choice("abc") for _ in range(draw.randrange(1, 14)))
+        least = least_edits(pattern, region)
+        assert dc.may_hold(region, pattern, least) and (least == 0 or not dc.may_hold(region, pattern, least - 1))

@@ -91,4 +91,6 @@ def test_parities_are_a_bound():
         one, two = pool[:n], pool[n - both:]
         apart = jaccard.parities_apart(jaccard.parities(one), jaccard.parities(two))
         assert apart <= n + m - 2 * both and (apart > (n + m - 2 * both) // 5)
+        short = [jaccard.brief(jaccard.parities(s)).view(np.uint8) for s in (one, two)]
+        assert jaccard.parities_apart(*short) <= n + m - 2 * both
     assert jaccard.parities_apart(jaccard.parities(one), jaccard.parities(one)) == 0
