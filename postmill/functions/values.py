@@ -59,10 +59,24 @@ def parse_date_text(c: Column) -> Column:
     """Timestamp from ISO text or one of the other usual ways to write a date."""
     written = strip(c)
     bare = F.regexp_replace(F.regexp_replace(written, WEEKDAY, ""), r"\s+", " ")
-    # The other patterns are tried only where ISO fails and the text has a digit.
-    others = [F.try_to_timestamp(bare, F.lit(p)) for p in DATE_PATTERNS]
-    return F.coalesce(F.try_to_timestamp(c.cast("string")),
-                      F.when(bare.rlike("[0-9]"), F.coalesce(*others)))
+    # The other patterns are tried only where ISO fails and the text has a digit, and each
+    # only on texts with the marks that it asks for and none that it has no place for. A
+    # zone's name may hold a slash.
+    shapes: dict[tuple[bool, ...], list[str]] = {}
+    for p in DATE_PATTERNS:
+        shapes.setdefault(("MMM" in p, ":" in p, "," in p), []).append(p)
+
+    def otherwise(text: Column) -> Column:
+        letters, slash, colon, comma = (text.rlike(m) for m in ("[A-Za-z]", "/", ":", ","))
+        return F.coalesce(*[
+            F.when((letters if named else ~letters & slash) & (colon if timed else ~colon)
+                   & (comma if listed else ~comma),
+                   F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in same]))
+            for (named, timed, listed), same in shapes.items()])
+
+    # The cleaned text is an element, so that it is made once and not for every pattern.
+    return F.coalesce(F.try_to_timestamp(c.cast("string")), F.when(
+        bare.rlike("[0-9]"), F.get(F.transform(F.array(bare), otherwise), 0)))
 
 
 def parse_iso(c: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from postmill.bindings import (HTML_CASES, SKILL_SENTENCES, TEXT_RULE, TEXT_RULES, TEXT_SKILL_ROWS,
+from postmill.bindings import (DATE_CASES, HTML_CASES, SKILL_SENTENCES, TEXT_RULE, TEXT_RULES, TEXT_SKILL_ROWS,
                                TITLE_SKILL_ROWS, TITLES)
 from postmill.fixed import RELEVANT_TITLE, ROLE_RULES, SKILLS
 from postmill.functions.matching import STUDY_FIELD_RULE
@@ -659,9 +659,11 @@ SELECT doc_id, CAST(len(n) AS INTEGER) AS numbers, list_min(n) AS least, list_ma
 FROM (SELECT doc_id, list_transform(list_filter(string_split(text, ' '), lambda w: regexp_full_match(
         w, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,4})?\s*')),
         lambda w: CAST(trim(w, E' \n\r\t') AS DOUBLE)) AS n FROM documents)""",
-        "date_cases": """
+        "date_cases": f"""
 SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 1, 3) THEN date_trunc('day', o_orderdate)
-                        ELSE date_trunc('second', o_orderdate) END AS at FROM orders""",
+                        ELSE date_trunc('second', o_orderdate) END AS at,
+       CAST({dealt(['NULL' if c[1] is None else f"TIMESTAMP '{c[1]}'" for c in DATE_CASES], 'o_orderkey')}
+            AS TIMESTAMP) AS case_at FROM orders""",
     }
 
 

@@ -5,8 +5,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from postmill.fixed import DATE_PATTERNS, WEEKDAY
 from postmill.functions import text as t
 from postmill.functions import values as v
+from postmill.queries import all_queries
 
 
 def one(spark, column, *cells, schema=None):
@@ -147,6 +149,32 @@ def test_date_cases(spark):
     assert [got[i] for i in range(len(DATE_CASES))] == [c[1] for c in DATE_CASES]
 
 
+def test_shapes_rule_out_no_pattern(spark):
+    """Every pattern's own writing, and texts of near shapes, against all patterns tried on all."""
+    at = F.lit("2025-01-05 10:20:30").cast("timestamp")
+    frame = spark.range(1).select(F.explode(F.array(
+        *[F.date_format(at, p) for p in DATE_PATTERNS],
+        *[F.lit(t) for t in ("5 jan 2025 1:2:3 America/New_York", "1/5/2025,", "Jan 5 2025 7:08", "2025/1/5 7",
+                             "Sun 5 MAY 2025", "5 Jan 2025 7:08 +0200", "1/5/2025 7:08 GMT", "5, 2025")])).alias("raw"))
+    bare = F.regexp_replace(F.regexp_replace(F.col("raw"), WEEKDAY, ""), r"\s+", " ")
+    plain = F.coalesce(F.try_to_timestamp("raw"), *[F.try_to_timestamp(bare, F.lit(p)) for p in DATE_PATTERNS])
+    rows = frame.select("raw", v.parse_date_text(F.col("raw")).alias("got"), plain.alias("want")).collect()
+    assert [r for r in rows if r.got != r.want] == []
+    assert all(r.got for r in rows[:len(DATE_PATTERNS) + 1])
+
+
+def test_date_cases_query_has_table_dates_and_hard_cases(spark, tmp_path):
+    rows = [(i, f"2024-0{1 + i % 9}-1{i % 10} 0{i % 10}:02:03") for i in range(48)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderdate string").withColumn(
+        "o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r for r in all_queries()["date_cases"](spark, str(tmp_path)).collect()}
+    assert len(got) == 48
+    for i, text in rows:
+        want = DATE_CASES[i % len(DATE_CASES)][1]
+        assert str(got[i].case_at) == str(want)
+        assert str(got[i].at) == (text[:10] + " 00:00:00" if i % 6 in (0, 1, 3) else text)
+
+
 def test_html_plan_is_built_quickly(spark):
     t.html_to_text(F.col("html"))
     start = time.perf_counter()
