@@ -94,3 +94,54 @@ def test_parities_are_a_bound():
         short = [jaccard.brief(jaccard.parities(s)).view(np.uint8) for s in (one, two)]
         assert jaccard.parities_apart(*short) <= n + m - 2 * both
     assert jaccard.parities_apart(jaccard.parities(one), jaccard.parities(one)) == 0
+
+
+@pytest.mark.parametrize("n", [31, 63, 127, 511])
+def test_briefs_of_neighbouring_sizes_are_a_bound(n):
+    pool = np.random.default_rng(n).integers(0, 1 << 63, n + 1).astype(np.uint64)
+    one, two = (jaccard.brief(jaccard.parities(s)).view(np.uint8) for s in (pool[:n], pool))
+    assert jaccard.parities_apart(one, two) == 1
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_neighbouring_sizes_in_every_round(spark, monkeypatch, rounds):
+    """Near copies on both sides of a power of two, with and without rounds before all pairs."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    draw, rows = random.Random(8), []
+    for i, n in enumerate((34, 35, 66, 67, 130, 131)):
+        text = words(draw, n, 4_000)
+        rows += [(10 * i, text, "en", "a"), (10 * i + 1, text + " one", "en", "a"), (10 * i + 2, text + " two more", "en", "a")]
+    assert len({c for _, c in brute(rows)}) == 6
+    assert got(docs_table(spark, rows)) == brute(rows)
+
+
+def test_stage_searches_by_fingerprints(spark, monkeypatch):
+    """The stage takes its first pairs from SimHash; what lies beyond its radius is found too."""
+    rows, asked = edited_rows(4), []
+    search = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs, **k: asked.append(k) or search(docs, **k))
+    kept = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs_table(spark, rows), "").collect())
+    assert asked == [{"words": 5}]
+    assert kept == sorted(i for i, c in brute(rows) if i == c)
+
+
+def test_wrong_classes_change_nothing(spark):
+    rows = edited_rows(5)
+    frame = docs_table(spark, rows)
+    classes = spark.createDataFrame([(i, i % 3) for i, *_ in rows] + [(0, 1), (None, 2)], "doc_id bigint, component_id bigint")
+    assert sorted(map(tuple, jaccard.near_copies(frame, classes=classes).collect()), key=repr) == brute(rows)
+
+
+def test_large_group_makes_few_pairs(spark, monkeypatch):
+    """200 copies with one or two edits: most pairs are similar, and few are compared."""
+    draw, rows, compared = random.Random(6), [], []
+    text = words(draw, 150, 4_000).split()
+    for i in range(200):
+        parts = list(text)
+        for _ in range(1 + i % 2):
+            parts[draw.randrange(len(parts))] = f"new{draw.randrange(9_999)}"
+        rows.append((i, " ".join(parts), "en", "a"))
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    assert got(docs_table(spark, rows)) == brute(rows)
+    assert sum(compared) < 4 * len(rows)
