@@ -3,11 +3,12 @@ import re
 
 import pytest
 
-from postmill.functions.matching import STUDY_FIELD_RULE, Skill, skills_from_rows
+from postmill.functions.matching import STUDY_FIELD_RULE, ContextRule, Skill, skills_from_rows
 from postmill.fixed import SKILLS
 from postmill.plans import skill_index
 from postmill.plans import skills as sk
 from postmill.plans.skill_index import extract_skills_joined
+from postmill.queries import all_queries
 from postmill.session import inline_table
 
 JOB = "source_record_key string, source string, source_job_id string, job_title_raw string, " \
@@ -132,6 +133,28 @@ def test_index_reads_the_texts_once_and_ships_no_text(spark, noisy):
         "source_record_key", "field", "token", "at", "spaced", "may_begin", "may_end", "skill_key", "alias"]
 
 
+def test_index_rows_have_neighbours_only(spark):
+    """No row carries the tokens of its whole text, and no token is kept that stands alone."""
+    table = inline_table(spark, ("skill_key", "aliases"), [("a", "one two. three|x"), ("b", "été")])
+    frame = jobs(spark, "one . two. three x . é t é t", "x", "two one three . é", title="")
+    index = skill_index.token_index(frame, skill_index.alias_table(table), (), ("description_text",))
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(line.count("all#") for line in plan.splitlines() if line.lstrip(" :+-").startswith("Project [source_record_key")
+                   and "f#" in line)
+    got = sorted((r.source_record_key, r.at, r.token) for r in index.collect())
+    assert got == [("a::0", 2, "two"), ("a::0", 3, "."), ("a::0", 4, "three"), ("a::0", 5, "x"), ("a::0", 7, "é"),
+                   ("a::0", 8, "t"), ("a::0", 9, "é"), ("a::0", 10, "t"), ("a::1", 0, "x")]
+
+
+def test_surroundings_are_cut_out_once(spark):
+    """However many terms a context rule has, a text is split once an alias."""
+    rule = ContextRule("sql", tuple(f"when{i}" for i in range(20)), tuple(f"unless{i}" for i in range(20)))
+    plan = sk.extract_skills(jobs(spark, "sql when7"), rules=(rule,), fields=("description_text",))
+    assert plan.collect() == []
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(") <= 4
+
+
 def test_plan_has_no_shuffle(spark):
     plan = sk.extract_skills(jobs(spark, "sql"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
@@ -190,3 +213,14 @@ def test_excerpt_prefers_title_and_ignores_word_ends(spark):
     whole = "x " * 100 + "reSQLed " + "z " * 200
     at = whole.index("SQL")
     assert text == whole[at - 120:at + 3 + 180].strip()
+
+
+def test_bridge_keys_match_each_text_once(spark, tmp_path):
+    """The two checks, each of two passes, read a bridge that is there already."""
+    rows = [(i, "that the license", "en", "src1") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = all_queries()["dq_bridge_keys"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [
+        ("description_text|job_title_raw", "license_word", 3), ("description_text|job_title_raw", "that_word", 3)]
