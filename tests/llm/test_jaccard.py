@@ -1,10 +1,13 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from postmill.llm import jaccard, simhash
+from postmill.llm import common, components, jaccard, simhash
 from llm_tables import docs_table, messy_rows, words
 
 
@@ -145,3 +148,53 @@ def test_large_group_makes_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
     assert got(docs_table(spark, rows)) == brute(rows)
     assert sum(compared) < 4 * len(rows)
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """The disk of one query is free before the next begins."""
+    folders = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in d.glob("*/shuffle_*.data")}
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    out = common.written(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    end = time.time() + 20
+    while files() - before and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(common.CLEANUP) == setting and sorted(map(tuple, out.collect()))[0] == (0, 143)
+
+
+def test_shingles_of_one_set_alone_are_dropped_first(spark, monkeypatch):
+    """Counting ships the shingle alone; places and sets follow for shared ones only."""
+    draw, seen = random.Random(9), {}
+    rows = [(i, words(draw, 100, 100_000), "en", "a") for i in range(60)]
+    rows.append((60, rows[0][1] + " and more", "en", "a"))
+    write = jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    assert got(docs_table(spark, rows)) == brute(rows)
+    prefix = jaccard.prefix_length(98)
+    assert seen["several"].columns == ["one"] and 0 < seen["several"].count() <= prefix
+    assert seen["often"].count() == 2 * seen["several"].count()
+
+
+def test_components_run_only_their_writes(spark, monkeypatch):
+    """No job beside the writes says whether a round changed anything."""
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    write, within = components.written, []
+
+    def counted(df, name):
+        start = jobs()
+        out = write(df, name)
+        within.append(jobs() - start)
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    edges = [(i, i + 1) for i in range(20)] + [(50, 51), (7, 7), (51, 50)]
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    try:
+        found = components.components(frame)
+        assert len(within) > 2 and jobs() == sum(within)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(21)} | {50: 50, 51: 50}
+    assert components.components(frame.filter("false")).collect() == []
