@@ -1,11 +1,13 @@
 """The stages one by one, each against what its operator (tested on its own) decides."""
 
+import random
 import re
 
 import duckdb
 import pytest
 
 import corpus_pipeline as pipeline
+from llm_tables import docs_table, words
 from postmill.llm import decontaminate
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +82,38 @@ def test_near_stage(steps):
     assert ids(steps[3]) == [i for (i, _), low in zip(rows, groups_of(rows)) if i == low]
 
 
+def test_near_stage_tells_rows_apart(spark):
+    """Ids that repeat or are null: what becomes of one row says nothing of others with its id."""
+    draw = random.Random(11)
+    a, b, c, d, e, f, g = (words(draw, 80, 4_000) for _ in range(7))
+    rows = [(3, a), (5, a + " tail"), (5, b),  # 5 is a near copy, and a document of its own
+            (8, c), (None, c + " tail"), (None, d),  # so is one of the rows without an id
+            (None, e), (None, e + " tail"), (None, e + " end"), (9, f), (9, f + " tail"), (10, g), (10, g)]
+    near = pipeline.drop_near_copies(spark, docs_table(spark, [(*r, "en", "a") for r in rows]), SF)
+    got = [(r.doc_id, r.text) for r in near.collect()]
+    assert sorted(r for r in got if r[0] not in (None, 9)) == [(3, a), (5, b), (8, c), (10, g), (10, g)]
+    assert [i for i, _ in got].count(9) == 1
+    alone = [t for i, t in got if i is None]
+    assert len(alone) == 2 and d in alone and set(got) <= set(rows)
+
+
+def test_near_stage_leaves_no_near_copy(spark):
+    """Many groups with repeated and null ids: each keeps one text, with the smallest id there is."""
+    draw, rows = random.Random(12), []
+    for _ in range(60):
+        text = words(draw, draw.choice((1, 6, 60, 200)), 4_000)
+        for i in range(draw.choice((1, 2, 4))):
+            rows.append((draw.choice((None, *range(40))), text + " more" * i))
+    near = pipeline.drop_near_copies(spark, docs_table(spark, [(*r, "en", "a") for r in rows]), SF)
+    got = {(r.doc_id, r.text) for r in near.collect()}
+    ids, group = {}, {}
+    for k, (i, t) in zip(groups_of([(n, t) for n, (_, t) in enumerate(rows)]), rows):
+        group[t] = k
+        ids.setdefault(k, set()).add(i)
+    want = [(k, min((i for i in own if i is not None), default=None)) for k, own in ids.items()]
+    assert sorted(((group[t], i) for i, t in got), key=repr) == sorted(want, key=repr)
+
+
 def test_messy_rows_through_the_stages(spark, messy):
     """Nulls, empty and long texts, ties, repeated rows, clashing columns: rows come out whole."""
     rows = [(r.doc_id, r.text) for r in messy.collect()]
